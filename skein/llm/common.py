@@ -54,8 +54,8 @@ def removed(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def text_slices(batch: pa.RecordBatch, column: str = "text", most: int = 4 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Slices of an Arrow batch of about ``most`` bytes of UTF-8 text, or one longer row.
+def text_slices(batch: pa.RecordBatch, column: str = "text", most: int = 1 << 20, rows: int = 1 << 16) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Slices of an Arrow batch of about ``most`` bytes of UTF-8 text and ``rows`` rows, or one longer row.
 
     Yields (first row, one past the last, offsets, bytes); offsets start at 0 and nulls are empty.
     The arrays are views of the batch: no text is decoded or copied.
@@ -70,7 +70,7 @@ def text_slices(batch: pa.RecordBatch, column: str = "text", most: int = 4 << 20
     data = np.frombuffer(buffers[2], np.uint8) if buffers[2] is not None and buffers[2].size else np.zeros(0, np.uint8)
     start = 0
     while start < n:
-        end = max(start + 1, int(np.searchsorted(offsets, offsets[start] + most, "right")) - 1)
+        end = min(max(start + 1, int(np.searchsorted(offsets, offsets[start] + most, "right")) - 1), start + rows, n)
         yield start, end, offsets[start : end + 1] - offsets[start], data[offsets[start] : offsets[end]]
         start = end
 

@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, media, minhash, mixing
+from . import exact_dedup, language, media, minhash, mixing, quality
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": mixing.op1_mixing,
         "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+        "op3_quality": quality.op3_quality,
+        "op5_language": language.op5_language,
         "op6_minhash": minhash.op6_minhash,
         "op10_media": media.op10_media,
     }
