@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, language, media, minhash, mixing, quality, warc
+from . import exact_dedup, language, media, minhash, mixing, pieces, quality, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_quality": quality.op3_quality,
         "op5_language": language.op5_language,
         "op6_minhash": minhash.op6_minhash,
+        "op7_sentencepiece": pieces.op7_sentencepiece,
         "op9_warc": warc.op9_warc,
         "op10_media": media.op10_media,
     }
