@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, language, media, minhash, mixing, pieces, quality, warc
+from . import exact_dedup, language, media, minhash, mixing, pieces, quality, repeats, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_language": language.op5_language,
         "op6_minhash": minhash.op6_minhash,
         "op7_sentencepiece": pieces.op7_sentencepiece,
+        "op8_suffix_dedup": repeats.op8_suffix_dedup,
         "op9_warc": warc.op9_warc,
         "op10_media": media.op10_media,
     }
