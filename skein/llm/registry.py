@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, language, media, minhash, mixing, pieces, quality, repeats, warc
+from . import exact_dedup, language, media, minhash, mixing, pieces, quality, repeats, tokens, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_mixing": mixing.op1_mixing,
         "op2_exact_dedup": exact_dedup.op2_exact_dedup,
         "op3_quality": quality.op3_quality,
+        "op4_tokens": tokens.op4_tokens,
         "op5_language": language.op5_language,
         "op6_minhash": minhash.op6_minhash,
         "op7_sentencepiece": pieces.op7_sentencepiece,
