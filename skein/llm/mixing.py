@@ -7,7 +7,7 @@ variable lambda per source. The dual is convex, and distributed Newton iteration
 solve all sources at once. Documents of equal source and size have equal rates, so iterations run
 over cells (source, size, documents), never over texts or documents. Rates are rounded to copies by
 running sums over a source's cells from the largest size down; what then is missing or left over is
-corrected by whole cells' copies, and a cell's copies go to its documents by hash order.
+corrected from the largest fitting size down, and a cell's copies go to its documents by hash order.
 
 Targets: sources ranked by code point, null last, weigh 1, 2, 3, repeating; they share all tokens by
 weight, none above ``cap`` times its own, the excess reshared by weight until none is above.
@@ -114,11 +114,12 @@ def copies_of_cells(cells: DataFrame, solved: DataFrame, few: bool, cap: int = C
     whole = Window.partitionBy("source")
     for _ in range(corrections):
         out = out.withColumn("_gap", F.col("target") - F.sum(F.col("given") * F.col("size")).over(whole))
-        fits = (F.col("size") > 0) & (F.col("size") <= F.abs("_gap")) & F.when(F.col("_gap") > 0, F.col("given") < cap * F.col("n")).otherwise(F.col("given") > 0)
-        out = out.withColumn("_best", F.max(F.when(fits, F.col("size"))).over(whole))
-        change = F.floor(F.abs("_gap") / F.col("size"))
-        moved = F.when(F.col("_gap") > 0, F.col("given") + F.least(change, cap * F.col("n") - F.col("given"))).otherwise(F.col("given") - F.least(change, F.col("given")))
-        out = out.withColumn("given", F.when(F.col("size") == F.col("_best"), moved).otherwise(F.col("given")).cast("long"))
+        room = F.when(F.col("_gap") > 0, cap * F.col("n") - F.col("given")).otherwise(F.col("given"))
+        fits = (F.col("size") > 0) & (F.col("size") <= F.abs("_gap"))
+        out = out.withColumn("_room", F.when(fits, room).otherwise(0))
+        larger = F.coalesce(F.sum(F.col("_room") * F.col("size")).over(by_size.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        change = F.least(F.floor(F.greatest(F.abs("_gap") - larger, F.lit(0.0)) / F.greatest("size", F.lit(1))), F.col("_room"))
+        out = out.withColumn("given", (F.col("given") + F.signum("_gap") * change).cast("long"))
     return out.select("source", "size", "n", "given", "source_size", "target")
 
 
