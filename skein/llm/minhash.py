@@ -10,9 +10,11 @@ one or two rounds instead of ``COORDS``.
 Documents with equal sets are one class, represented by its smallest doc_id. Representatives that
 agree on a band of ``ROWS`` coordinates share a bucket. In a bucket, all are compared with one
 pivot, drawn in another order for each bucket, so a bucket costs as many pairs as it has members.
-Links are confirmed on the full sets. Members that these links leave in different components of one
-bucket are compared in blocks by their sketches, and what may be similar is confirmed as well: no
-pair that shares a bucket is lost to the choice of a pivot. Components come from rounds of smallest
+Links are confirmed on the full sets. Buckets whose members these links leave in several components
+are joined to families, and a family's members are compared in blocks: by sketch, and on the full
+sets where that allows a link. Pairs that are connected already are skipped and only links that
+connect more leave a block, so no pair that shares a bucket is lost to the choice of a pivot, and no
+group of copies turns into all its pairs. Components come from rounds of smallest
 labels with pointer jumping, each round written to the shared folder.
 
 A pair at similarity 0.8 misses all 32 bands of 4 with a probability of about 5e-8.
@@ -25,9 +27,10 @@ result; other columns are ignored here and carried by ``kept_documents``.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,8 +42,8 @@ BANDS = COORDS // ROWS
 BIN_BITS = 7
 #: A pair of this similarity agrees on 102 of 128 coordinates on average, with a deviation below 5.
 LEAST_EQUAL = 70
-#: Members of a bucket that are compared with each other in one task.
-BLOCK = 512
+#: Members of a family that are compared with as many others in one task, and cells of its table of shared elements.
+BLOCK, DENSE = 256, 64 << 20
 #: Ids up to this many (8 bytes each) are broadcast to pick texts; more are joined by shuffle.
 SMALL_IDS = 500_000
 
@@ -210,48 +213,70 @@ def full_sets(docs: DataFrame, ids: DataFrame, words: int, key: str = "doc_id",
     return chosen.mapInArrow(build, "doc bigint, elements array<bigint>")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int, key: str, text: str) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union, written."""
+def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """(pairs (a, b) whose full sets have 100 * intersection >= percent * union; the sets of all in pairs), written."""
     pairs = written(pairs, "pairs")
     ids = written(pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), "ids")
-    sets = written(full_sets(docs, ids, words, key, text), "sets")
+    sets = written(full_sets(docs, ids, words, key, text).dropDuplicates(["doc"]), "sets")
     with_a = pairs.join(sets.select(F.col("doc").alias("a"), F.col("elements").alias("ea")), "a")
     both = with_a.join(sets.select(F.col("doc").alias("b"), F.col("elements").alias("eb")), "b")
     common = F.size(F.array_intersect("ea", "eb"))
     kept = both.select("a", "b", common.alias("i"), (F.size("ea") + F.size("eb")).alias("s")).where(f"100 * i >= {percent} * (s - i)")
-    return written(kept.select("a", "b"), "links")
+    return written(kept.select("a", "b"), "links"), sets
 
 
 def components(links: DataFrame) -> DataFrame:
-    """doc, comp: the smallest doc of its component, for every doc in a link (columns a, b)."""
-    edges = written(links.select("a", "b").union(links.select("b", "a")).distinct(), "edges")
-    state = written(edges.groupBy(F.col("a").alias("doc")).agg(F.min("b").alias("low")).select("doc", F.least("doc", "low").alias("comp")), "labels")
-    while True:
-        near = edges.join(state.select(F.col("doc").alias("b"), "comp"), "b").groupBy(F.col("a").alias("doc")).agg(F.min("comp").alias("near"))
-        lower = state.join(near, "doc").select("doc", F.col("comp").alias("was"), F.least("comp", "near").alias("comp"))
-        lower = written(lower, "labels")
-        up = lower.select(F.col("doc").alias("comp"), F.col("comp").alias("up"))
-        state = written(lower.join(up, "comp").select("doc", "was", F.least("comp", "up").alias("comp")), "labels")
-        if state.where("comp <> was").isEmpty():
-            return state.select("doc", "comp")
-        state = state.select("doc", "comp")
-
-
-def _block_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs of members of one bucket, in different components, whose sketches and sizes allow a link.
-
-    Buckets are split into blocks; each task compares two blocks and returns only what may be similar.
+    """doc, comp: the smallest doc of its component, for every doc in a link (columns a, b).
+
+    In each round every doc hooks on to its smallest neighbour, hooks are followed once more, and the
+    links are drawn between the labels instead; links within a label fall away, so rounds shrink fast.
+    """
+    edges = written(links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct(), "edges")
+    state = edges.select(F.col("a").alias("doc"), F.col("a").alias("comp")).distinct()
+    while not edges.isEmpty():
+        hooks = edges.groupBy(F.col("a").alias("doc")).agg(F.min("b").alias("near")).select("doc", F.least("doc", "near").alias("to"))
+        hooks = written(hooks, "hooks")
+        ends = hooks.join(hooks.select(F.col("doc").alias("to"), F.col("to").alias("end")), "to").select("doc", "end")
+        ends = written(ends, "ends")
+        state = state.join(ends.withColumnRenamed("doc", "comp"), "comp", "left").select("doc", F.coalesce("end", "comp").alias("comp"))
+        state = written(state, "labels")
+        from_a = edges.join(ends.select(F.col("doc").alias("a"), F.col("end").alias("la")), "a")
+        drawn = from_a.join(ends.select(F.col("doc").alias("b"), F.col("end").alias("lb")), "b").where("la <> lb")
+        edges = written(drawn.select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct(), "edges")
+    return state
+
+
+def _intersections(sets: list[np.ndarray]) -> Callable[[int, np.ndarray], np.ndarray]:
+    """A function (one set, others) -> sizes of their intersections, for sorted distinct elements."""
+    flat = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    tokens, inverse, counts = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = counts[inverse] > 1  # an element of one set only is in no intersection
+    columns = (np.cumsum(counts > 1) - 1)[inverse[shared]]
+    width = int((counts > 1).sum())
+    if len(sets) * width <= DENSE:
+        dense = np.zeros((len(sets), max(1, width)), np.uint8)
+        dense[owner[shared], columns] = 1
+        return lambda x, others: dense[np.ix_(others, np.flatnonzero(dense[x]))].sum(1, dtype=np.int64)
+    return lambda x, others: np.array([len(np.intersect1d(sets[x], sets[y], assume_unique=True)) for y in others], np.int64)
+
+
+def _block_links(members: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between different components of a family, confirmed on full sets.
+
+    members: family, doc, n, comp, sketch, elements. Families are split into blocks; each task looks
+    at two blocks, skips pairs that are connected already, and returns the links that connect more.
     """
-    counts = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    dealt = members.join(counts, "key").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
+    counts = members.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    dealt = members.join(counts, "family").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = dealt.withColumn("other", other).select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc", "n", "comp", "sketch")
-
-    def compare(pdf):
-        import pandas as pd
+    dealt = dealt.withColumn("other", other).select("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc", "n", "comp", "sketch", "elements")
 
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         sketch = np.frombuffer(b"".join(pdf["sketch"]), np.uint16).reshape(len(pdf), COORDS)
-        doc, n, comp, block = (pdf[c].to_numpy() for c in ("doc", "n", "comp", "block"))
+        doc, n, block = (pdf[c].to_numpy() for c in ("doc", "n", "block"))
+        comp = np.unique(pdf["comp"].to_numpy(), return_inverse=True)[1].reshape(-1)
+        common = _intersections(list(pdf["elements"]))
         i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
         a, b = [], []
@@ -261,11 +286,17 @@ def _block_pairs(members: DataFrame, percent: int) -> DataFrame:
                 fits &= doc[right] > doc[x]
             near = right[fits]
             near = near[(sketch[near] == sketch[x]).sum(1) >= LEAST_EQUAL]
-            a.append(np.minimum(doc[near], doc[x]))
-            b.append(np.maximum(doc[near], doc[x]))
-        return pd.DataFrame({"a": np.concatenate(a) if a else [], "b": np.concatenate(b) if b else []}, dtype="int64")
+            if not len(near):
+                continue
+            inter = common(x, near)
+            for y in near[100 * inter >= percent * (n[near] + n[x] - inter)]:
+                if comp[y] != comp[x]:
+                    comp[comp == comp[y]] = comp[x]
+                    a.append(min(doc[x], doc[y]))
+                    b.append(max(doc[x], doc[y]))
+        return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
 
-    return dealt.groupBy("key", "i", "j").applyInPandas(compare, "a bigint, b bigint")
+    return dealt.groupBy("family", "i", "j").applyInPandas(compare, "a bigint, b bigint")
 
 
 def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -279,17 +310,17 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "
     buckets = rows.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min_by("doc", F.xxhash64("doc", "key")).alias("pivot")).where("members > 1")
     shared = written(rows.join(buckets, "key"), "buckets")
     star = shared.where("doc <> pivot").select(F.least("doc", "pivot").alias("a"), F.greatest("doc", "pivot").alias("b")).distinct()
-    links = confirmed(star, docs, words, percent, key, text)
+    links, sets = confirmed(star, docs, words, percent, key, text)
     comps = components(links)
 
     # Buckets of three or more whose members ended up in several components: every such pair is looked at.
     labelled = shared.where("members > 2").select("key", "doc").join(comps, "doc", "left").select("key", "doc", F.coalesce("comp", "doc").alias("comp"))
-    split = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    rest = labelled.join(split, "key", "left_semi")
-    rest = written(rest.join(signed.select("doc", "n", "sketch"), "doc").dropDuplicates(["key", "doc"]), "rest")
+    split = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key", "lo")
+    rest = written(labelled.join(split, "key").select("doc", "lo", "comp").distinct(), "rest")
     if not rest.isEmpty():
-        more = _block_pairs(rest, percent).distinct().join(star, ["a", "b"], "left_anti")
-        found = confirmed(more, docs, words, percent, key, text)
+        families = components(rest.select(F.col("lo").alias("a"), F.col("comp").alias("b")).distinct()).select(F.col("doc").alias("comp"), F.col("comp").alias("family"))
+        members = rest.select("doc", "comp").distinct().join(families, "comp").join(signed.select("doc", "n", "sketch").dropDuplicates(["doc"]), "doc").join(sets, "doc")
+        found = written(_block_links(members, percent), "block-links")
         if not found.isEmpty():
             comps = components(links.union(found))
 
