@@ -109,4 +109,4 @@ def classification_batches(subjects: DataFrame, done: DataFrame, size: int = 40)
 def valid_verdicts(verdicts: DataFrame) -> DataFrame:
     """Verdicts that name a disposition and a rationale, with an id of their subject; levels other than 2 to 4 are dropped."""
     ok = verdicts.where(F.col("disposition").isin("placed", "rejected") & (F.trim("rationale") != ""))
-    return ok.withColumns({"id": F.concat(F.lit("cls-"), F.col("subject")), "level": F.when(F.col("level").between(2, 4), F.col("level")), "confidence": F.coalesce(F.least(F.greatest("confidence", F.lit(0.0)), F.lit(1.0)), F.lit(0.5))})
+    return ok.withColumns({"id": F.concat(F.lit("cls-"), F.col("subject")), "level": F.when(F.col("level").between(2, 4), F.col("level")), "confidence": F.when(F.col("confidence").isNull(), 0.5).otherwise(F.least(F.greatest("confidence", F.lit(0.0)), F.lit(1.0)))})

@@ -36,7 +36,7 @@ def load_stream(stream: DataFrame, gate: Callable[[DataFrame], DataFrame], out:
     """Batches through a gate into a folder per status; a batch that is repeated overwrites its own folder."""
 
     def load(batch: DataFrame, number: int) -> None:
-        gate(batch).withColumn("batch", F.lit(number)).write.mode("overwrite").partitionBy("status").parquet(f"{out}/batch={number}")
+        gate(batch).write.mode("overwrite").partitionBy("status").parquet(f"{out}/batch={number}")
 
     return stream.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
