@@ -92,7 +92,7 @@ def kept_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact groups of all documents."""
-    return exact_groups(table(spark, sf_dir, "documents"))
+    return exact_groups(table(spark, sf_dir, "documents")).drop("n_chunks")
 
 
 OP2_SQL = r"""
