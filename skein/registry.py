@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .functions import documents as docs_f
 from .functions import quality as q
 from .functions import text as tx
-from .operators import evaluation, gates, graph, lookup, realisation, resolution, search, temporal
+from .operators import display, evaluation, extraction, gates, graph, lookup, realisation, resolution, search, temporal
 from .plans import views
 from .sources import files, star
 from .sources.star import EDGES_SQL, NODES_SQL, SHIPPED_SQL
@@ -586,6 +586,99 @@ def keyword_top(spark, sf):
     return search.keyword_top(star.nodes(spark, sf).where("type = 'BoundedContext'"), "United Kingdom", 5)
 
 
+# --- displays, reports, extraction ----------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {NODES_SQL} SELECT type, CASE WHEN type = 'Service' THEN 'L3' ELSE 'L1' END AS layer, count(*) AS n, round(count(*) * 1.0 / sum(count(*)) OVER (), 6) AS share FROM nodes GROUP BY type")
+def type_summary(spark, sf):
+    return display.type_summary(star.nodes(spark, sf)).withColumn("share", F.round("share", 6))
+
+
+@query(f"WITH {NODES_SQL} SELECT CASE WHEN type = 'Service' THEN 'L3' ELSE 'L1' END AS layer, string_agg(DISTINCT type, ',' ORDER BY type) AS types, count(*) AS n FROM nodes GROUP BY 1")
+def concept_model(spark, sf):
+    return display.concept_model(star.nodes(spark, sf)).withColumn("types", F.array_join("types", ","))
+
+
+@query(GRAPH + "SELECT type, direction, count(*) AS n FROM (SELECT type, 'out' AS direction FROM edges WHERE source_id = 'n3' UNION ALL SELECT type, 'in' FROM edges WHERE target_id = 'n3' AND source_id <> 'n3') e GROUP BY ALL")
+def relationship_groups(spark, sf):
+    return display.relationship_groups(lookup.entry_detail(*_both(spark, sf), "n3"))
+
+
+@query(f"WITH {NODES_SQL} SELECT id FROM nodes WHERE type = 'BoundedContext' ORDER BY id LIMIT 5")
+def seed_probe(spark, sf):
+    return display.seeds(star.nodes(spark, sf), ["OrchestrationFlow", "BoundedContext", "Service"])
+
+
+@query(GRAPH + ", s AS (SELECT id FROM nodes WHERE type = 'Subdomain'), a AS (SELECT DISTINCT source_id AS id FROM edges JOIN s ON target_id = s.id AND type = 'belongsTo'), b AS (SELECT DISTINCT source_id AS id FROM edges JOIN a ON target_id = a.id AND type = 'belongsTo') SELECT id, min(depth) AS depth FROM (SELECT id, 0 AS depth FROM s UNION ALL SELECT id, 1 FROM a UNION ALL SELECT id, 2 FROM b) x GROUP BY id")
+def multi_seed_bfs(spark, sf):
+    nodes, edges = _both(spark, sf)
+    return graph.traverse(nodes, edges, nodes.where("type = 'Subdomain'"), "in", ["belongsTo"], depth=3)[0]
+
+
+@query("SELECT 'p' || min(p_partkey) AS survivor, count(*) - 1 AS n FROM part GROUP BY p_type, p_brand HAVING count(*) > 1")
+def merge_report(spark, sf):
+    entities = _entities(spark, sf).withColumn("name", F.col("brand"))
+    return display.merge_report(resolution.resolve_exact(entities)[1], entities).select("survivor", "n")
+
+
+_SCORES = "WITH s AS (SELECT c_custkey AS id, c_mktsegment AS segment, c_nationkey AS nation, greatest(0.0, c_acctbal / 10000.0) AS score, c_custkey % 13 / 13.0 AS other FROM customer) "
+
+
+def _scores(spark, sf):
+    c = star.table(spark, sf, "customer")
+    return c.select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("segment"), F.col("c_nationkey").alias("nation"), F.greatest(F.lit(0.0), F.col("c_acctbal") / 10000).alias("score"), (F.col("c_custkey") % 13 / 13).alias("other"))
+
+
+@query(_SCORES + "SELECT * FROM (SELECT 'score' AS dimension, id, round(score, 6) AS value FROM s ORDER BY score, id LIMIT 10) a UNION ALL SELECT * FROM (SELECT 'other', id, round(other, 6) FROM s ORDER BY other, id LIMIT 10) b")
+def worst_per_dimension(spark, sf):
+    return display.worst_per_dimension(_scores(spark, sf), ["score", "other"]).withColumn("value", F.round("value", 6))
+
+
+@query(_SCORES + "SELECT segment, nation, count(*) AS n, round(avg(score), 6) AS score FROM s GROUP BY GROUPING SETS ((), (segment), (nation))")
+def quality_drill_down(spark, sf):
+    return display.drill_down(_scores(spark, sf), ["segment", "nation"]).withColumn("score", F.round("score", 6))
+
+
+@query("SELECT date_trunc('day', ts) AS start, count(*) AS n, round(avg(value), 5) AS score FROM events GROUP BY 1")
+def quality_trend(spark, sf):
+    rows = star.table(spark, sf, "events").select("ts", F.col("value").alias("score"))
+    return display.trend(rows).select(F.col("start").cast("timestamp_ntz").alias("start"), "n", F.round("score", 5).alias("score"))
+
+
+@query("SELECT o_orderpriority AS source, count(*) AS n, min(o_orderdate) AS oldest FROM orders WHERE o_orderdate < TIMESTAMP '1998-08-02 00:00:00' - INTERVAL 365 DAY GROUP BY 1")
+def staleness_report(spark, sf):
+    rows = star.table(spark, sf, "orders").select(F.col("o_orderpriority").alias("source"), F.col("o_orderdate").alias("evidenced_at"))
+    return display.stale(rows, "1998-08-02 00:00:00", 365)
+
+
+_CLAIMS = "WITH c AS (SELECT o_custkey AS subject, 'status' AS field, o_orderstatus AS value, o_orderdate AS valid_from, o_orderdate + INTERVAL 30 DAY AS valid_to, o_totalprice AS authority FROM orders), h AS (SELECT DISTINCT a.subject FROM c a JOIN c b ON a.subject = b.subject AND a.value <> b.value AND a.valid_from < b.valid_to AND b.valid_from < a.valid_to) "
+
+
+@query(_CLAIMS + "SELECT subject, field, count(DISTINCT value) AS kinds, arg_max(value, authority) AS kept FROM c WHERE subject IN (SELECT subject FROM h) GROUP BY subject, field")
+def contradictions(spark, sf):
+    o = star.table(spark, sf, "orders")
+    claims = o.select(F.col("o_custkey").alias("subject"), F.lit("status").alias("field"), F.col("o_orderstatus").alias("value"), F.col("o_orderdate").alias("valid_from"), (F.col("o_orderdate") + F.expr("INTERVAL 30 DAY")).alias("valid_to"), F.col("o_totalprice").alias("authority"), F.col("o_orderdate").alias("stated_at"), F.lit(1.0).alias("confidence"))
+    return display.contradictions(claims)
+
+
+@query("SELECT CAST(conv_id AS VARCHAR) AS document, CAST(turn AS VARCHAR) AS section, role AS type, length(text) AS length FROM conversations WHERE text IS NOT NULL")
+def scripted_extraction(spark, sf):
+    turns = star.table(spark, sf, "conversations").select(F.col("conv_id").cast("string").alias("document"), F.col("turn").cast("string").alias("section"), "role", "text")
+    script = turns.where("text is not null").select("document", "section", F.col("role").alias("type"))
+    return extraction.scripted(turns.select("document", "section", "text"), script).select("document", "section", "type", F.length("text").alias("length"))
+
+
+@query("SELECT 'p' || p_partkey AS id, CASE WHEN trim(p_name || ' ' || p_type) <> '' THEN p_name || ' ' || p_type ELSE '{}' END AS text FROM part")
+def vector_load_text(spark, sf):
+    entries = star.table(spark, sf, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("id"), F.lit("Part").alias("type"), F.col("p_name").alias("name"), F.col("p_type").alias("description"), F.lit("{}").alias("data"))
+    return extraction.vector_rows(entries).select("id", "text")
+
+
+@query("SELECT l_returnflag AS run_id, l_linestatus AS type, count(*) AS n FROM lineitem GROUP BY ALL")
+def ingestion_history(spark, sf):
+    return star.table(spark, sf, "lineitem").groupBy(F.col("l_returnflag").alias("run_id"), F.col("l_linestatus").alias("type")).agg(F.count(F.lit(1)).alias("n"))
+
+
 # --- streams, run as tables ---------------------------------------------------------------------------------------------------------
 
 
