@@ -38,8 +38,8 @@ from .common import table, written
 
 #: Longer texts are split into chunks of this many characters.
 GIANT = 32_768
-#: Words and piece pairs that a worker remembers.
-WORDS, PAIRS = 400_000, 1_500_000
+#: Words (twice as many) and piece pairs that a worker remembers.
+WORDS, PAIRS = 120_000, 400_000
 SPACE = "▁"
 
 
@@ -76,8 +76,16 @@ class Pieces:
         self.most = max(map(len, self.ids))
         self.inner = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
         self.starts = {p[:k] for p in self.ids for k in range(1, len(p) + 1)}
+        self.trie: dict = {}
+        for piece, i in self.ids.items():
+            node = self.trie
+            for ch in piece:
+                node = node.setdefault(ch, {})
+            node[""] = i
         self.pairs: dict[int, bool] = {}
+        self.alone: dict[int, bool] = {}
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     # --- neighbours --------------------------------------------------------------------------
 
@@ -105,6 +113,13 @@ class Pieces:
             known = self.pairs[key] = self.merged(x + y) == [x, y]
         return known
 
+    def whole(self, k: int) -> bool:
+        """Whether a piece's own text gives just this piece."""
+        known = self.alone.get(k)
+        if known is None:
+            known = self.alone[k] = self.merged(self.text[k]) == [self.text[k]]
+        return known
+
     def starting(self, text: str, i: int, end: int) -> Iterator[tuple[int, int]]:
         """(end, id) of every piece of ``text`` that starts at i."""
         for j in range(i + 1, min(end, i + self.most) + 1):
@@ -118,21 +133,31 @@ class Pieces:
 
     def path(self, text: str) -> list[int]:
         """The fitting path through a text whose both ends are free cuts."""
-        n = len(text)
-        ends: list[dict[int, tuple[int, int]]] = [{} for _ in range(n + 1)]
+        n, pairs = len(text), self.pairs
+        ends: list[dict[int, tuple[int, int]] | None] = [None] * (n + 1)
+        ends[0] = {-1: (0, -1)}
         for i in range(n):
             before = ends[i]
-            if i and not before:
+            if before is None:
                 continue
-            for j, k in self.starting(text, i, n):
-                if not i:
-                    if self.merged(text[:j]) == [text[:j]]:
-                        ends[j][k] = (0, -1)
-                elif k not in ends[j]:
-                    for a in before:
-                        if self.fits(a, k):
-                            ends[j][k] = (i, a)
-                            break
+            node = self.trie
+            for j in range(i + 1, n + 1):
+                node = node.get(text[j - 1])
+                if node is None:
+                    break
+                k = node.get("")
+                here = ends[j]
+                if k is None or (here is not None and k in here):
+                    continue
+                for a in before:
+                    ok = self.whole(k) if a < 0 else pairs.get(a << 20 | k)
+                    if ok is None:
+                        ok = self.fits(a, k)
+                    if ok:
+                        if here is None:
+                            here = ends[j] = {}
+                        here[k] = (i, a)
+                        break
         return self._back(ends, n, next(iter(ends[n])))
 
     @staticmethod
@@ -145,29 +170,37 @@ class Pieces:
 
     def word(self, word: str) -> bytes:
         """Ids (16 bits each) of a stretch between free cuts: split further where cuts are free."""
-        out: list[int] = []
-        start = 0
-        for i in range(1, len(word) + 1):
-            if i == len(word) or word[i - 1 : i + 1] not in self.inner:
-                part = word[start:i]
-                if part in self.ids and len(part) == 1:
-                    out.append(self.ids[part])
-                elif len(part) == 1:
-                    out += [self.byte[b] for b in part.encode()]
-                else:
-                    out += self.path(part)
-                start = i
-        return np.array(out, np.uint16).tobytes()
+        cuts = [i for i in range(1, len(word)) if word[i - 1 : i + 1] not in self.inner]
+        if not cuts:
+            return self._part(word)
+        out = []
+        for a, b in zip([0, *cuts], [*cuts, len(word)], strict=True):
+            part = word[a:b]
+            known = self.words.get(part) or self.older.get(part)
+            if known is None:
+                known = self.words[part] = self._part(part)
+            out.append(known)
+        return b"".join(out)
+
+    def _part(self, part: str) -> bytes:
+        if len(part) > 1:
+            ids = self.path(part)
+        else:
+            ids = [self.ids[part]] if part in self.ids else [self.byte[b] for b in part.encode()]
+        return np.array(ids, np.uint16).tobytes()
 
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        if len(self.words) >= WORDS:
-            self.words.clear()
-        words, known = split_words(text), self.words
+        return self._joined(split_words(text))
+
+    def _joined(self, words: list[str]) -> bytes:
+        if len(self.words) >= WORDS:  # words that come again move over from the older half
+            self.older, self.words = self.words, {}
+        known, older = self.words, self.older
         for w in set(words):
             if w not in known:
-                known[w] = self.word(w)
+                known[w] = older[w] if w in older else self.word(w)
         return b"".join(map(known.__getitem__, words))
 
     def decode(self, ids: np.ndarray) -> bytes:
@@ -204,7 +237,7 @@ class Pieces:
                 continue
             for j, k in self._next(text, i, len(text)):
                 mask, previous = (1, (-1, -2)) if first and i == start else (0, (-1, -2))
-                if first and i == start and k >= 0 and self.merged(text[i:j]) != [text[i:j]]:
+                if first and i == start and k >= 0 and not self.whole(k):
                     continue
                 for a, (m, _, _) in before.items():
                     if self._fit(a, k):
@@ -215,16 +248,32 @@ class Pieces:
                     ends[j][k] = (mask | old[0], old[1], old[2]) if old else (mask, *previous)
         return ends
 
+    def free(self, text: str, start: int, end: int) -> tuple[int, int] | None:
+        """(first, last) cut strictly inside a chunk that no piece crosses; None if there is none."""
+        low = next((c for c in range(start + 1, end) if text[c - 1 : c + 1] not in self.inner), None)
+        return None if low is None else (low, next(c for c in range(end - 1, start, -1) if text[c - 1 : c + 1] not in self.inner))
+
     def transfer(self, text: str, start: int, end: int, first: bool, last: bool) -> np.ndarray:
-        """Max-plus weights (0 or minus infinity) from entry states to exit states."""
+        """Max-plus weights (0 or minus infinity) from entry states to exit states.
+
+        At a cut that no piece crosses all states are one, so only the stretches before the first and
+        behind the last such cut are searched; in between there is one path whatever comes before.
+        """
         entries = [] if first else self.states(text, start)
         exits = [(end, end, None)] if last else self.states(text, end)
-        ends = self.chunk(text, start, end, first, last, entries)
-        out = np.full((max(1, len(entries)), len(exits)), -np.inf)
+        cuts = self.free(text, start, end)
+        if cuts is None:
+            return self._weights(self.chunk(text, start, end, first, last, entries), max(1, len(entries)), exits)
+        head = self._weights(self.chunk(text, start, cuts[0], first, False, entries), max(1, len(entries)), [(cuts[0], cuts[0], None)])
+        tail = self._weights(self.chunk(text, cuts[1], end, True, last, []), 1, exits)
+        return product(head, tail)
+
+    @staticmethod
+    def _weights(ends: list, rows: int, exits: list[tuple]) -> np.ndarray:
+        out = np.full((rows, len(exits)), -np.inf)
         for y, (_, j, k) in enumerate(exits):
-            masks = [v[0] for v in ends[j].values()] if k is None else [ends[j].get(k, (0,))[0]]
-            for mask in masks:
-                for x in range(out.shape[0]):
+            for mask in [v[0] for v in ends[j].values()] if k is None else [ends[j].get(k, (0,))[0]]:
+                for x in range(rows):
                     if mask >> x & 1:
                         out[x, y] = 0.0
         return out
@@ -232,12 +281,20 @@ class Pieces:
     def trace(self, text: str, start: int, end: int, first: bool, last: bool, entry: int, leave: int) -> bytes:
         """Ids of the pieces that start in a chunk, given its states."""
         entries = [] if first else [self.states(text, start)[entry]]
+        goal = None if last else self.states(text, end)[leave][1:]
+        cuts = self.free(text, start, end)
+        if cuts is None:
+            return self._trace(text, start, end, first, last, entries, goal)
+        middle = _ESCAPED.findall(text[cuts[0] : cuts[1]])
+        return self._trace(text, start, cuts[0], first, True, entries, None) + self._joined(middle) + self._trace(text, cuts[1], end, True, last, [], goal)
+
+    def _trace(self, text: str, start: int, end: int, first: bool, last: bool, entries: list, goal: tuple[int, int] | None) -> bytes:
         ends = self.chunk(text, start, end, first, last, entries)
-        j, k = (end, next(iter(ends[end]))) if last else self.states(text, end)[leave][1:]
+        j, k = goal or (end, next(iter(ends[end])))
         out: list[tuple[int, int]] = []
         while k != -2 and not (entries and (j, k) == entries[0][1:] and ends[j][k][1] == -1):
             _, i, a = ends[j][k]
-            out.append((i, k) if i >= 0 else (start if first else i, k))
+            out.append((i if i >= 0 else start, k))
             j, k = i, a
         ids: list[int] = []
         for i, k in reversed(out):
@@ -251,6 +308,7 @@ def split_words(text: str) -> list[str]:
 
 
 _WORDS = re.compile("\n| *[^ \n]+| +")
+_ESCAPED = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
 
 
 @lru_cache(maxsize=2)
