@@ -7,8 +7,9 @@ an adaptive context-mixing range coder (``rangecoder``) and checked by checksums
 written by Spark's own writer, one row each, so tasks may be repeated; the line end that the writer
 adds is cut off by the reader.
 
-A text's ids are those of its words one after the other, as the tokenizer drops white space; a worker
-remembers the ids of words up to ``WORDS`` of them.
+A text's ids are those of its pieces one after the other: it is cut where the tokenizer's own pattern
+cuts, or only at white space around characters beyond ASCII, Latin letters and common signs. A worker
+remembers the ids of pieces up to ``WORDS`` of them.
 
 Cases: null text counts as empty and has only the end id; rows without doc_id come first; rows that
 repeat a doc_id follow each other, ordered by text; an empty table writes no file and reads back as an
@@ -39,8 +40,12 @@ BLOCK_IDS, FILE_IDS = 1 << 20, 1 << 22
 WORDS = 500_000
 MAGIC = b"IDS1"
 _HEAD = struct.Struct("<4sqqIIII")
-#: Stretches that the tokenizer splits anyway: letters (with all that may join them) and plain ASCII signs.
-_SPLIT = re.compile(r"[A-Za-z'<=>|\x80-\U0010ffff]+|[!\"#$%&()*+,\-./0-9:;?@\[\\\]^_`{}~\x00-\x08\x0e-\x1f\x7f]+")
+#: The tokenizer's own pieces of lower-cased text: letters with a contraction, a contraction, digits (which it takes
+#: one by one), and all other signs up to the next white space, letter or digit.
+_LETTERS, _SIGNS, _ENDING = "a-zÀ-ÖØ-öø-įı-ſ", "«»‐-‧", "'(?:[stmd]|re|ve|ll)"
+_PIECES = re.compile(rf"[{_LETTERS}]+(?:{_ENDING})?|{_ENDING}|[0-9]+|[^ \t-\r0-9{_LETTERS}]+")
+#: Stretches between ASCII white space, and a character whose class or normal form is left to the tokenizer.
+_STRETCHES, _OTHER = re.compile(r"[^ \t-\r]+"), re.compile(rf"[^\x00-\x7f{_LETTERS}{_SIGNS}]")
 
 
 def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
@@ -49,6 +54,18 @@ def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def pieces(text: str) -> list[str]:
+    """Parts of a text whose ids, one after the other, are the text's: pieces, or stretches that hold other characters."""
+    raw = text.encode("utf-8", "replace")
+    # signs of special tokens, and marks that may join a letter before it is lower-cased (all of U+0300 to U+036F)
+    if "<|" in text or b"\xcc" in raw or b"\xcd" in raw:
+        return _STRETCHES.findall(text)
+    low = raw.lower().decode()  # ASCII only, so that words are shared
+    if low.isascii() or not _OTHER.search(low):
+        return _PIECES.findall(low)
+    return [p for s in _STRETCHES.findall(low) for p in ([s] if _OTHER.search(s) else _PIECES.findall(s))]
+
+
 class WordIds:
     """The tokenizer, with a memory of words."""
 
@@ -84,8 +101,7 @@ class WordIds:
         """Ids of each text, without an end id."""
         if len(self.known) > WORDS:
             self.known.clear()
-        # plain lower-casing shares words; a text with a special token's signs is left as it is
-        split = [_SPLIT.findall(t if "<|" in t else t.encode("utf-8", "replace").lower().decode()) for t in texts]
+        split = [pieces(t) for t in texts]
         if new := set().union(*split) - self.known.keys():
             self._learn(sorted(new))
         return [np.frombuffer(b"".join(map(self.known.__getitem__, words)), np.uint16) for words in split]

@@ -138,6 +138,20 @@ def test_ids_equal_the_library(spark, docs, rows, nothing, doubled):
         assert tokens.read_ids(spark, path).count() == odd.count()
 
 
+def test_cuts_equal_the_library():
+    import random
+    import unicodedata
+
+    words, rng = tokens.WordIds(tokens.tokenizer_file()), random.Random(4)
+    texts = ["he left.”", "'yes,' he said", "</p>", "a -> b", 'a="b">', "end)—then", "wow!'", "cool!😀", "x.»", "(“x”)", "Don'ts 'S ''s 'tis 5's it'LL x'ſ", '<a href="x">it\'s</a><br/>', "İ. İx", "x²½ 3.14", "a<|endoftext|>B <|ENDOFTEXT|>'S", "J\u030c H\u0331 e\u0301. \u0301a", "a\u00a0.\u2028.\x1c.\x85.", "日本語。テスト 가\u11a8", "\u212a'\u212a ªº ŉ ß."]
+    signs = "aaBsStTdreLlvm''''.,!<>=|-\"()/0129²½ \t\n\x1c\x00\u00a0\u0301\u030cJéÉİıſŒ«»“”’—…😀日。αΩя\u200d\u2028ªº×÷"
+    texts += ["".join(rng.choices(signs[: rng.choice((30, 50, len(signs)))], k=rng.randrange(40))) for _ in range(4000)]
+    texts += [unicodedata.normalize("NFD", t) for t in texts[:300]]
+    for _ in range(2):  # learnt, and remembered
+        found = words.encode(texts)
+        assert [t for t, ids in zip(texts, found, strict=True) if ids.tolist() != words.model.encode(t, add_special_tokens=False).ids] == []
+
+
 # --- 5: language -----------------------------------------------------------------------------------------
 
 
