@@ -29,15 +29,42 @@ def resolve_exact(entities: DataFrame) -> tuple[DataFrame, DataFrame]:
     return survivors, remap
 
 
+def _named(entities: DataFrame) -> DataFrame:
+    """id, type, name, tokens (sorted) of entities with salient tokens."""
+    name = first_filled(F.col("name"), F.col("id"))
+    return entities.select("id", "type", name.alias("name"), F.array_sort(salient_tokens(name)).alias("tokens")).where("size(tokens) > 0")
+
+
+def _classes(named: DataFrame) -> DataFrame:
+    """type, tokens, rep: the smallest id of each type and token set."""
+    return named.groupBy("type", "tokens").agg(F.min("id").alias("rep"))
+
+
+def class_members(entities: DataFrame) -> DataFrame:
+    """type, rep, id of every other entity with its representative's type and token set."""
+    # tokens hold no spaces; a digest of them is joined, so that whole texts need not be
+    named = _named(entities).select("id", "type", F.sha2(F.array_join("tokens", " "), 256).alias("key"))
+    reps = named.groupBy("type", "key").agg(F.min("id").alias("rep"))
+    return named.join(reps, ["type", "key"]).where("id <> rep").select("type", "rep", "id")
+
+
+def similar_links(entities: DataFrame, least: float = SIMILAR) -> DataFrame:
+    """a, b, similarity, kind: pairs of representatives ("pair") and each member under its representative ("member").
+
+    Two entities are similar exactly if their representatives are one or make a pair, so no link is lost.
+    """
+    members = class_members(entities).select("type", F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("similarity"), F.lit("member").alias("kind"))
+    return similar_pairs(entities, least).withColumn("kind", F.lit("pair")).unionByName(members)
+
+
 def similar_pairs(entities: DataFrame, least: float = SIMILAR) -> DataFrame:
-    """a, b, similarity of same-type names with enough salient tokens in common, each pair once.
+    """a, b, similarity of same-type representatives with enough salient tokens in common, each pair once.
 
-    Equal token sets are one class first, so copies never pair up with each other. A pair at the
+    Equal token sets are one class first, so copies never pair up with each other (see ``class_members``). A pair at the
     threshold shares one of the rarest tokens of each: only those (a prefix in order of frequency)
     are joined, so a word that most names have makes no pairs.
     """
-    named = entities.select("id", "type", F.array_sort(salient_tokens(first_filled(F.col("name"), F.col("id")))).alias("tokens")).where("size(tokens) > 0")
-    classes = named.groupBy("type", "tokens").agg(F.min("id").alias("rep"))
+    classes = _classes(_named(entities))
     exploded = classes.select("type", "rep", F.explode("tokens").alias("token"), F.size("tokens").alias("n"))
     frequency = exploded.groupBy("type", "token").agg(F.count(F.lit(1)).alias("uses"))
     ranked = exploded.join(frequency, ["type", "token"]).groupBy("type", "rep", "n").agg(F.array_sort(F.collect_list(F.struct("uses", "token"))).alias("_t"))
@@ -53,11 +80,8 @@ def similar_pairs(entities: DataFrame, least: float = SIMILAR) -> DataFrame:
 
 def candidate_blocks(entities: DataFrame, least: float = SIMILAR, most: int = MOST_IN_BLOCK) -> DataFrame:
     """component, block, id: groups of similar names of up to ``most``; a last one that would be alone joins the block before."""
-    named = entities.select("id", "type", first_filled(F.col("name"), F.col("id")).alias("name"), F.array_sort(salient_tokens(first_filled(F.col("name"), F.col("id")))).alias("tokens")).where("size(tokens) > 0")
-    classes = named.groupBy("type", "tokens").agg(F.min("id").alias("rep"))
-    members = named.join(classes, ["type", "tokens"])
-    links = similar_pairs(entities, least).select("a", "b").unionByName(members.where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b")))
-    found = components(links).join(named.select("id", "name"), "id")
+    links = similar_links(entities, least).select("a", "b")
+    found = components(links).join(_named(entities).select("id", "name"), "id")
     w = Window.partitionBy("component")
     n, all_of = F.row_number().over(w.orderBy("name", "id")) - 1, F.count(F.lit(1)).over(w)
     block = F.floor(n / most)

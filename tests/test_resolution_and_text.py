@@ -103,6 +103,32 @@ def test_similar_pairs_against_brute_force(spark):
     assert all(2 <= len(v) <= 5 for v in sizes.values()) and len({r["id"] for r in blocks}) == len(blocks)
 
 
+def test_blocking_query_links_all_different_texts(spark, tmp_path):
+    import random
+
+    from skein import registry
+
+    rng = random.Random(9)
+    pool = ["card", "cards", "Card,", "bank", "Banks", "loan", "the", "as", "hub", "risk", "fund"]
+    texts = [" ".join(rng.choices(pool, k=rng.randrange(1, 8))) for _ in range(120)] + ["only here words", "Words, here: ONLY", "the of as", None]
+    rows = [(i, t, rng.choice(["en", "de", None])) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+
+    def bag(t):
+        words = [w for w in "".join(c if c.isalnum() else " " for c in t.lower()).split() if len(w) >= 3 and w != "the"]
+        return frozenset(w[:-1] if len(w) > 3 and w.endswith("s") else w for w in words)
+
+    sets = {str(i): (lang, bag(t)) for i, t, lang in rows if t is not None}
+    ids = sorted(sets)
+    want = {(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if sets[a][0] == sets[b][0] and sets[a][1] and len(sets[a][1] & sets[b][1]) / len(sets[a][1] | sets[b][1]) >= 0.67}
+    out = registry.blocking_pairs_jaccard(spark, str(tmp_path)).collect()
+    of = {r["b"]: r["a"] for r in out if r["kind"] == "member"}
+    near = {(r["a"], r["b"]) for r in out if r["kind"] == "pair"}
+    rep = {i: of.get(i, i) for i in ids}
+    assert {(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if sets[a][1] and (rep[a] == rep[b] or tuple(sorted((rep[a], rep[b]))) in near)} == want
+    assert not set(of) & set(of.values()) and len(out) == len({(r["a"], r["b"]) for r in out}) and all(r["similarity"] == 1 for r in out if r["kind"] == "member")
+
+
 def test_groups(spark, entities):
     groups = spark.createDataFrame([("g1", ["1", "6", "6", "zz"]), ("g2", ["7"]), ("g3", ["6", "7"])], "group string, ids array<string>")
     members = resolution.adjudicated(groups, entities)
