@@ -85,12 +85,12 @@ def components(links: DataFrame) -> DataFrame:
     return state
 
 
-def forest(parents: DataFrame, deepest: int = 64) -> DataFrame:
+def forest(parents: DataFrame) -> DataFrame:
     """id, parent (null at roots), orphaned, from id, parent as stated.
 
     A parent that is missing, or the row itself, makes an orphaned root. Of a cycle, the largest id loses
-    its parent and becomes a root that is not orphaned. Cycles are found by pointer doubling: after
-    enough jumps every id on a cycle has passed all of it.
+    its parent and becomes a root that is not orphaned. Cycles are found by pointer doubling: once the
+    jumps are as long as there are ids left, every id on a cycle has passed all of it.
     """
     ids = parents.select(F.col("id").alias("parent"))
     known = parents.join(ids.withColumn("_there", F.lit(True)), "parent", "left")
@@ -98,25 +98,32 @@ def forest(parents: DataFrame, deepest: int = 64) -> DataFrame:
     stated = settled(stated)
     # jump: where an id is after 2^k steps upwards, and the largest id seen on the way
     jump = stated.where("parent is not null").select("id", F.col("parent").alias("at"), F.greatest("id", "parent").alias("most"))
-    for _ in range(max(1, deepest.bit_length())):
+    steps, left = 1, None
+    while left is None or steps < left:
         further = jump.select(F.col("id").alias("at"), F.col("at").alias("then"), F.col("most").alias("more"))
         jump = settled(jump.join(further, "at").select("id", F.col("then").alias("at"), F.greatest("most", "more").alias("most")))
+        steps, left = 2 * steps, jump.count()  # ids whose path has ended have dropped out
     cut = jump.where("id = most").join(jump.select(F.col("at").alias("id")).distinct(), "id", "left_semi").select("id", F.lit(True).alias("_cut"))
     return stated.join(cut, "id", "left").select("id", F.when(F.col("_cut").isNull(), F.col("parent")).alias("parent"), "orphaned")
 
 
-def closure(tree: DataFrame, deepest: int = 64) -> DataFrame:
-    """ancestor, id, distance of every row with its ancestors and itself, from a forest without cycles."""
-    up = settled(tree.where("parent is not null").select("id", "parent"))
+def closure(tree: DataFrame) -> DataFrame:
+    """ancestor, id, distance of every row with its ancestors and itself, from a forest without cycles.
+
+    Each round joins the pairs at the largest distance so far with all pairs, which doubles that distance.
+    """
+    reach = settled(tree.where("parent is not null").select(F.col("parent").alias("ancestor"), "id", F.lit(1).alias("distance")))
     whole = tree.select(F.col("id").alias("ancestor"), "id", F.lit(0).alias("distance"))
-    level = up.select(F.col("parent").alias("ancestor"), "id", F.lit(1).alias("distance"))
-    for _ in range(deepest):
-        level = settled(level)
-        if level.isEmpty():
-            break
-        whole = whole.unionByName(level)
-        level = level.join(up.select(F.col("id").alias("ancestor"), F.col("parent").alias("next")), "ancestor").select(F.col("next").alias("ancestor"), "id", (F.col("distance") + 1).alias("distance"))
-    return whole
+    steps, most = 1, reach.count()
+    while True:
+        top = reach.where(F.col("distance") == steps).select("id", F.col("ancestor").alias("at"))
+        onward = reach.select(F.col("id").alias("at"), "ancestor", "distance")
+        further = settled(top.join(onward, "at").select("ancestor", "id", (F.col("distance") + steps).alias("distance")))
+        if further.isEmpty():
+            return whole.unionByName(reach)
+        if steps >= most:
+            raise ValueError("not a forest: a cycle of parents")
+        reach, steps = reach.unionByName(further), 2 * steps
 
 
 def descendant_counts(tree: DataFrame) -> DataFrame:

@@ -75,6 +75,20 @@ def test_forest_cuts_cycles_and_marks_orphans(spark):
     assert paths["k2"] == ["r", "k", "k2"] and paths["tail"] == ["c3", "c2", "tail"]
 
 
+def test_deep_chains_and_long_cycles(spark):
+    chain = [(f"n{i:03d}", f"n{i - 1:03d}" if i else None) for i in range(150)]
+    ring = [(f"z{i:03d}", f"z{(i + 1) % 300:03d}") for i in range(300)]
+    deep = spark.createDataFrame(chain, "id string, parent string")
+    pairs = {(r["ancestor"], r["id"], r["distance"]) for r in graph.closure(graph.forest(deep)).collect()}
+    assert pairs == {(f"n{a:03d}", f"n{b:03d}", b - a) for b in range(150) for a in range(b + 1)}
+    assert {r["id"]: r["descendants"] for r in graph.descendant_counts(deep).collect()} == {f"n{i:03d}": 149 - i for i in range(150)}
+    assert {r["id"]: len(r["path"]) for r in graph.with_paths(deep.withColumn("name", F.col("id"))).collect()} == {f"n{i:03d}": i + 1 for i in range(150)}
+    both = spark.createDataFrame(chain + ring + [("zz", "z007"), ("zzz", "zz")], "id string, parent string")
+    assert {r["id"]: r["parent"] for r in graph.forest(both).collect()} == dict(chain + ring) | {"z299": None, "zz": "z007", "zzz": "zz"}
+    with pytest.raises(ValueError, match="not a forest"):
+        graph.closure(spark.createDataFrame(ring[:2] + [("z002", "z000")], "id string, parent string"))
+
+
 def test_impact_prunes_and_keeps_the_best(spark):
     edges = spark.createDataFrame([("a", "b", 1.0, 0.5), ("a", "c", 1.0, 1.0), ("c", "b", 1.0, 1.0), ("b", "d", 0.1, 1.0)], "source_id string, target_id string, strength double, confidence double")
     out = {r["id"]: (round(r["score"], 6), r["distance"]) for r in graph.impact(edges, "a", 1.0, 3, 0.1).collect()}
