@@ -13,6 +13,7 @@ embedded one are not reported again; rows that repeat give equal results; extra
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -125,16 +126,105 @@ def _bmp(data: memoryview, at: int) -> int:
     return size if fits and plausible and width > 0 and height and offset + (width * bits + 31) // 32 * 4 * abs(height) <= size else 0
 
 
+def _table(bits: int, poly: int) -> list[int]:
+    out = []
+    for value in range(256):
+        r = value << (bits - 8)
+        for _ in range(8):
+            r = (r << 1) ^ (poly if r >> (bits - 1) else 0)
+            r &= (1 << bits) - 1
+        out.append(r)
+    return out
+
+
+_CRC8, _CRC16 = _table(8, 0x07), _table(16, 0x8005)
+
+
+def _flac_frame(data: memoryview, at: int, depth: int) -> int:
+    """The length of the frame at ``at``, by its subframes' bits and both checksums, or 0; ``depth`` is the stream's bits a sample."""
+    if len(data) < at + 6 or data[at] != 0xFF or data[at + 1] & 0xFE != 0xF8 or data[at + 3] & 1:
+        return 0
+    block, rate, layout, sample = data[at + 2] >> 4, data[at + 2] & 15, data[at + 3] >> 4, data[at + 3] >> 1 & 7
+    more = 0
+    while data[at + 4] << more & 0x80:  # the frame's number has as many bytes as its first one has leading ones
+        more += 1
+    pos = at + 4 + max(1, more)
+    size = [0, 192, 576, 1152, 2304, 4608, 0, 0, *(256 << i for i in range(8))][block]
+    if block in (6, 7):
+        size, pos = int.from_bytes(data[pos : pos + block - 5], "big") + 1, pos + block - 5
+    pos += {12: 1, 13: 2, 14: 2}.get(rate, 0)
+    check = 0
+    for byte in data[at:pos]:
+        check = _CRC8[check ^ byte]
+    depth = [depth, 8, 12, 0, 16, 20, 24, 32][sample]
+    if not size or not depth or rate == 15 or layout > 10 or data[pos] != check:
+        return 0
+    widths = [depth + 1, depth] if layout == 9 else [depth, depth + 1] if layout > 7 else [depth] * (layout + 1)
+    start, window = pos + 1, 1 << 14
+    while True:
+        view = data[start : start + window]
+        try:
+            used = _flac_subframes(format(int.from_bytes(view, "big"), f"0{8 * len(view)}b"), widths, size)
+            break
+        except (IndexError, ValueError):  # beyond the window, or beyond the bytes
+            if start + window >= len(data):
+                return 0
+            window *= 4
+    end = start + used
+    check = 0
+    for byte in data[at : end + 2]:
+        check = (check << 8 & 0xFFFF) ^ _CRC16[check >> 8 ^ byte]
+    return end + 2 - at if used and end + 2 <= len(data) and check == 0 else 0
+
+
+def _flac_subframes(bits: str, widths: list[int], size: int) -> int:
+    """Bytes of a frame's subframes, 0 if they are none; bits that are missing raise."""
+    pos = 0
+    for width in widths:
+        kind, wasted, pos = int(bits[pos : pos + 7], 2), bits[pos + 7] == "1", pos + 8
+        if wasted:
+            width, pos = width - (bits.index("1", pos) + 1 - pos), bits.index("1", pos) + 1
+        order = kind - 8 if 8 <= kind <= 12 else kind - 31 if 32 <= kind <= 63 else None
+        if order is None:
+            if kind > 1:
+                return 0
+            pos += width * (size if kind else 1)
+            continue
+        pos += order * width
+        if kind >= 32:
+            pos += 9 + order * (int(bits[pos : pos + 4], 2) + 1)
+        method, parts, pos = int(bits[pos : pos + 2], 2), 1 << int(bits[pos + 2 : pos + 6], 2), pos + 6
+        if method > 1 or size % parts or size // parts < order:
+            return 0
+        for part in range(parts):
+            n = size // parts - (0 if part else order)
+            rice, pos = int(bits[pos : pos + 4 + method], 2), pos + 4 + method
+            if rice == (31 if method else 15):
+                pos += 5 + n * int(bits[pos : pos + 5], 2)
+            else:
+                for _ in range(n):
+                    pos = bits.index("1", pos) + 1 + rice
+    if pos > len(bits):
+        raise IndexError
+    return -(-pos // 8)
+
+
 def _flac(data: memoryview, at: int) -> int:
-    """The metadata blocks are confirmed; frames run to the end of the bytes."""
+    """Metadata blocks, and the whole frames that follow them."""
     pos, first = at + 4, True
     while pos + 4 <= len(data):
         kind, n = data[pos] & 0x7F, int.from_bytes(data[pos + 1 : pos + 4], "big")
         if (first and (kind, n) != (0, 34)) or pos + 4 + n > len(data):
             return 0
-        if data[pos] & 0x80:
-            return len(data) - at
-        pos, first = pos + 4 + n, False
+        last, pos, first = data[pos] & 0x80, pos + 4 + n, False
+        if last:
+            depth = ((data[at + 20] & 1) << 4 | data[at + 21] >> 4) + 1
+            try:
+                while n := _flac_frame(data, pos, depth):
+                    pos += n
+            except IndexError:  # the bytes end within a frame's head
+                pass
+            return pos - at
     return 0
 
 
@@ -148,18 +238,32 @@ def _ogg(data: memoryview, at: int) -> int:
     return pos - at if at < pos <= len(data) else 0
 
 
+#: What may follow an end mark within a document: the next part or revision, or the end of the stream that holds an attached one.
+_PDF_GOES_ON = re.compile(rb"(?:[\0\t\n\f\r ]+|%(?!PDF-)[^\r\n]*[\r\n])*(?:\d+[\0\t\n\f\r ]+\d+[\0\t\n\f\r ]+obj\b|xref\b|endstream\b)")
+
+
 def _pdf(data: memoryview, at: int) -> int:
-    end = bytes(data[at:]).rfind(b"%%EOF")
-    return end + 5 if end > 8 else 0
+    """Up to the end mark of the last revision."""
+    raw, end, found = data.obj, 0, data.obj.find(b"%%EOF", at + 9)
+    while found >= 0:
+        end = found + 5
+        found = raw.find(b"%%EOF", end) if _PDF_GOES_ON.match(raw, end) else -1
+    return end - at if end else 0
 
 
 def _zip(data: memoryview, at: int) -> int:
-    body = bytes(data[at:])
-    end = body.rfind(b"PK\x05\x06")
-    if end < 0 or len(body) < end + 22:
-        return 0
-    size, offset, note = struct.unpack_from("<IIH", body, end + 12)
-    return end + 22 + note if offset + size == end and len(body) >= end + 22 + note else 0
+    """Up to the first end record whose directory of entries lies just before it, counted from ``at``."""
+    end = data.obj.find(b"PK\5\6", at)
+    while 0 <= end and end + 22 <= len(data):
+        entries, size, offset, note = struct.unpack_from("<HIIH", data, end + 10)
+        if at + offset + size == end and end + 22 + note <= len(data):
+            pos = at + offset
+            while pos + 46 <= end and data[pos : pos + 4] == b"PK\1\2":
+                pos, entries = pos + 46 + sum(struct.unpack_from("<HHH", data, pos + 28)), entries - 1
+            if pos == end and entries == 0:
+                return end + 22 + note - at
+        end = data.obj.find(b"PK\5\6", end + 4)
+    return 0
 
 
 #: (media type, magic bytes, validator)

@@ -335,6 +335,56 @@ def png() -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 1, 1, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(b"\0\0")) + chunk(b"IEND", b"")
 
 
+def flac() -> bytes:
+    def crc(data, bits, poly):
+        r = 0
+        for byte in data:
+            r ^= byte << (bits - 8)
+            for _ in range(8):
+                r = (r << 1 ^ (poly if r >> (bits - 1) else 0)) & ((1 << bits) - 1)
+        return r
+
+    def frame(number, subframes):
+        head = bytes([0xFF, 0xF8, 0x60, len(subframes) - 1 << 4 | 0x02, number, 15])  # 16 samples of 8 bits
+        bits = "".join(subframes)
+        body = head + bytes([crc(head, 8, 0x07)]) + int(bits.ljust(-(-len(bits) // 8) * 8, "0"), 2).to_bytes(-(-len(bits) // 8), "big")
+        return body + crc(body, 16, 0x8005).to_bytes(2, "big")
+
+    constant, verbatim = "0" + "000000" + "0" + "00000101", "0" + "000001" + "0" + "01000001" * 16
+    rice = lambda n, k: "".join("0" * (i % 4) + "1" + "10" * (k // 2) for i in range(n))
+    fixed = "0" + "001010" + "0" + "00000001" * 2 + "00" + "0001" + "0010" + rice(6, 2) + "1111" + "00011" + "101" * 8
+    lpc = "0" + "100000" + "1" + "01" + "000001" + "0100" + "00000" + "00001" + "01" + "0000" + "00100" + rice(15, 4)
+    info = struct.pack(">HH", 16, 16) + bytes(6) + (8000 << 44 | 1 << 41 | 7 << 36 | 48).to_bytes(8, "big") + bytes(16)
+    return b"fLaC" + b"\x80\0\0\x22" + info + frame(0, [constant, verbatim]) + frame(1, [fixed, lpc]) + frame(2, [lpc, constant])
+
+
+def test_media_of_one_type_follow_each_other():
+    import io
+    import zipfile
+
+    def archive(**files):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            for name, body in files.items():
+                z.writestr(name, body)
+        return out.getvalue()
+
+    part = b"%PDF-1.4\n1 0 obj\n<<>>\nendobj\nxref\n0 1\ntrailer <<>>\nstartxref\n9\n%%EOF"
+    revised = part + b"\n2 0 obj\n<<>>\nendobj\nxref\n0 1\ntrailer <<>>\nstartxref\n80\n%%EOF"
+    holder = b"%PDF-1.4\n1 0 obj\n<<>>\nstream\n" + part + b"\nendstream\nendobj\nstartxref\n9\n%%EOF"
+    kinds = {"application/pdf": [part, revised, holder], "application/zip": [archive(a=b"one"), archive(a=b"x" * 99, b=archive(c=b"in"))], "audio/flac": [flac(), flac()], "image/png": [png()]}
+    finder = media.automaton()
+    every = [(k, b) for k, blobs in kinds.items() for b in blobs]
+    for blobs in (every, every[::-1], [every[0], every[-1], every[0]], [every[5], every[6]], [every[3], every[4], every[3]]):
+        data, want = b"x", []
+        for kind, blob in blobs:
+            want.append((kind, len(data), len(blob)))
+            data += blob + b"\r\n"
+        assert media.identify(data, finder) == (media.UNKNOWN, want)
+    assert media.identify(flac(), finder)[0] == "audio/flac"
+    assert media.identify(b"x" + flac()[:-1], finder)[1][0][2] < len(flac()) - 1  # a frame that is cut off does not count
+
+
 def test_media_identify_and_carve(spark):
     gif = b"GIF89a\x01\0\x01\0\0\0\0,\0\0\0\0\x01\0\x01\0\0\x02\x02D\x01\0;"
     jpeg = b"\xff\xd8\xff\xe0\0\x04ab\xff\xda\0\x04cd\x12\xff\0\x34\xff\xd9"
