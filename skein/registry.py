@@ -475,7 +475,8 @@ def confidence_labels(spark, sf):
 
 @query()
 def hashed_embeddings(spark, sf):
-    return star.table(spark, sf, "nation").select("n_nationkey", tx.hashed_embedding(F.col("n_name")).alias("embedding"))
+    """Names of all parts; hashes of code points are no SQL, so a test holds it against brute force."""
+    return star.table(spark, sf, "part").select("p_partkey", tx.hashed_embedding(F.col("p_name")).alias("embedding"))
 
 
 # --- documents ---------------------------------------------------------------------------------------------------------------

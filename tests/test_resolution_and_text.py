@@ -103,6 +103,24 @@ def test_similar_pairs_against_brute_force(spark):
     assert all(2 <= len(v) <= 5 for v in sizes.values()) and len({r["id"] for r in blocks}) == len(blocks)
 
 
+def test_embeddings_query_against_brute_force(spark, tmp_path):
+    from skein import registry
+
+    rows = [(i, name) for i, name in enumerate(["", "lime chocolate", "Größe 7", *(f"part {k} of {k * 7}" for k in range(300))])] + [(900, None)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+
+    def one(text):
+        h = 2166136261
+        for c in text:
+            h = (h ^ ord(c)) * 16777619 & 0xFFFFFFFF
+        return h / 4294967295 * 2 - 1
+
+    out = {r["p_partkey"]: r["embedding"] for r in registry.hashed_embeddings(spark, str(tmp_path)).collect()}
+    assert set(out) == {k for k, _ in rows} and out[900] == [None] * 16
+    for k, name in rows[:-1]:
+        assert out[k] == pytest.approx([one(f"{i}:{name}") for i in range(16)], abs=1e-6)
+
+
 def test_blocking_query_links_all_different_texts(spark, tmp_path):
     import random
 
