@@ -9,8 +9,9 @@ states. Matrices are combined associatively; once the states at all cuts are kno
 traced back by itself.
 
 Between characters that stand side by side in no piece (such as before a space that follows a
-letter) a cut has one state only, and the matrix of the word between two such cuts is one path: those
-are kept per worker in a memory of bounded size. Texts longer than ``GIANT`` characters are cut
+letter) a cut has one state only, and the matrix of the word between two such cuts is one path: short
+words' paths come from merging many words side by side, and are kept per worker in a memory of bounded
+size. Texts longer than ``GIANT`` characters are cut
 there, wherever that is, into chunks that become rows of their own.
 
 Ids equal the library's for models without normalisation (identity), with a dummy prefix and byte
@@ -35,11 +36,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table, written
+from .merges import PAD, Merges
 
 #: Longer texts are split into chunks of this many characters.
 GIANT = 32_768
 #: Words (twice as many) and piece pairs that a worker remembers.
 WORDS, PAIRS = 120_000, 400_000
+#: Words of up to this many characters are merged side by side.
+SHORT = 16
 SPACE = "▁"
 
 
@@ -82,6 +86,12 @@ class Pieces:
             for ch in piece:
                 node = node.setdefault(ch, {})
             node[""] = i
+        ranked = sorted(self.ids, key=self.score.__getitem__, reverse=True)
+        parts = [(self.ids[p[:k]], self.ids[p[k:]], r) for r, p in enumerate(ranked) for k in range(1, len(p)) if p[:k] in self.ids and p[k:] in self.ids]
+        self.merges = Merges(*np.array(parts).T, np.array([self.ids[p] for p in ranked]))
+        single = {ord(p): i for p, i in self.ids.items() if len(p) == 1}
+        self.symbol = np.full(max(single) + 2, PAD, np.uint16)
+        self.symbol[list(single)] = list(single.values())
         self.pairs: dict[int, bool] = {}
         self.alone: dict[int, bool] = {}
         self.words: dict[str, bytes] = {}
@@ -189,19 +199,39 @@ class Pieces:
             ids = [self.ids[part]] if part in self.ids else [self.byte[b] for b in part.encode()]
         return np.array(ids, np.uint16).tobytes()
 
-    def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        return self._joined(split_words(text))
+    def encode(self, texts: list[str]) -> list[bytes]:
+        return self._joined([split_words(t) if t else [] for t in texts])
 
-    def _joined(self, words: list[str]) -> bytes:
+    def _joined(self, texts: list[list[str]]) -> list[bytes]:
+        """Ids of texts given as their words."""
         if len(self.words) >= WORDS:  # words that come again move over from the older half
             self.older, self.words = self.words, {}
         known, older = self.words, self.older
-        for w in set(words):
-            if w not in known:
-                known[w] = older[w] if w in older else self.word(w)
-        return b"".join(map(known.__getitem__, words))
+        asked = set().union(*texts) - known.keys()
+        again = asked & older.keys()
+        known.update(zip(again, map(older.__getitem__, again), strict=True))
+        self._learn(list(asked - again))
+        return [b"".join(map(known.__getitem__, words)) for words in texts]
+
+    def _learn(self, words: list[str]) -> None:
+        """Remember words: short ones of known characters are merged side by side, others by the lattice."""
+        short = [w for w in words if len(w) <= SHORT]
+        rest = [w for w in words if len(w) > SHORT]
+        if short:
+            sizes = np.fromiter(map(len, short), np.int64, len(short))
+            points = np.frombuffer("".join(short).encode("utf-32-le", "surrogatepass"), "<u4")
+            symbols = self.symbol[np.minimum(points, len(self.symbol) - 1)]
+            first = np.cumsum(sizes) - sizes
+            whole = np.add.reduceat(symbols == PAD, first, dtype=np.int64) == 0
+            columns = np.full((int(sizes.max()), len(short)), PAD, np.uint16)
+            columns[np.arange(len(symbols)) - np.repeat(first, sizes), np.repeat(np.arange(len(short)), sizes)] = symbols
+            made, counts = self.merges.merged(columns[:, whole], sizes[whole])
+            ids, stops = made.T[np.arange(len(made)) < counts[:, None]].tobytes(), (2 * np.cumsum(counts)).tolist()
+            found = map(ids.__getitem__, map(slice, [0, *stops[:-1]], stops))
+            self.words.update(zip((w for w, ok in zip(short, whole.tolist(), strict=True) if ok), found, strict=False))
+            rest += [w for w, ok in zip(short, whole.tolist(), strict=True) if not ok]
+        for w in rest:
+            self.words[w] = self.word(w)
 
     def decode(self, ids: np.ndarray) -> bytes:
         whole = b"".join(map(self.raw.__getitem__, ids.tolist()))
@@ -286,7 +316,7 @@ class Pieces:
         if cuts is None:
             return self._trace(text, start, end, first, last, entries, goal)
         middle = _ESCAPED.findall(text[cuts[0] : cuts[1]])
-        return self._trace(text, start, cuts[0], first, True, entries, None) + self._joined(middle) + self._trace(text, cuts[1], end, True, last, [], goal)
+        return self._trace(text, start, cuts[0], first, True, entries, None) + self._joined([middle])[0] + self._trace(text, cuts[1], end, True, last, [], goal)
 
     def _trace(self, text: str, start: int, end: int, first: bool, last: bool, entries: list, goal: tuple[int, int] | None) -> bytes:
         ends = self.chunk(text, start, end, first, last, entries)
@@ -304,10 +334,9 @@ class Pieces:
 
 def split_words(text: str) -> list[str]:
     """Stretches of an escaped text between cuts before a space after something else, and around line ends."""
-    return [w.replace(" ", SPACE) for w in _WORDS.findall(" " + text.replace(SPACE, " "))]
+    return _ESCAPED.findall(SPACE + text.replace(" ", SPACE))
 
 
-_WORDS = re.compile("\n| *[^ \n]+| +")
 _ESCAPED = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
 
 
@@ -350,7 +379,7 @@ def encoded(docs: DataFrame, key: str = "doc_id", text: str = "text", carry: tup
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                ids = pa.array([model.encode(t.as_py()) for t in part.column(len(names) - 1)], pa.binary())
+                ids = pa.array(model.encode(part.column(len(names) - 1).to_pylist()), pa.binary())
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], ids], names)
 
     short = chosen.where(F.length("_text") <= giant).mapInArrow(encode, schema)
