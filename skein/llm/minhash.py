@@ -20,9 +20,13 @@ labels with pointer jumping, each round written to the shared folder.
 A pair at similarity 0.8 misses all 32 bands of 4 with a probability of about 5e-8.
 
 Cases: null and wordless texts have an empty set and are linked with nothing; with fewer words than
-a shingle has, the whole sequence is the one shingle; equal texts are one class; rows that repeat a
-doc_id count as one document; rows without doc_id are left out; an empty table gives an empty
-result; other columns are ignored here and carried by ``kept_documents``.
+a shingle has, the whole sequence is the one shingle; equal texts are one class. Rows that repeat a
+doc_id are one document: what any of their texts is linked with is one component, and all of them are
+kept or dropped together (a row of it without words stays alone). Rows without doc_id are linked like
+others; theirs is the smallest doc_id of the component, null if no row in it has one, and they are kept
+only then. An empty table gives an empty result; other columns are ignored here and carried by
+``kept_documents``. A text is hashed whole: arrays of about 40 bytes per byte of the longest one are held
+while it is.
 """
 
 from __future__ import annotations
@@ -170,10 +174,20 @@ def _lists(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values.view(np.int64)))
 
 
+def _digests(elements: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit digests of each set."""
+    some = np.diff(bounds) > 0
+    d1, d2 = np.zeros(len(some), np.uint64), np.zeros(len(some), np.uint64)
+    if some.any():
+        d1[some] = np.add.reduceat(mixed(elements ^ ORDER[40]), bounds[:-1][some])
+        d2[some] = np.bitwise_xor.reduceat(mixed(elements ^ ORDER[41]), bounds[:-1][some])
+    return d1.view(np.int64), d2.view(np.int64)
+
+
 def signatures(docs: DataFrame, words: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n (set size), d1 and d2 (digest of the set), bands, sketch (16 bits of each coordinate)."""
-    chosen = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text")).where("doc is not null")
-    schema = "doc bigint, n bigint, d1 bigint, d2 bigint, bands array<bigint>, sketch binary"
+    """doc, th (hash of the text), n (set size), d1 and d2 (digest of the set), bands, sketch (16 bits of each coordinate)."""
+    chosen = docs.select(F.col(key).cast("long").alias("doc"), F.xxhash64(F.col(text)).alias("th"), F.col(text).alias("text"))
+    schema = "doc bigint, th bigint, n bigint, d1 bigint, d2 bigint, bands array<bigint>, sketch binary"
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
@@ -181,50 +195,63 @@ def signatures(docs: DataFrame, words: int, key: str = "doc_id", text: str = "te
             for a, b, offsets, data in text_slices(batch, "text", 1 << 20):
                 elements, bounds = shingle_sets(offsets, data, words, powers)
                 n, some = np.diff(bounds), np.diff(bounds) > 0
-                d1, d2 = np.zeros(b - a, np.uint64), np.zeros(b - a, np.uint64)
-                if some.any():
-                    d1[some] = np.add.reduceat(mixed(elements ^ ORDER[40]), bounds[:-1][some])
-                    d2[some] = np.bitwise_xor.reduceat(mixed(elements ^ ORDER[41]), bounds[:-1][some])
+                d1, d2 = _digests(elements, bounds)
                 sketch = sketches(elements, bounds)
                 small = np.ascontiguousarray((sketch & _M(0xFFFF)).astype(np.uint16))
                 per = np.where(some, BANDS, 0)
                 keys = band_keys(sketch)[some].reshape(-1)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array(n, pa.int64()), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), _lists(keys, np.concatenate(([0], np.cumsum(per)))), pa.array([row.tobytes() for row in small], pa.binary())],
-                    ["doc", "n", "d1", "d2", "bands", "sketch"],
+                    [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(n, pa.int64()), pa.array(d1), pa.array(d2), _lists(keys, np.concatenate(([0], np.cumsum(per)))), pa.array([row.tobytes() for row in small], pa.binary())],
+                    ["doc", "th", "n", "d1", "d2", "bands", "sketch"],
                 )
 
     return chosen.mapInArrow(sign, schema)
 
 
-def full_sets(docs: DataFrame, ids: DataFrame, words: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc, elements: the sets of the documents named by ``ids`` (column doc)."""
-    few = ids.count() <= SMALL_IDS
+def full_sets(docs: DataFrame, classes: DataFrame, words: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """rep, elements: the sets of some classes (rep, of: a doc_id that has the set, n, d1, d2)."""
+    ids = classes.select(F.col("of").alias("_of")).distinct()
+    few = classes.count() <= SMALL_IDS
     chosen = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
-    chosen = chosen.join(F.broadcast(ids) if few else ids, "doc", "left_semi")
+    chosen = chosen.join(F.broadcast(ids) if few else ids, F.col("doc").eqNullSafe(F.col("_of")), "left_semi").select("text")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
         for batch in batches:
-            for a, b, offsets, data in text_slices(batch, "text", 1 << 20):
+            for _, _, offsets, data in text_slices(batch, "text", 1 << 20):
                 elements, bounds = shingle_sets(offsets, data, words, powers)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), _lists(elements, bounds)], ["doc", "elements"])
+                d1, d2 = _digests(elements, bounds)
+                yield pa.RecordBatch.from_arrays([pa.array(np.diff(bounds), pa.int64()), pa.array(d1), pa.array(d2), _lists(elements, bounds)], ["n", "d1", "d2", "elements"])
 
-    return chosen.mapInArrow(build, "doc bigint, elements array<bigint>")
+    sets = chosen.mapInArrow(build, "n bigint, d1 bigint, d2 bigint, elements array<bigint>")
+    # the doc_ids bring a few texts of other classes where doc_ids repeat
+    return sets.join(classes.select("rep", "n", "d1", "d2"), ["n", "d1", "d2"]).select("rep", "elements").dropDuplicates(["rep"])
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int, key: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """(pairs (a, b) whose full sets have 100 * intersection >= percent * union; the sets of all in pairs), written."""
+def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, percent: int, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """(pairs (a, b) of classes whose full sets have 100 * intersection >= percent * union; the sets of all in pairs), written."""
     pairs = written(pairs, "pairs")
-    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), "ids")
-    sets = written(full_sets(docs, ids, words, key, text).dropDuplicates(["doc"]), "sets")
-    with_a = pairs.join(sets.select(F.col("doc").alias("a"), F.col("elements").alias("ea")), "a")
-    both = with_a.join(sets.select(F.col("doc").alias("b"), F.col("elements").alias("eb")), "b")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    sets = written(full_sets(docs, written(classes.join(ids, "rep"), "ids"), words, key, text), "sets")
+    with_a = pairs.join(sets.select(F.col("rep").alias("a"), F.col("elements").alias("ea")), "a")
+    both = with_a.join(sets.select(F.col("rep").alias("b"), F.col("elements").alias("eb")), "b")
     common = F.size(F.array_intersect("ea", "eb"))
     kept = both.select("a", "b", common.alias("i"), (F.size("ea") + F.size("eb")).alias("s")).where(f"100 * i >= {percent} * (s - i)")
     return written(kept.select("a", "b"), "links"), sets
 
 
+def _same_document(signed: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (a, b) between the classes that the rows of one doc_id are in."""
+    name = F.struct("n", "d1", "d2")
+    several = signed.where("n > 0 and doc is not null").groupBy("doc").agg(F.min(name).alias("lo"), F.max(name).alias("hi")).where("lo <> hi").select("doc")
+    several = written(several, "several")
+    if several.isEmpty():
+        return several.select(F.col("doc").alias("a"), F.col("doc").alias("b"))
+    of = signed.join(several, "doc").select("doc", "n", "d1", "d2").distinct().join(classes.select("rep", "n", "d1", "d2"), ["n", "d1", "d2"])
+    first = of.groupBy("doc").agg(F.min("rep").alias("a"))
+    return written(of.join(first, "doc").where("a <> rep").select("a", F.col("rep").alias("b")), "same-document")
+
+
 def components(links: DataFrame) -> DataFrame:
     """doc, comp: the smallest doc of its component, for every doc in a link (columns a, b).
 
@@ -299,43 +326,56 @@ def _block_links(members: DataFrame, percent: int) -> DataFrame:
     return dealt.groupBy("family", "i", "j").applyInPandas(compare, "a bigint, b bigint")
 
 
-def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: key, n_shingles, component_id, kept."""
-    signed = written(signatures(docs, words, key, text), "signatures")
-    classes = signed.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("rows"))
+def grouped(docs: DataFrame, words: int, percent: int, key: str, text: str) -> DataFrame:
+    """doc, th (hash of the text), n, component (smallest doc_id), kept of every row."""
+    numbered = signatures(docs, words, key, text).withColumn("row", F.monotonically_increasing_id())
+    signed = written(numbered, "signatures")
+    # a class of equal sets is named by its first row
+    classes = signed.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("row").alias("rep"), F.min("doc").alias("of"), F.count(F.lit(1)).alias("rows"))
     classes = written(classes, "classes")
-    reps = signed.join(classes.select(F.col("rep").alias("doc")), "doc", "left_semi")
+    reps = signed.join(classes.select(F.col("rep").alias("row")), "row", "left_semi").withColumnRenamed("row", "rep")
 
-    rows = reps.select("doc", F.explode("bands").alias("key"))
-    buckets = rows.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min_by("doc", F.xxhash64("doc", "key")).alias("pivot")).where("members > 1")
+    rows = reps.select("rep", F.explode("bands").alias("key"))
+    buckets = rows.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min_by("rep", F.xxhash64("rep", "key")).alias("pivot")).where("members > 1")
     shared = written(rows.join(buckets, "key"), "buckets")
-    star = shared.where("doc <> pivot").select(F.least("doc", "pivot").alias("a"), F.greatest("doc", "pivot").alias("b")).distinct()
-    links, sets = confirmed(star, docs, words, percent, key, text)
-    comps = components(links)
+    star = shared.where("rep <> pivot").select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
+    links, sets = confirmed(star, docs, classes, words, percent, key, text)
+    links = links.union(_same_document(signed, classes))
+    comps = components(links).withColumnRenamed("doc", "rep")
 
     # Buckets of three or more whose members ended up in several components: every such pair is looked at.
-    labelled = shared.where("members > 2").select("key", "doc").join(comps, "doc", "left").select("key", "doc", F.coalesce("comp", "doc").alias("comp"))
+    labelled = shared.where("members > 2").select("key", "rep").join(comps, "rep", "left").select("key", "rep", F.coalesce("comp", "rep").alias("comp"))
     split = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key", "lo")
-    rest = written(labelled.join(split, "key").select("doc", "lo", "comp").distinct(), "rest")
+    rest = written(labelled.join(split, "key").select("rep", "lo", "comp").distinct(), "rest")
     if not rest.isEmpty():
         families = components(rest.select(F.col("lo").alias("a"), F.col("comp").alias("b")).distinct()).select(F.col("doc").alias("comp"), F.col("comp").alias("family"))
-        members = rest.select("doc", "comp").distinct().join(families, "comp").join(signed.select("doc", "n", "sketch").dropDuplicates(["doc"]), "doc").join(sets, "doc")
+        members = rest.select("rep", "comp").distinct().join(families, "comp").join(reps.select("rep", "n", "sketch"), "rep").join(sets, "rep").withColumnRenamed("rep", "doc")
         found = written(_block_links(members, percent), "block-links")
         if not found.isEmpty():
-            comps = components(links.union(found))
+            comps = components(links.union(found)).withColumnRenamed("doc", "rep")
+
+    # Each class of equal sets hangs on its component, and the component on its smallest doc_id.
+    joined = comps.join(classes, "rep")
+    least = joined.groupBy("comp").agg(F.min("of").alias("component"))
+    linked = joined.join(least, "comp").select("d1", "d2", "n", "component")
+    copies = classes.where("rows > 1").join(comps.select("rep"), "rep", "left_anti").select("d1", "d2", "n", F.col("of").alias("component"))
+    known = linked.unionByName(copies).withColumn("_known", F.lit(True))
+    out = signed.select("doc", "th", "n", "d1", "d2").join(known, ["d1", "d2", "n"], "left")
+    component = F.when(F.col("_known"), F.col("component")).otherwise(F.col("doc"))
+    return out.select("doc", "th", "n", component.alias("component"), F.col("doc").eqNullSafe(component).alias("kept"))
 
-    # Each class of equal sets hangs on its representative.
-    of_class = classes.join(comps.withColumnRenamed("doc", "rep"), "rep", "left").where("rows > 1 or comp is not null")
-    moved = of_class.withColumn("comp", F.coalesce("comp", "rep"))
-    out = signed.select("doc", "n", "d1", "d2").join(moved.select("d1", "d2", "n", "comp"), ["d1", "d2", "n"], "left")
-    component = F.coalesce("comp", "doc")
-    return out.select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("doc") == component).alias("kept"))
+
+def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per row of ``docs``: key, n_shingles, component_id, kept."""
+    return grouped(docs, words, percent, key, text).select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), "kept")
 
 
 def kept_documents(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one document of each near-duplicate group, the one with the smallest doc_id."""
-    dropped = near_groups(docs, words, percent, key, text).where("not kept").select(F.col(key).alias("_key")).distinct()
-    return docs.join(dropped, docs[key] == dropped["_key"], "left_anti")
+    dropped = grouped(docs, words, percent, key, text).where("not kept").select(F.col("doc").alias("_key"), F.col("th").alias("_th")).distinct()
+    rows = docs.select(F.col(key).cast("long").alias("_id"), F.xxhash64(F.col(text)).alias("_of"), F.struct(*docs.columns).alias("_row"))
+    stay = rows.join(dropped, F.col("_id").eqNullSafe(F.col("_key")) & (F.col("_of") == F.col("_th")), "left_anti")
+    return stay.select("_row.*")
 
 
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
