@@ -13,7 +13,7 @@ Cases: null html is an empty payload, null url a URN of the page; smaller payloa
 responses; rows that repeat a page_id are records of their own, and all are responses if theirs is
 the smallest page_id of the payload; pages without a page_id are never referred to unless all equal
 ones lack it; an empty table makes no archive and reads back as an empty result; other columns are
-ignored.
+ignored. A record is built whole, so a task holds a few times its longest page.
 """
 
 from __future__ import annotations
@@ -26,14 +26,18 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from .common import new_path, table
 
 LEAST_PAYLOAD = 100
 #: Bytes of sampled records that the dictionary is trained on at most, of one sampled record, and of the dictionary.
 SAMPLE_BYTES, SAMPLE_RECORD, DICTIONARY = 4 << 20, 1 << 19, 1 << 16
+#: Sampled records at most.
+SAMPLE_ROWS = 1 << 14
 #: An archive is closed when it has this many bytes.
 ARCHIVE = 16 << 20
 LEVEL = 3
@@ -43,23 +47,26 @@ DICTIONARY_MAGIC, FILLER_MAGIC = 0x184D2A5D, 0x184D2A50
 _NAMESPACE = uuid.UUID("6f1d4bb0-6d0e-4e53-9c5e-6f7d4a1f9e02")
 
 
-def _record_id(page_id: int | None) -> str:
-    return f"<urn:uuid:{uuid.uuid5(_NAMESPACE, f'page:{page_id}')}>"
+def _record_id(page_id: int | None, digest: str, place: str = "") -> str:
+    return f"<urn:uuid:{uuid.uuid5(_NAMESPACE, f'page:{page_id}:{digest}{place}')}>"
 
 
 def _line(value: str) -> str:
     return "".join(c if c.isprintable() and c != " " else "".join(f"%{b:02X}" for b in c.encode()) for c in value)
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, revisit: bool) -> bytes:
-    """One WARC/1.1 record; the block is an HTTP response, without its body in a revisit."""
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, revisit: bool, place: str = "") -> bytes:
+    """One WARC/1.1 record; the block is an HTTP response, without its body in a revisit.
+
+    A record's id comes from its page_id and digest, and from its place where an earlier record has both.
+    """
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if revisit else http + payload
-    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {_record_id(page_id)}", f"WARC-Date: {DATE}", f"WARC-Target-URI: {_line(url) if url else f'urn:page:{page_id}'}", f"WARC-Payload-Digest: sha256:{digest}"]
+    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {_record_id(page_id, digest, place)}", f"WARC-Date: {DATE}", f"WARC-Target-URI: {_line(url) if url else f'urn:page:{page_id}'}", f"WARC-Payload-Digest: sha256:{digest}"]
     if page_id is not None:
         head.append(f"Page-ID: {page_id}")
     if revisit:
-        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {_record_id(refers_to)}", f"Refers-To-Page-ID: {refers_to}"]
+        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {_record_id(refers_to, digest)}", f"Refers-To-Page-ID: {refers_to}"]
     head += ["Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}", "", ""]
     return "\r\n".join(head).encode() + block + b"\r\n\r\n"
 
@@ -108,13 +115,17 @@ def planned(pages: DataFrame) -> DataFrame:
 
 
 def trained(pages: DataFrame) -> bytes:
-    """A dictionary from a sample of records, chosen by hash of page_id; empty if there is too little to learn from."""
-    size = F.length(F.col("html").cast("binary"))
-    usable = pages.select("page_id", "url", "html").where(size.between(1, SAMPLE_RECORD))
-    total = usable.agg(F.sum(F.length(F.col("html").cast("binary")))).first()[0] or 0
-    share = min(1.0, SAMPLE_BYTES / max(1, total))
-    rows = usable.where(F.pmod(F.xxhash64("page_id"), F.lit(1_000_000)) < int(1_000_000 * share)).collect()
-    rows.sort(key=lambda r: (r[0] is None, r[0] or 0, r[2]))
+    """A dictionary from a sample of different records, chosen by hash; empty if there is too little to learn from.
+
+    At most ``SAMPLE_BYTES`` reach the driver, whatever the number of pages and however often they repeat.
+    """
+    usable = pages.select("page_id", "url", "html", F.length(F.col("html").cast("binary")).alias("size")).where(F.col("size").between(1, SAMPLE_RECORD))
+    total = usable.agg(F.sum("size")).first()[0] or 0
+    near = usable.withColumn("place", F.xxhash64("url", "html")).where(F.col("place") / F.lit(2.0**64) + 0.5 < 2 * SAMPLE_BYTES / max(1, total))
+    once = near.groupBy("place").agg(F.min("page_id").alias("page_id"), F.min("url").alias("url"), F.min("html").alias("html"), F.min("size").alias("size"))
+    few = once.orderBy("place").limit(SAMPLE_ROWS)
+    so_far = F.sum("size").over(Window.orderBy("place").rowsBetween(Window.unboundedPreceding, 0))
+    rows = few.withColumn("so_far", so_far).where(F.col("so_far") <= SAMPLE_BYTES).select("page_id", "url", "html").collect()
     samples = [record(r[0], r[1], r[2].encode(), hashlib.sha256(r[2].encode()).hexdigest(), None, False) for r in rows]
     try:
         return zstandard.train_dictionary(DICTIONARY, samples).as_bytes()
@@ -131,7 +142,8 @@ def write_archives(pages: DataFrame, path: str, dictionary: bytes) -> None:
             known.precompute_compress(level=LEVEL)
         encoder = zstandard.ZstdCompressor(level=LEVEL, dict_data=known, write_checksum=True, write_content_size=True)
         frames: list[bytes] = []
-        held = 0
+        named: set[tuple] = set()
+        held, task = 0, TaskContext.get().partitionId()
 
         def archive() -> pa.RecordBatch:
             start = struct.pack("<II", DICTIONARY_MAGIC, len(dictionary)) + dictionary
@@ -140,7 +152,10 @@ def write_archives(pages: DataFrame, path: str, dictionary: bytes) -> None:
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 for row in zip(*(c.to_pylist() for c in batch.slice(at, 128).columns), strict=True):
-                    frames.append(encoder.compress(record(*row)))
+                    name = (row[0], row[3])
+                    place = f":{task}:{len(named)}:{len(frames)}" if name in named else ""
+                    named.add(name)
+                    frames.append(encoder.compress(record(*row, place)))
                     held += len(frames[-1])
                     if held >= ARCHIVE:
                         yield archive()
