@@ -150,9 +150,11 @@ def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
     plan = mix(docs, key, text, source).select(F.col(key).alias("_key"), F.col("copies").alias("_copies"), F.col("size").alias("_size"))
     # repeated rows of one doc_id: their copies together go to the rows in equal parts, rounded by row
     per_key = plan.groupBy("_key", "_size").agg(F.sum("_copies").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
-    joined = docs.join(per_key, docs[key].eqNullSafe(F.col("_key")) & (words(docs[text]) == F.col("_size")))
+    rows = docs.select(F.col(key).alias("_id"), words(F.col(text)).alias("_words"), F.struct(*docs.columns).alias("_row"))
+    joined = rows.join(per_key, F.col("_id").eqNullSafe(F.col("_key")) & (F.col("_words") == F.col("_size")))
     share = F.least(F.lit(CAP), F.round(F.col("_copies") / F.col("_rows"))).cast("int")
-    return joined.withColumn("_copy", F.explode(F.when(share > 0, F.sequence(F.lit(1), share)).otherwise(F.array().cast("array<int>")))).select(*docs.columns)
+    times = F.when(share > 0, F.sequence(F.lit(1), share)).otherwise(F.array().cast("array<int>"))
+    return joined.select("_row", F.explode(times).alias("_copy")).select("_row.*")
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
