@@ -84,10 +84,9 @@ def kept_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     """``docs`` without later copies; rows that repeat the doc_id that stays all stay."""
     groups = exact_groups(docs, key, text)
     dropped = groups.where("not kept").select(F.col(key).alias("_key"), F.col("text_sha256").alias("_sha")).distinct()
-    sha = F.sha2(normalised(F.col(text)), 256)
-    stay = docs.withColumn("_sha_of", sha)
-    stay = stay.join(dropped, stay[key].eqNullSafe(dropped["_key"]) & (stay["_sha_of"] == dropped["_sha"]), "left_anti")
-    return stay.select(*[stay[c] for c in docs.columns])
+    rows = docs.select(F.col(key).alias("_id"), F.sha2(normalised(F.col(text)), 256).alias("_of"), F.struct(*docs.columns).alias("_row"))
+    stay = rows.join(dropped, F.col("_id").eqNullSafe(F.col("_key")) & (F.col("_of") == F.col("_sha")), "left_anti")
+    return stay.select("_row.*")
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
