@@ -89,6 +89,10 @@ class Pieces:
         ranked = sorted(self.ids, key=self.score.__getitem__, reverse=True)
         parts = [(self.ids[p[:k]], self.ids[p[k:]], r) for r, p in enumerate(ranked) for k in range(1, len(p)) if p[:k] in self.ids and p[k:] in self.ids]
         self.merges = Merges(*np.array(parts).T, np.array([self.ids[p] for p in ranked]))
+        scores = [self.score[p] for p in ranked]
+        if any(a == b and not (x + y).strip(SPACE) == "" for a, b, x, y in zip(scores, scores[1:], ranked, ranked[1:], strict=False) if len(x) > 1 < len(y)):
+            raise ValueError("pieces other than runs of spaces have equal scores")
+        self.tied = 2 * SPACE
         single = {ord(p): i for p, i in self.ids.items() if len(p) == 1}
         self.symbol = np.full(max(single) + 2, PAD, np.uint16)
         self.symbol[list(single)] = list(single.values())
@@ -214,9 +218,12 @@ class Pieces:
         return [b"".join(map(known.__getitem__, words)) for words in texts]
 
     def _learn(self, words: list[str]) -> None:
-        """Remember words: short ones of known characters are merged side by side, others by the lattice."""
-        short = [w for w in words if len(w) <= SHORT]
-        rest = [w for w in words if len(w) > SHORT]
+        """Remember words: short ones of known characters are merged side by side, others by the lattice.
+
+        Runs of spaces are pieces of one and the same score, which the table of merges does not tell apart.
+        """
+        short = [w for w in words if len(w) <= SHORT and self.tied not in w]
+        rest = [w for w in words if len(w) > SHORT or self.tied in w]
         if short:
             sizes = np.fromiter(map(len, short), np.int64, len(short))
             points = np.frombuffer("".join(short).encode("utf-32-le", "surrogatepass"), "<u4")
