@@ -222,10 +222,85 @@ def test_near_groups_of_a_large_family(spark):
 
 def test_near_edges(nothing, doubled, docs):
     assert minhash.near_groups(nothing).count() == 0
-    assert minhash.near_groups(doubled).count() == doubled.where("doc_id is not null").count()
+    assert minhash.near_groups(doubled).count() == doubled.count()
     assert minhash.kept_documents(docs).columns == docs.columns
 
 
+def test_near_groups_of_repeated_and_missing_ids(spark):
+    import random
+
+    rng = random.Random(3)
+    a, b, c, e = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(4))
+    rows = [(1, a), (5, a + " z"), (5, b + " y"), (9, b + " q"), (9, b + " q"), (20, c), (None, c + " k"), (None, e), (None, e), (None, None), (30, ""), (5, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = sorted((r["doc_id"] or -1, r["n_shingles"], -1 if r["component_id"] is None else r["component_id"], r["kept"]) for r in minhash.near_groups(df, words=4).collect())
+    assert out == sorted(
+        [(1, 57, 1, True), (5, 58, 1, False), (5, 58, 1, False), (9, 58, 1, False), (9, 58, 1, False), (20, 57, 20, True)]
+        + [(-1, 58, 20, False), (-1, 57, -1, True), (-1, 57, -1, True), (-1, 0, -1, True), (30, 0, 30, True), (5, 0, 5, True)]
+    )
+    stay = sorted((r["doc_id"] or -1, r["text"] or "") for r in minhash.kept_documents(df, words=4).collect())
+    assert stay == sorted([(1, a), (5, ""), (20, c), (-1, e), (-1, e), (-1, ""), (30, "")])
+
+
+# --- bounds of samples, and clashing names ----------------------------------------------------------------
+
+
+def test_samples_stay_bounded(spark, monkeypatch):
+    """Repeated and missing ids, and far more rows than a sample may have."""
+    from pyspark.sql import functions as F
+
+    pages = spark.range(600).select(F.lit(None).cast("long").alias("page_id"), F.lit("http://h").alias("url"), F.concat(F.lit("<p>"), F.repeat(F.col("id").cast("string"), 50)).alias("html"))
+    hot = pages.union(pages.limit(1).crossJoin(spark.range(400)).select("page_id", "url", "html"))
+    monkeypatch.setattr(warc, "SAMPLE_BYTES", 20_000)
+    taken = []
+    monkeypatch.setattr(warc.zstandard, "train_dictionary", lambda size, samples: taken.append(samples) or warc.zstandard.ZstdCompressionDict(b"x" * 64))
+    warc.trained(hot)
+    sizes = [len(s) for s in taken[0]]
+    assert len(set(taken[0])) == len(sizes) and 5_000 < sum(sizes) < 20_000 + 600 * len(sizes)
+
+    monkeypatch.setattr(quality, "MAX_ROWS", 50)
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda x, y: seen.append(len(y)))
+    docs = spark.range(400).select(F.when(F.col("id") < 200, 7).otherwise(F.col("id")).alias("doc_id"), F.repeat(F.lit("ab "), F.col("id").cast("int")).alias("text"))
+    labels = docs.select("doc_id", F.lit(1).alias("quality"))
+    quality.train(docs, labels)
+    quality.train(docs, labels.where("doc_id = 7"))
+    assert seen == [50, 50]
+
+    monkeypatch.setattr(language, "MAX_ROWS", 40)
+    monkeypatch.setattr(language, "fit", lambda x, names: names)
+    rows = [(i, f"wort nummer {i}" if i > 300 else "wort", "de" if i % 3 else "fr") for i in range(2000)]
+    names = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert Counter(names) == {"de": 20, "fr": 20}
+
+
+def test_clashing_names(spark, docs):
+    from pyspark.sql import functions as F
+
+    names = ["_size", "_copy", "_sha_of", "_key", "_row", "_id", "_of", "_th", "_words", "_text", "row", "rep", "th"]
+    more = docs.select("doc_id", "text", "source", *[F.lit(f"keep {n}").alias(n) for n in names])
+    labels = docs.select("doc_id", F.lit(1).alias("quality"))
+    for out in (mixing.mixed(more), exact_dedup.kept_documents(more), minhash.kept_documents(more), quality.kept_documents(more, labels)):
+        assert out.columns == more.columns
+        assert out.select(*names).distinct().collect() == [tuple(f"keep {n}" for n in names)]
+
+
+def test_repeated_pages_have_ids_of_their_own(spark):
+    long = "<p>" + "x" * 200
+    rows = [(1, "u", long), (1, "u", long), (1, "v", "other"), (2, "u", long), (None, None, long)]
+    path = new_path(spark, "warc")
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), path, b"")
+    text = b""
+    for r in spark.read.format("binaryFile").load(path).select("content").collect():
+        data = bytes(r[0])
+        text += warc.zstandard.ZstdDecompressor().stream_reader(data[8:], read_across_frames=True).read()
+    ids = re.findall(rb"WARC-Record-ID: (\S+)", text)
+    assert len(ids) == 5 and len(set(ids)) == 5
+    assert set(re.findall(rb"WARC-Refers-To: (\S+)", text)) <= set(ids)
+    out = Counter((r["page_id"], r["record_type"], r["refers_to"]) for r in warc.read_archives(spark, path).collect())
+    assert out == {(1, "response", None): 3, (2, "revisit", 1): 1, (None, "revisit", 1): 1}
+
+
 def test_sketch_estimates_similarity():
     rng = np.random.default_rng(0)
     for n in (3, 40, 400, 3000):
