@@ -43,6 +43,11 @@ def completeness(*flags: Column) -> Column:
     return sum((f.cast("int") for f in flags), F.lit(0)) / len(flags)
 
 
+def field_completeness(*flags: Column) -> Column:
+    """Share of the optional fields that are present; one half if there are none."""
+    return completeness(*flags) if flags else F.lit(0.5)
+
+
 def timeliness(days: Column, kind: Column) -> Column:
     """Exponential decay with the age of the latest evidence; 1 without any date."""
     return F.when(days.isNull(), F.lit(1.0)).otherwise(F.exp(-lookup(DECAY, kind, DEFAULT_DECAY) * F.greatest(days, F.lit(0.0))))
@@ -73,3 +78,20 @@ def bucket(score: Column) -> Column:
 
 def extraction_confidence(model: Column, authority: Column, complete: Column) -> Column:
     return F.round(clamp(clamp(model) * lookup(AUTHORITY, authority, DEFAULT_AUTHORITY) + 0.05 * (clamp(complete) - 0.5)), 4)
+
+
+def corroborated(confidence: Column, sources: Column, boost: float = 0.05, most: float = 0.15) -> Column:
+    """Confidence raised for every further source that says the same, up to a bound."""
+    return F.round(clamp(confidence + F.least(F.lit(most), boost * F.greatest(sources - 1, F.lit(0)))), 4)
+
+
+def aggregates(scores, dimensions: list[str]):
+    """n, average of the composite and of each dimension (six digits), rows per bucket, and alerts in all."""
+    flat = alerts({d: F.col(d) for d in dimensions})
+    return scores.agg(
+        F.count(F.lit(1)).alias("n"),
+        round_up_half(F.avg("composite")).alias("composite"),
+        *[round_up_half(F.avg(d)).alias(d) for d in dimensions],
+        *[F.count_if(bucket(F.col("composite")) == b).alias(b) for b in ("excellent", "good", "acceptable", "poor")],
+        F.sum(F.size(flat)).alias("alerts"),
+    )

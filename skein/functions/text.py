@@ -66,10 +66,43 @@ def normalise_coverage(claim: Column, strict: bool = False) -> Column:
     return F.coalesce(exact, F.when(text == "", None).when(none, "none").when(partial, "partial").when(full, "full"))
 
 
-def fnv1a(text: Column) -> Column:
-    """32-bit FNV-1a over characters (code points), as a non-negative long."""
+def utf16_units(text: Column) -> Column:
+    """The UTF-16 code units of a text; characters beyond the basic plane are two."""
     codes = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("long"))
-    return F.aggregate(codes, F.lit(2166136261).cast("long"), lambda h, c: (h.bitwiseXOR(c) * F.lit(16777619)).bitwiseAND(F.lit(4294967295)))
+    high = lambda c: F.lit(0xD800) + F.shiftright(c - 0x10000, 10)
+    low = lambda c: F.lit(0xDC00) + (c - 0x10000).bitwiseAND(F.lit(0x3FF))
+    return F.flatten(F.transform(codes, lambda c: F.when(c < 0x10000, F.array(c)).otherwise(F.array(high(c), low(c)))))
+
+
+def fnv1a(text: Column) -> Column:
+    """32-bit FNV-1a over UTF-16 code units, as a non-negative long."""
+    return F.aggregate(utf16_units(text), F.lit(2166136261).cast("long"), lambda h, c: (h.bitwiseXOR(c) * F.lit(16777619)).bitwiseAND(F.lit(4294967295)))
+
+
+def entity_name(row: dict[str, Column] | None = None, mapping: bool = False) -> Column:
+    """The first filled one of name, statement, expression and, for scoring, vendor capability; else the id."""
+    fields = ["name", "statement", "expression"] + ["vendor_capability"] * mapping
+    row = row or {}
+    return first_filled(*[row.get(f, F.col(f)) for f in fields], row.get("id", F.col("id")))
+
+
+def pseudo_embedding(text: Column, dims: int = 8) -> Column:
+    """A stand-in for a gateway's embedding: the sum of the code points, times 1 to ``dims``, modulo 97, over 97."""
+    points = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("long"))
+    seed = F.aggregate(points, F.lit(0).cast("long"), lambda s, c: s + c)
+    return F.transform(F.sequence(F.lit(1), F.lit(dims)), lambda i: F.pmod(seed * i, F.lit(97)) / F.lit(97.0))
+
+
+def format_value(value: Column) -> Column:
+    """A variant as one line: a dash for null, arrays joined by commas, objects as JSON, all else as text."""
+    one = lambda v: F.when(F.is_variant_null(v) | v.isNull(), F.lit("—")).otherwise(F.coalesce(F.try_variant_get(v, "$", "string"), F.to_json(v)))
+    items = F.try_variant_get(value, "$", "array<variant>")
+    return F.when(items.isNotNull(), F.array_join(F.transform(items, one), ", ")).otherwise(one(value))
+
+
+def json_literal(text: Column) -> Column:
+    """A literal as a variant; null where it is no JSON."""
+    return F.try_parse_json(text)
 
 
 def hashed_embedding(text: Column, dims: int = 16) -> Column:

@@ -120,3 +120,23 @@ def contradictions(claims: DataFrame) -> DataFrame:
     both = claims.join(hit, ["subject", "field"], "left_semi")
     best = both.groupBy("subject", "field").agg(F.countDistinct("value").alias("kinds"), F.max(F.struct("authority", "stated_at", "confidence", "value")).alias("_b"))
     return best.select("subject", "field", "kinds", F.col("_b.value").alias("kept"))
+
+
+def corrections(proposals: DataFrame) -> DataFrame:
+    """Open proposals (id, impact, confidence, status) by what they are worth: impact times confidence, then id."""
+    worth = F.col("impact") * F.col("confidence")
+    return proposals.where("status = 'open'").withColumn("worth", worth).orderBy(F.col("worth").desc(), "id")
+
+
+def lifecycle_contradictions(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """id, type, end, status of edges that lead to or from retired nodes."""
+    gone = nodes.where("lifecycle_status = 'retired'").select("id", "lifecycle_status")
+    part = lambda end: edges.select("id", "type", F.col(f"{end}_id").alias("_end")).join(gone.select(F.col("id").alias("_end"), F.col("lifecycle_status").alias("status")), "_end").select("id", "type", F.lit(end).alias("end"), "status")
+    return part("source").unionByName(part("target"))
+
+
+def relationship_contradictions(edges: DataFrame, opposed: list[tuple[str, str]]) -> DataFrame:
+    """source_id, target_id, one, other: pairs of ends that have edges of two types that deny each other."""
+    kinds = edges.groupBy("source_id", "target_id").agg(F.collect_set("type").alias("_t"))
+    each = F.array_compact(F.array(*[F.when(F.array_contains("_t", a) & F.array_contains("_t", b), F.struct(F.lit(a).alias("one"), F.lit(b).alias("other"))) for a, b in opposed]))
+    return kinds.select("source_id", "target_id", F.explode(each).alias("_c")).select("source_id", "target_id", "_c.one", "_c.other")

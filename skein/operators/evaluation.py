@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import normalise_name
+
 BAND = 0.8
 
 
@@ -52,3 +54,18 @@ def coverage_scores(predicted: DataFrame, gold: DataFrame) -> DataFrame:
         ratio(F.count_if(covered("coverage") & covered("said") & (F.col("confidence") >= BAND)), F.count_if(covered("said") & (F.col("confidence") >= BAND))).alias("band_precision"),
         ratio(F.count_if(F.col("coverage") == F.col("said")), F.count(F.lit(1))).alias("accuracy"),
     )
+
+
+def named_relations(relations: DataFrame, entities: DataFrame) -> DataFrame:
+    """type, source, target: relations (type, source_id, target_id) by the normalised names of their ends; unknown ends drop them."""
+    names = entities.select("id", normalise_name(F.col("name")).alias("_n"))
+    out = relations.where("type is not null")
+    for end in ("source", "target"):
+        out = out.join(names.select(F.col("id").alias(f"{end}_id"), F.col("_n").alias(end)), f"{end}_id")
+    return out.select("type", "source", "target").distinct()
+
+
+def relation_scores(relations: DataFrame, entities: DataFrame, gold: DataFrame) -> DataFrame:
+    """``precision_recall`` of relations by names; gold: type, source, target as stated."""
+    wanted = gold.select("type", normalise_name(F.col("source")).alias("source"), normalise_name(F.col("target")).alias("target"))
+    return precision_recall(named_relations(relations, entities), wanted, ["type", "source", "target"], "type")

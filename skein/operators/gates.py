@@ -103,6 +103,63 @@ def emit_gate(rows: DataFrame, threshold: float = 0.5, valid: Column | None = No
     return rows.withColumn("reason", reason).withColumn("status", F.when(reason.isNull(), "emitted").otherwise("excluded"))
 
 
+# Relationship types by the gate that judges them, and the node types that make an edge a behavioural one.
+BEHAVIOUR_TYPES = ["OrchestrationFlow", "OrchestrationStep", "Event", "StateTransition"]
+BEHAVIOURAL = ["triggers", "emits", "consumes", "transitionsTo", "compensates", "invokes"]
+DECISION_SPECIFIC = ["evaluates", "consumes", "constrainedBy", "triggeredBy", "produces", "realizedBy"]
+FUNCTIONAL = ["fulfils", "specifies", "realizesVendorCap"]
+
+
+def edge_emit_gate(edges: DataFrame, entities: DataFrame, rules: Rules = Rules(), threshold: float = 0.5, valid: Column | None = None) -> DataFrame:
+    """edges with source_type, target_type, gate, status (emitted, quarantined, excluded) and reason.
+
+    entities: id, type, status of the entity gate. The first gate that an edge belongs to judges its ends: behavioural
+    (with a behaviour at either end), decision (with a decision at either end), functional, or else generic. The first
+    three quarantine edges whose ends are not emitted or of a wrong type; the generic one excludes those without emitted
+    ends. Confidence and shape come after that. Types of entities that were not emitted are known all the same.
+    """
+    known = entities.select("id", F.col("type").alias("_type"), (F.col("status") == "emitted").alias("_in"))
+    joined = edges
+    for end in ("source", "target"):
+        joined = joined.join(known.select(F.col("id").alias(f"{end}_id"), F.col("_type").alias(f"{end}_type"), F.col("_in").alias(f"_{end}_in")), f"{end}_id", "left")
+    either = lambda types: F.coalesce(F.col("source_type").isin(*types), F.lit(False)) | F.coalesce(F.col("target_type").isin(*types), F.lit(False))
+    kind = F.col("type")
+    gate = F.when(kind.isin(*BEHAVIOURAL) & either(BEHAVIOUR_TYPES), "behavioural").when(kind.isin(*DECISION_SPECIFIC) & either(["Decision"]), "decision").when(kind.isin(*FUNCTIONAL), "functional").otherwise("generic")
+    inside = F.coalesce(F.col("_source_in") & F.col("_target_in"), F.lit(False))
+    fits = lambda at, end: F.coalesce(F.array_contains(rules.column(kind, at), F.col(end)), F.lit(True))
+    typed = joined.withColumns({"gate": gate, "_inside": inside, "_fits": fits(1, "source_type") & fits(2, "target_type")})
+    special = F.col("gate") != "generic"
+    reason = F.when(~F.col("_inside"), "ends").when(special & ~F.col("_fits"), "types").when(~(F.coalesce("confidence", F.lit(0.0)) >= threshold), "confidence")
+    if valid is not None:
+        reason = reason.when(~F.coalesce(valid, F.lit(False)), "shape")
+    judged = typed.withColumn("reason", reason)
+    status = F.when(F.col("reason").isNull(), "emitted").when(special & F.col("reason").isin("ends", "types"), "quarantined").otherwise("excluded")
+    return judged.withColumn("status", status).select(*edges.columns, "source_type", "target_type", "gate", "status", "reason")
+
+
+def relinked(quarantine: DataFrame, nodes: DataFrame, rules: Rules = Rules(), existing: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(edges that load now, what stays in quarantine) of edges that dangled in earlier runs, judged by the link gate again."""
+    judged = link_gate(quarantine, nodes, rules, existing)
+    return judged.where("status = 'loaded'").select(*quarantine.columns), judged.where("status <> 'loaded'").select(*quarantine.columns, "reason")
+
+
+def load(edges: DataFrame, nodes: DataFrame, processed: DataFrame, rules: Rules = Rules(), existing: DataFrame | None = None) -> DataFrame:
+    """edges (with run_id, entry_id) with status loaded, skipped, failed or quarantined, the reason, and retriable.
+
+    Entries processed before are skipped. Rows without keys fail for good; a quarantined row may load in a later run.
+    """
+    done = processed.select("run_id", "entry_id").distinct().withColumn("_done", F.lit(True))
+    marked = edges.join(done, ["run_id", "entry_id"], "left")
+    judged = link_gate(marked.where("_done is null").drop("_done").select(*edges.columns), nodes, rules, existing)
+    skipped = marked.where("_done").select(*edges.columns, F.lit("skipped").alias("status"), F.lit("processed before").alias("reason"))
+    return judged.select(*edges.columns, "status", "reason").unionByName(skipped).withColumn("retriable", F.col("status") == "quarantined")
+
+
+def average_confidence(rows: DataFrame) -> DataFrame:
+    """n, average (four digits) of the confidence of emitted rows."""
+    return rows.where("status = 'emitted'").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("confidence"), 4).alias("average"))
+
+
 def status_totals(rows: DataFrame) -> DataFrame:
     """status, n, and the total they add up to."""
     counts = rows.groupBy("status").agg(F.count(F.lit(1)).alias("n"))

@@ -1,7 +1,8 @@
 """Graph operators: bounded traversal, simple paths, components, forests, impact.
 
-All are joins of a frontier with the edge table, a bounded number of them, and the frontier is an
-aggregate: nothing is collected to the driver. nodes: id, type; edges: id, type, source_id, target_id.
+All are joins of a frontier with the edge table, and the frontier is an aggregate; only frontiers of up to
+``SMALL`` ids come to the driver, to go into the filter of the next scan. nodes: id, type; edges: id, type,
+source_id, target_id.
 """
 
 from __future__ import annotations
@@ -11,7 +12,10 @@ from pyspark.sql import functions as F
 
 from ..plans.tables import settled
 
+#: How deep walks go if nothing is said, and where the service cuts them.
 DEEPEST = 5
+#: Ids of a frontier that are written into a filter.
+SMALL = 2_000
 
 
 def steps(edges: DataFrame, direction: str, kinds: list[str] | None = None) -> DataFrame:
@@ -26,45 +30,80 @@ def steps(edges: DataFrame, direction: str, kinds: list[str] | None = None) -> D
     return out.unionByName(into.where("at <> next"))
 
 
-def traverse(nodes: DataFrame, edges: DataFrame, starts: DataFrame, direction: str = "out", kinds: list[str] | None = None, node_types: list[str] | None = None, depth: int = DEEPEST) -> tuple[DataFrame, DataFrame]:
+def _few(ids: DataFrame) -> list[str] | None:
+    """The ids of a one-column table if they are at most ``SMALL``, else None."""
+    rows = ids.distinct().limit(SMALL + 1).collect()
+    return None if len(rows) > SMALL else [r[0] for r in rows]
+
+
+def _from(walk: DataFrame, frontier: DataFrame) -> DataFrame | None:
+    """The steps that start in a frontier (column at); a small one becomes a filter that the scan of the edges sees. None: empty."""
+    ids = _few(frontier)
+    if ids is None:
+        return frontier.distinct().join(walk, "at")
+    return walk.where(F.col("at").isin(*ids)) if ids else None
+
+
+def traverse(nodes: DataFrame, edges: DataFrame, starts: DataFrame, direction: str = "out", kinds: list[str] | None = None, node_types: list[str] | None = None, depth: int = DEEPEST, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(id, depth of every node reached; ids of the edges seen on the way), breadth first from ``starts`` (column id).
 
-    Start nodes are not filtered by type; a node of another type is neither reached nor walked through,
-    nor are edges to it seen. Edges to nodes reached earlier are seen as well.
+    With a limit (0 and None: none), only the nearest nodes, those of one depth by id.
+
+    Start nodes are not filtered by type and need not be among the nodes, but only nodes are given back. A node of
+    another type is neither reached nor walked through, nor are edges to it seen; edges to nodes reached earlier are.
+    The edges are read once per step, through a filter where the frontier has at most ``SMALL`` ids.
     """
     walk = steps(edges, direction, kinds)
     if node_types:
         allowed = nodes.where(F.col("type").isin(*node_types)).select(F.col("id").alias("next"))
         walk = walk.join(allowed, "next", "left_semi").select("at", "next", "edge_id", "type")
-    present = nodes.select("id")
-    reached = starts.join(present, "id", "left_semi").select("id").distinct().withColumn("depth", F.lit(0))
-    seen = None
-    for d in range(1, min(depth, DEEPEST) + 1):
-        hop = reached.where(F.col("depth") == d - 1).select(F.col("id").alias("at")).join(walk, "at")
-        seen = hop.select("edge_id") if seen is None else seen.unionByName(hop.select("edge_id"))
+    reached = settled(starts.select("id").distinct().withColumn("depth", F.lit(0)))
+    seen = walk.select("edge_id").limit(0)
+    for d in range(1, depth + 1):
+        hop = _from(walk, reached.where(F.col("depth") == d - 1).select(F.col("id").alias("at")))
+        if hop is None:
+            break
+        hop = settled(hop.select("next", "edge_id"))
+        seen = seen.unionByName(hop.select("edge_id")) if d > 1 else hop.select("edge_id")
         fresh = hop.select(F.col("next").alias("id")).distinct().join(reached, "id", "left_anti").withColumn("depth", F.lit(d))
-        reached = settled(reached.unionByName(fresh)) if d > 1 else reached.unionByName(fresh)
-    reached = reached.join(present, "id", "left_semi")
-    empty = walk.limit(0).select("edge_id")
-    return reached.select("id", "depth"), (empty if seen is None else seen).distinct()
+        reached = settled(reached.unionByName(fresh))
+    found = reached.join(nodes.select("id"), "id", "left_semi").select("id", "depth")
+    return found.orderBy("depth", "id").limit(limit) if limit else found, seen.distinct()
 
 
-def simple_paths(edges: DataFrame, source: str, target: str, depth: int = DEEPEST, limit: int | None = None) -> DataFrame:
+def simple_paths(edges: DataFrame, source: str, target: str, depth: int = DEEPEST, limit: int | None = None, kinds: list[str] | None = None) -> DataFrame:
     """nodes, edge_ids, length of every path that repeats no node and stops at the target; out-edges only.
 
-    A source that is the target has none; parallel edges give paths of their own; order: length, then ids.
+    A source that is the target has none; parallel edges give paths of their own; order: length, then ids. Paths
+    grow forwards; as long as the ids that lie within k steps before the target are at most ``SMALL``, a path with k
+    steps left only goes on to these.
     """
-    walk = steps(edges, "out")
-    state = walk.where((F.col("at") == source) & (F.col("next") != source)).select(F.array("at", "next").alias("nodes"), F.array("edge_id").alias("edge_ids"), F.col("next").alias("end"))
-    done = None
-    for d in range(1, min(depth, DEEPEST) + 1):
-        hit = state.where(F.col("end") == target).select("nodes", "edge_ids", F.lit(d).alias("length"))
-        done = hit if done is None else done.unionByName(hit)
-        if d < min(depth, DEEPEST):
-            grown = state.where(F.col("end") != target).join(walk.withColumnRenamed("at", "end"), "end").where(~F.array_contains("nodes", F.col("next")))
-            state = settled(grown.select(F.concat("nodes", F.array("next")).alias("nodes"), F.concat("edge_ids", F.array("edge_id")).alias("edge_ids"), F.col("next").alias("end")))
-    found = done if source != target else done.limit(0)
-    ordered = found.orderBy("length", "nodes", "edge_ids")
+    walk = steps(edges, "out", kinds)
+    near = [{target}]
+    while len(near) < depth:
+        before = _few(walk.where(F.col("next").isin(*near[-1]) & (F.col("at") != target)).select("at"))
+        if before is None or len(near[-1] | set(before)) > SMALL:
+            break
+        near.append(near[-1] | set(before))
+    state = walk.limit(0).select(F.array("at").alias("nodes"), F.array("edge_id").alias("edge_ids"), F.col("next").alias("end"))
+    done = state.select("nodes", "edge_ids", F.lit(0).alias("length"))
+    for d in range(1, (depth if source != target else 0) + 1):
+        left = depth - d
+        onward = walk.where(F.col("next").isin(*near[left])) if left < len(near) else walk
+        if d == 1:
+            grown = onward.where((F.col("at") == source) & (F.col("next") != source))
+            grown = grown.select(F.array("at", "next").alias("nodes"), F.array("edge_id").alias("edge_ids"), F.col("next").alias("end"))
+        else:
+            ends = _few(state.select("end"))
+            if ends == []:
+                break
+            some = onward if ends is None else onward.where(F.col("at").isin(*ends))
+            grown = state.join(some.withColumnRenamed("at", "end"), "end").where(~F.array_contains("nodes", F.col("next")))
+            grown = grown.select(F.concat("nodes", F.array("next")).alias("nodes"), F.concat("edge_ids", F.array("edge_id")).alias("edge_ids"), F.col("next").alias("end"))
+        grown = settled(grown)
+        done = done.unionByName(grown.where(F.col("end") == target).select("nodes", "edge_ids", F.lit(d).alias("length")))
+        state = grown.where(F.col("end") != target)
+    ordered = done.orderBy("length", "nodes", "edge_ids")
     return ordered.limit(limit) if limit else ordered
 
 
@@ -145,7 +184,7 @@ def impact(edges: DataFrame, start: str, severity: float, depth: int = DEEPEST,
     walk = edges.select(F.col("source_id").alias("at"), F.col("target_id").alias("next"), (F.coalesce("strength", F.lit(1.0)) * F.coalesce("confidence", F.lit(1.0))).alias("weight"))
     state = walk.where(F.col("at") == start).groupBy("next").agg(F.max("weight").alias("weight"))
     out = None
-    for d in range(1, min(depth, DEEPEST) + 1):
+    for d in range(1, depth + 1):
         factor = severity / (1 + 0.3 * d)
         hit = state.where(F.col("weight") * factor >= least).select(F.col("next").alias("id"), "weight", (F.col("weight") * factor).alias("score"), F.lit(d).alias("distance"))
         hit = settled(hit)
@@ -163,8 +202,43 @@ def induced(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def merged(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Union of two sets of rows by id."""
-    return a.unionByName(b, allowMissingColumns=True).dropDuplicates(["id"])
+    """Union of two sets of rows by id; of rows with one id, the one of ``a`` stays."""
+    first, second = a.withColumn("_o", F.lit(0)), b.withColumn("_o", F.lit(1))
+    both = first.unionByName(second, allowMissingColumns=True)
+    names = [c for c in both.columns if c not in ("id", "_o")]
+    rows = both.groupBy("id").agg(F.min_by(F.struct(*names) if names else F.struct("id"), "_o").alias("_row"))
+    return rows.select("id", *[F.col(f"_row.{c}").alias(c) for c in names])
+
+
+def merged_subgraphs(a: tuple[DataFrame, DataFrame, bool], b: tuple[DataFrame, DataFrame, bool]) -> tuple[DataFrame, DataFrame, bool]:
+    """(nodes, edges, truncated) of two subgraphs: nodes once by id, edges once by id or, without one, by ends and type."""
+    ends = F.concat("source_id", F.lit("->"), "target_id", F.lit(":"), "type")
+    keyed = [g[1].withColumnRenamed("id", "_id").withColumn("id", F.coalesce("_id", ends)) for g in (a, b)]
+    edges = merged(*keyed)
+    return merged(a[0], b[0]), edges.drop("id").withColumnRenamed("_id", "id"), a[2] or b[2]
+
+
+def multiplicity(edges: DataFrame) -> DataFrame:
+    """source_id, target_id, n: how many edges lead from one node to another."""
+    return edges.groupBy("source_id", "target_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+def contracted(edges: DataFrame, groups: DataFrame) -> DataFrame:
+    """source, target, type, n: edges between groups (id, group), for graphs too large to draw; inner edges fall away."""
+    of = lambda end, name: groups.select(F.col("id").alias(end), F.col("group").alias(name))
+    both = edges.join(of("source_id", "source"), "source_id").join(of("target_id", "target"), "target_id")
+    return both.where("source <> target").groupBy("source", "target", "type").agg(F.count(F.lit(1)).alias("n"))
+
+
+def matched(nodes: DataFrame, edges: DataFrame, pattern: list[str | None]) -> DataFrame:
+    """n0, e0, n1, e1, ...: chains of nodes and edges whose types are as the pattern says (None: any), out-edges only."""
+    kind = lambda t: F.lit(True) if t is None else F.col("type") == t
+    rows = nodes.where(kind(pattern[0])).select(F.col("id").alias("n0"))
+    for i in range(1, len(pattern) // 2 + 1):
+        hop = edges.where(kind(pattern[2 * i - 1])).select(F.col("source_id").alias(f"n{i - 1}"), F.col("id").alias(f"e{i - 1}"), F.col("target_id").alias(f"n{i}"))
+        ends = nodes.where(kind(pattern[2 * i])).select(F.col("id").alias(f"n{i}"))
+        rows = rows.join(hop, f"n{i - 1}").join(ends, f"n{i}", "left_semi")
+    return rows.select(*[c for i in range(len(pattern) // 2 + 1) for c in ([f"n{i}", f"e{i}"] if i < len(pattern) // 2 else [f"n{i}"])])
 
 
 def degrees(edges: DataFrame) -> DataFrame:

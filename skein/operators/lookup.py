@@ -94,19 +94,28 @@ def list_entries(nodes: DataFrame, kind: str | None, filters: list[tuple[str, st
     return {"items": items, "cursor": encode_cursor(items[-1][sort], items[-1]["id"]) if more else None, "has_more": more, "total": found.count() if total else None}
 
 
-def faceted(rows: DataFrame, layers: list[str] = (), types: list[str] = (), lifecycles: list[str] = (), band: tuple[float, float] | None = None, dates: tuple[str, str] | None = None, text: str | None = None) -> DataFrame:
-    """Rows that pass every facet in use; rows without a confidence are outside any band."""
+def faceted(rows: DataFrame, layers: list[str] = (), types: list[str] = (), lifecycles: list[str] = (), band: tuple[float, float] | None = None, dates: tuple[str, str] | None = None, text: str | None = None, owners: list[str] = (), contexts: list[str] = (), quality: tuple[float, float] | None = None, pushed: bool = False) -> DataFrame:
+    """Rows that pass every facet in use; rows without a confidence or quality are outside any band.
+
+    ``pushed``: a single lifecycle has gone into the read of the page (``pushed_filters``) and is not asked again.
+    """
     out = rows
     if layers:
         out = out.where(F.col("layer").isin(*layers))
     if types:
         out = out.where(F.col("type").isin(*types))
-    if lifecycles:
+    if len(lifecycles) > 1 or (lifecycles and not pushed):
         out = out.where(F.col("lifecycle_status").isin(*lifecycles))
     if band:
         out = out.where(F.col("confidence").between(*band))
     if dates:
         out = out.where(F.col("valid_from").between(*dates))
+    if owners:
+        out = out.where(F.col("owner").isin(*owners))
+    if contexts:
+        out = out.where(F.col("context").isin(*contexts))
+    if quality:
+        out = out.where(F.col("quality").between(*quality))
     if text:
         out = out.where(F.lower("name").contains(text.lower()) | F.lower("id").contains(text.lower()))
     return out
@@ -132,3 +141,26 @@ def entry_detail(nodes: DataFrame, edges: DataFrame, node_id: str) -> DataFrame:
     into = edges.where((F.col("target_id") == node_id) & (F.col("source_id") != node_id)).select("type", F.lit("in").alias("direction"), F.col("source_id").alias("other_id"))
     named = nodes.select(F.col("id").alias("other_id"), "name")
     return out.union(into).join(named, "other_id", "left").select("type", "direction", "other_id", F.coalesce("name", "other_id").alias("label"))
+
+
+def pushed_filters(lifecycles: list[str] = (), owners: list[str] = ()) -> list[tuple[str, str, object]]:
+    """Facets with a single value as equality filters of a page; those with several are left to ``faceted``."""
+    single = [("lifecycle_status", lifecycles), ("owner", owners)]
+    return [(field, "eq", values[0]) for field, values in single if len(values) == 1]
+
+
+def list_all(nodes: DataFrame, kind: str, filters: list[tuple[str, str, object]] = ()) -> DataFrame:
+    """Every entry of a type: what following cursors to the end gives, as one scan."""
+    return find_by_type(nodes, kind, filters)
+
+
+def cross_type_total(totals: list[int | None]) -> int | None:
+    """The sum of the totals of several types; none if no type has one."""
+    known = [t for t in totals if t is not None]
+    return sum(known) if known else None
+
+
+def entry(nodes: DataFrame, edges: DataFrame, node_id: str) -> dict:
+    """The entry, its relationships as a table, and whether there is none."""
+    row = get_node(nodes, node_id).first()
+    return {"entry": row.asDict(recursive=True) if row else None, "relationships": entry_detail(nodes, edges, node_id), "not_found": row is None}

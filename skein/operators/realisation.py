@@ -49,6 +49,13 @@ def cells(mappings: DataFrame, claims: DataFrame) -> DataFrame:
     return grouped.select("row", "column", cell_status(F.col("_c")).alias("status"), "percentage", "first_mapping", F.flatten("_g").alias("gaps"))
 
 
+def matrix(rows: DataFrame, columns: list[str], mappings: DataFrame, claims: DataFrame) -> DataFrame:
+    """``cells`` of every row (id) and named column, also of those that no mapping covers: these are uncovered."""
+    every = rows.select(F.col("id").alias("row"), F.explode(F.array(*map(F.lit, columns))).alias("column"))
+    known = cells(mappings, claims.where(F.col("column").isin(*columns)))
+    return every.join(known, ["row", "column"], "left").withColumn("status", F.coalesce("status", F.lit("uncovered")))
+
+
 def coverage_summary(rows: DataFrame) -> DataFrame:
     """covered, partial, uncovered, total and percentage of rows with a status; a partial one counts half."""
     sums = rows.agg(F.count_if(F.col("status") == "covered").alias("covered"), F.count_if(F.col("status") == "partial").alias("partial"), F.count_if(F.col("status") == "uncovered").alias("uncovered"), F.count(F.lit(1)).alias("total"))

@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import first_filled, jaccard, normalise_name, salient_tokens
+from ..functions.text import first_filled, normalise_name, salient_tokens
+from ..plans.tables import settled
 from .graph import components
 
 SIMILAR, MOST_IN_BLOCK = 0.67, 40
@@ -35,17 +36,19 @@ def _named(entities: DataFrame) -> DataFrame:
     return entities.select("id", "type", name.alias("name"), F.array_sort(salient_tokens(name)).alias("tokens")).where("size(tokens) > 0")
 
 
-def _classes(named: DataFrame) -> DataFrame:
-    """type, tokens, rep: the smallest id of each type and token set."""
-    return named.groupBy("type", "tokens").agg(F.min("id").alias("rep"))
+def _tokenised(entities: DataFrame) -> DataFrame:
+    """id, type, key, hashes: a digest of the token set (tokens hold no spaces) and a hash of each token, written once."""
+    return settled(_named(entities).select("id", "type", F.sha2(F.array_join("tokens", " "), 256).alias("key"), F.transform("tokens", lambda t: F.xxhash64(t)).alias("hashes")))
+
+
+def _members(tokenised: DataFrame) -> DataFrame:
+    reps = tokenised.groupBy("type", "key").agg(F.min("id").alias("rep"))
+    return tokenised.join(reps, ["type", "key"]).where("id <> rep").select("type", "rep", "id")
 
 
 def class_members(entities: DataFrame) -> DataFrame:
     """type, rep, id of every other entity with its representative's type and token set."""
-    # tokens hold no spaces; a digest of them is joined, so that whole texts need not be
-    named = _named(entities).select("id", "type", F.sha2(F.array_join("tokens", " "), 256).alias("key"))
-    reps = named.groupBy("type", "key").agg(F.min("id").alias("rep"))
-    return named.join(reps, ["type", "key"]).where("id <> rep").select("type", "rep", "id")
+    return _members(_tokenised(entities))
 
 
 def similar_links(entities: DataFrame, least: float = SIMILAR) -> DataFrame:
@@ -53,29 +56,44 @@ def similar_links(entities: DataFrame, least: float = SIMILAR) -> DataFrame:
 
     Two entities are similar exactly if their representatives are one or make a pair, so no link is lost.
     """
-    members = class_members(entities).select("type", F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("similarity"), F.lit("member").alias("kind"))
-    return similar_pairs(entities, least).withColumn("kind", F.lit("pair")).unionByName(members)
+    tokenised = _tokenised(entities)
+    members = _members(tokenised).select("type", F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("similarity"), F.lit("member").alias("kind"))
+    return _pairs(tokenised, least).withColumn("kind", F.lit("pair")).unionByName(members)
 
 
 def similar_pairs(entities: DataFrame, least: float = SIMILAR) -> DataFrame:
     """a, b, similarity of same-type representatives with enough salient tokens in common, each pair once.
 
-    Equal token sets are one class first, so copies never pair up with each other (see ``class_members``). A pair at the
-    threshold shares one of the rarest tokens of each: only those (a prefix in order of frequency)
-    are joined, so a word that most names have makes no pairs.
+    Equal token sets are one class first, so copies never pair up with each other (see ``class_members``).
+    """
+    return _pairs(_tokenised(entities), least)
+
+
+def _pairs(tokenised: DataFrame, least: float) -> DataFrame:
+    """``similar_pairs`` of tokenised entities.
+
+    A pair at the threshold shares one of the rarest tokens of each: only those (a prefix in order of frequency)
+    are joined, so a word that most names have makes no pairs. Sets whose sizes are too far apart, and pairs whose
+    tokens behind the shared one cannot make up the overlap, fall away in the join, before any set is looked at.
     """
-    classes = _classes(_named(entities))
-    exploded = classes.select("type", "rep", F.explode("tokens").alias("token"), F.size("tokens").alias("n"))
+    classes = settled(tokenised.groupBy("type", "key").agg(F.min("id").alias("rep"), F.first("hashes").alias("hashes")).select("type", "rep", "hashes", F.size("hashes").alias("n")))
+    exploded = classes.select("type", "rep", "n", F.explode("hashes").alias("token"))
     frequency = exploded.groupBy("type", "token").agg(F.count(F.lit(1)).alias("uses"))
     ranked = exploded.join(frequency, ["type", "token"]).groupBy("type", "rep", "n").agg(F.array_sort(F.collect_list(F.struct("uses", "token"))).alias("_t"))
     # similarity >= s needs an overlap of at least s * n, so one of the first n - ceil(s * n) + 1 tokens is shared
-    prefix = ranked.select("type", "rep", "n", F.explode(F.slice("_t", 1, F.col("n") - F.ceil(F.lit(least) * F.col("n")).cast("int") + 1)).alias("_p"))
-    keys = prefix.select("type", "rep", "n", F.col("_p.token").alias("token"))
-    other = keys.select("type", "token", F.col("rep").alias("b"), F.col("n").alias("m"))
-    pairs = keys.withColumnRenamed("rep", "a").join(other, ["type", "token"]).where((F.col("a") < F.col("b")) & (F.least("n", "m") >= F.lit(least) * F.greatest("n", "m"))).select("type", "a", "b").distinct()
-    tokens = classes.select("rep", "tokens")
-    scored = pairs.join(tokens.select(F.col("rep").alias("a"), F.col("tokens").alias("ta")), "a").join(tokens.select(F.col("rep").alias("b"), F.col("tokens").alias("tb")), "b")
-    return scored.select("type", "a", "b", jaccard(F.col("ta"), F.col("tb")).alias("similarity")).where(F.col("similarity") >= least)
+    prefix = F.slice("_t", 1, F.col("n") - F.ceil(F.lit(least) * F.col("n")).cast("int") + 1)
+    keys = settled(ranked.select("type", "rep", "n", F.posexplode(prefix).alias("i", "_p")).select("type", "rep", "n", "i", F.col("_p.token").alias("token")))
+    other = keys.select("type", "token", F.col("rep").alias("b"), F.col("n").alias("m"), F.col("i").alias("j"))
+    sizes = F.least("n", "m") >= F.lit(least) * F.greatest("n", "m")
+    # an overlap of at least s / (1 + s) * (n + m); the first shared token stands at i and j, the rest behind it
+    reach = 1 + F.least(F.col("n") - 1 - F.col("i"), F.col("m") - 1 - F.col("j")) >= F.lit(least / (1 + least)) * (F.col("n") + F.col("m")) - 1e-9
+    met = keys.withColumnRenamed("rep", "a").join(other, ["type", "token"]).where((F.col("a") < F.col("b")) & sizes & reach)
+    pairs = settled(met.select("type", "a", "b", "n", "m").distinct())
+    sets = classes.select("rep", "hashes")
+    both = pairs.join(sets.select(F.col("rep").alias("a"), F.col("hashes").alias("ta")), "a").join(sets.select(F.col("rep").alias("b"), F.col("hashes").alias("tb")), "b")
+    shared = F.size(F.array_intersect("ta", "tb"))
+    scored = both.select("type", "a", "b", (shared / (F.col("n") + F.col("m") - shared)).alias("similarity"))
+    return scored.where(F.col("similarity") >= least)
 
 
 def candidate_blocks(entities: DataFrame, least: float = SIMILAR, most: int = MOST_IN_BLOCK) -> DataFrame:
@@ -134,3 +152,46 @@ def valid_verdicts(verdicts: DataFrame) -> DataFrame:
     """Verdicts that name a disposition and a rationale, with an id of their subject; levels other than 2 to 4 are dropped."""
     ok = verdicts.where(F.col("disposition").isin("placed", "rejected") & (F.trim("rationale") != ""))
     return ok.withColumns({"id": F.concat(F.lit("cls-"), F.col("subject")), "level": F.when(F.col("level").between(2, 4), F.col("level")), "confidence": F.when(F.col("confidence").isNull(), 0.5).otherwise(F.least(F.greatest("confidence", F.lit(0.0)), F.lit(1.0)))})
+
+
+# --- the classification pass ------------------------------------------------------------------------------
+
+
+def verdict_subjects(verdicts: DataFrame, batches: DataFrame) -> DataFrame:
+    """Verdicts (batch, name, ...) for every id (subject) that has the name in their batch; other names say nothing."""
+    asked = batches.select("batch", "name", F.col("id").alias("subject")).distinct()
+    return verdicts.join(asked, ["batch", "name"])
+
+
+def reclassified(kept: DataFrame, new: DataFrame, subjects: DataFrame) -> DataFrame:
+    """Earlier classifications of subjects that still live, and the new ones, by id; a new one takes the place of an old one."""
+    live = kept.join(subjects.select(F.col("id").alias("subject")), "subject", "left_semi").join(new.select("id"), "id", "left_anti")
+    return live.unionByName(new, allowMissingColumns=True).orderBy("id")
+
+
+def spine_outline(spine: DataFrame) -> DataFrame:
+    """name, children (sorted names) of each capability of level 1, with the ones of level 2 that name it as their parent."""
+    tops = spine.where("level = 1").select("name").distinct()
+    lower = spine.where("level = 2").groupBy(F.col("parent").alias("name")).agg(F.sort_array(F.collect_list("name")).alias("children"))
+    return tops.join(lower, "name", "left").select("name", F.coalesce("children", F.array().cast("array<string>")).alias("children")).orderBy("name")
+
+
+# --- extensions -------------------------------------------------------------------------------------------
+
+
+def resolution_actions(candidates: DataFrame, merge: float = 0.85, link: float = 0.6) -> DataFrame:
+    """id, action, other: merge with the most similar known entity, link to it, or create (candidates: id, other, similarity)."""
+    best = candidates.groupBy("id").agg(F.max(F.struct(F.coalesce("similarity", F.lit(0.0)).alias("similarity"), "other")).alias("_b"))
+    action = F.when(F.col("_b.similarity") >= merge, "merge").when(F.col("_b.similarity") >= link, "link").otherwise("create")
+    return best.select("id", action.alias("action"), F.when(action != "create", F.col("_b.other")).alias("other"))
+
+
+def cross_document_relationships(mentions: DataFrame, remap: DataFrame) -> DataFrame:
+    """document, other_document, n: pairs of documents by the resolved entities (id) that both mention, each pair once.
+
+    An entity links its documents in a chain by document, so one that a third of them mention makes no pairs of all.
+    """
+    resolved = mentions.join(remap, "id", "left").select("document", F.coalesce("survivor", "id").alias("id")).distinct()
+    following = F.lead("document").over(Window.partitionBy("id").orderBy("document"))
+    chained = resolved.withColumn("other_document", following).where("other_document is not null")
+    return chained.groupBy("document", "other_document").agg(F.count(F.lit(1)).alias("n"))

@@ -33,22 +33,24 @@ class Service:
     def entries(self, kind: str | None, **options) -> dict:
         return self._timed("typeListing", lambda: lookup.list_entries(self.nodes, kind, **options))
 
-    def traverse(self, start: str, depth: int = graph.DEEPEST, limit: int | None = None, with_edges: bool = True, **options) -> dict:
-        """nodes in order of depth, edges, truncated: whether more nodes than the limit were reached."""
+    def traverse(self, start: str, depth: int = graph.DEEPEST, with_edges: bool = True, **options) -> dict:
+        """nodes (id, depth) and edges (edge_id) as tables; truncated: whether the depth asked for is beyond ``DEEPEST``."""
 
         def answer() -> dict:
-            starts = self.nodes.where(F.col("id") == start)
+            starts = self.nodes.sparkSession.createDataFrame([(start,)], "id string")
             reached, seen = graph.traverse(self.nodes, self.edges, starts, depth=min(depth, graph.DEEPEST), **options)
-            rows = reached.orderBy("depth", "id")
-            rows = (rows.limit(limit + 1) if limit else rows).collect()
-            more = bool(limit) and len(rows) > limit
-            edges = [r["edge_id"] for r in seen.orderBy("edge_id").collect()] if with_edges else []
-            return {"nodes": [(r["id"], r["depth"]) for r in (rows[:limit] if limit else rows)], "edges": edges, "truncated": more}
+            return {"nodes": reached, "edges": seen if with_edges else seen.limit(0), "truncated": depth > graph.DEEPEST}
 
         return self._timed("traversal", answer)
 
-    def paths(self, source: str, target: str, depth: int = graph.DEEPEST, limit: int | None = None) -> list[list[str]]:
-        return self._timed("pathFinding", lambda: [r["nodes"] for r in graph.simple_paths(self.edges, source, target, depth, limit).collect()])
+    def paths(self, source: str, target: str, depth: int = graph.DEEPEST, limit: int | None = None, kinds: list[str] | None = None) -> dict:
+        """paths (nodes, edge_ids, length) as a table, and whether there is any; the depth is not cut."""
+
+        def answer() -> dict:
+            found = graph.simple_paths(self.edges, source, target, depth, limit, kinds)
+            return {"paths": found, "found": not found.isEmpty()}
+
+        return self._timed("pathFinding", answer)
 
     def state_at(self, moment: str) -> DataFrame:
         return self._timed("temporal", lambda: temporal.state_at(self.log, moment))

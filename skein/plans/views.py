@@ -16,6 +16,8 @@ from ..functions.text import decision_type, norm
 from ..operators import graph, realisation
 
 UNASSIGNED = "__unassigned__"
+#: Names of unclassified capabilities that a summary lists.
+NAMED = 50
 
 
 def _is(kind: str) -> Column:
@@ -102,8 +104,8 @@ def capability_map(nodes: DataFrame, edges: DataFrame, root: str | None = None)
     return rows.orderBy("path")
 
 
-def business_architecture(nodes: DataFrame, verdicts: DataFrame, least: float | None = None) -> dict[str, DataFrame]:
-    """tree (id, name, parent, depth, path, descendants), rejected (reason, n), unclassified (id, name).
+def business_architecture(nodes: DataFrame, verdicts: DataFrame, least: float | None = None, root: str | None = None) -> dict[str, DataFrame]:
+    """tree (id, name, parent, depth, path, descendants), rejected (reason, n), unclassified (id, name), unclassified_summary (n, names: the first 50).
 
     Reference capabilities are the spine; trusted placements hang their subjects under reference or placed
     capabilities. The last placement of a subject by id counts; what is not reached from a root of the spine
@@ -124,7 +126,14 @@ def business_architecture(nodes: DataFrame, verdicts: DataFrame, least: float |
     rejected = trusted.where("disposition = 'rejected'")
     reasons = rejected.groupBy(F.coalesce("rejection_reason", F.lit("unspecified")).alias("reason")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "reason")
     handled = tree.select("id").unionByName(rejected.select(F.col("subject").alias("id")))
-    return {"tree": graph.with_paths(tree).join(graph.descendant_counts(tree), "id").drop("_prio", "orphaned").orderBy("path"), "rejected": reasons, "unclassified": raw.join(handled, "id", "left_anti").orderBy(F.collate(F.col("name"), "UNICODE"))}
+    rest = raw.join(handled, "id", "left_anti")
+    first = rest.select("name").orderBy(F.collate(F.col("name"), "UNICODE"), "name").limit(NAMED).agg(F.collect_list("name").alias("names"))
+    drawn = graph.with_paths(tree).join(graph.descendant_counts(tree), "id").drop("_prio", "orphaned")
+    if root is not None:
+        tops = tree.where(in_scope(root)).select(F.col("id").alias("ancestor"))
+        drawn = drawn.join(graph.closure(tree).join(tops, "ancestor", "left_semi").select("id"), "id", "left_semi")
+    summary = rest.agg(F.count(F.lit(1)).alias("n")).join(first)  # one row each
+    return {"tree": drawn.orderBy("path"), "rejected": reasons, "unclassified": rest.orderBy(F.collate(F.col("name"), "UNICODE")), "unclassified_summary": summary}
 
 
 # --- behaviour ------------------------------------------------------------------------------------------
@@ -176,6 +185,46 @@ def gap_analysis(rows: DataFrame, edges: DataFrame, mappings: DataFrame, layer:
     return {"gaps": realisation.gaps(assessed, layer), "summary": realisation.gap_summary(assessed)}
 
 
+def _claims(products: DataFrame) -> DataFrame:
+    return products.select(F.col("id").alias("column"), F.explode("claims").alias("capability"))
+
+
+def coverage_view(nodes: DataFrame, edges: DataFrame, mappings: DataFrame, vendor: str | None = None, domain: str | None = None, row_kind: str = "BusinessCapability") -> dict[str, DataFrame]:
+    """rows, columns, cells (one for each row and column) and summary, for one vendor (by vendor, id or name) and one domain.
+
+    nodes carry vendor, claims (array of capabilities) and domain as well. Products are a small dimension: their ids
+    come to the driver as the matrix's columns.
+    """
+    rows = nodes.where(_is(row_kind))
+    if domain is not None:
+        rows = rows.where(norm(F.col("domain")) == domain.strip().lower())
+    products = nodes.where(_is("VendorProduct"))
+    if vendor is not None:
+        products = products.where((F.lower("vendor") == vendor.lower()) | in_scope(vendor))
+    columns = products.select("id", F.coalesce("name", "id").alias("name"), F.coalesce("vendor", F.lit("")).alias("vendor")).orderBy("id")
+    assessed = realisation.elements(rows.select("id", "name", "domain"), edges, mappings).withColumn("status", realisation.row_status())
+    cells = realisation.matrix(rows, [r["id"] for r in columns.select("id").collect()], mappings, _claims(products))
+    return {"rows": assessed, "columns": columns, "cells": cells, "summary": realisation.coverage_summary(assessed)}
+
+
+def gap_view(nodes: DataFrame, edges: DataFrame, mappings: DataFrame, domain: str | None = None, layer: str = "both") -> dict[str, DataFrame]:
+    """gaps (with kind and domain) and summary of capabilities and concepts, of one domain if asked for."""
+    rows = nodes.where(F.col("type").isin("BusinessCapability", "DomainConcept"))
+    if domain is not None:
+        rows = rows.where(norm(F.col("domain")) == domain.strip().lower())
+    assessed = realisation.elements(rows.select("id", "name", F.col("type").alias("kind"), "domain"), edges, mappings)
+    found = realisation.gaps(assessed, layer).join(assessed.select("id", "kind", "domain"), "id").orderBy(F.col("priority").desc(), "id")
+    return {"gaps": found, "summary": realisation.gap_summary(assessed)}
+
+
+def context_detail(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(members: context, id, type, name; the edges that leave members, belongsTo apart) for rendering a domain map."""
+    contexts = nodes.where(_is("BoundedContext")).select(F.col("id").alias("target_id"))
+    held = edges.where(_is("belongsTo")).join(contexts, "target_id", "left_semi").select(F.col("source_id").alias("id"), F.col("target_id").alias("context")).distinct()
+    members = held.join(nodes.select("id", "type", "name"), "id").select("context", "id", "type", "name")
+    return members, edges.where(~_is("belongsTo")).join(members.select(F.col("id").alias("source_id")), "source_id", "left_semi").select(*edges.columns)
+
+
 def matrix_markdown(cells: DataFrame, columns: list[str]) -> str:
     """The cells as a Markdown table; columns are named by the caller, so the pivot is bounded."""
     wide = cells.groupBy("row").pivot("column", columns).agg(F.first("status")).orderBy("row")
@@ -183,21 +232,32 @@ def matrix_markdown(cells: DataFrame, columns: list[str]) -> str:
     return "\n".join(lines + [f"| {r['row']} | " + " | ".join(r[c] or "" for c in columns) + " |" for r in wide.toLocalIterator()])
 
 
+def gaps_markdown(view: dict[str, DataFrame]) -> str:
+    """A gap analysis as Markdown: a line of figures, and a table of the gaps or a line that says there are none."""
+    total = view["summary"].first()
+    count = lambda n, what: f"{n} {what} gap{'' if n == 1 else 's'}"
+    lines = ["# Gap Analysis", "", f"{count(total['functional_gaps'], 'functional')} · {count(total['technical_gaps'], 'technical')} · {total['fully_realised']} fully realised (of {total['total']} assessed)", ""]
+    body = [f"| {r['priority']} | {r['name']} | {r['kind']} | {' + '.join(r['missing'])} | {r['reason']} |" for r in view["gaps"].toLocalIterator()]
+    head = ["| Priority | Element | Kind | Missing | Reason |", "| --- | --- | --- | --- | --- |"]
+    return "\n".join(lines + (head + body if body else ["_No gaps: every assessed element is realised._"]))
+
+
 class Engine:
-    """Views by name; registering a name again replaces it."""
+    """Views by name; registering a name again replaces it. A view's rows count as its entries unless it says otherwise."""
 
     def __init__(self) -> None:
-        self._views: dict[str, Callable[..., DataFrame]] = {}
+        self._views: dict[str, tuple[Callable[..., DataFrame | dict], Callable[..., int]]] = {}
 
-    def register(self, name: str, view: Callable[..., DataFrame]) -> None:
-        self._views[name] = view
+    def register(self, name: str, view: Callable[..., DataFrame | dict], included: Callable[..., int] = lambda result: result.count()) -> None:
+        self._views[name] = (view, included)
 
     def list(self) -> list[str]:
         return sorted(self._views)
 
     def get(self, name: str, *tables: DataFrame, **params) -> dict:
-        result = self._views[name](*tables, **params)
-        return {"view": name, "data": result, "computed_at": datetime.now(UTC).isoformat(), "entries_included": result.count(), "stale": False, "cache_hit": False}
+        view, included = self._views[name]
+        result = view(*tables, **params)
+        return {"view": name, "data": result, "computed_at": datetime.now(UTC).isoformat(), "entries_included": included(result), "stale": False, "cache_hit": False}
 
     def refresh(self, name: str) -> None:
         """Views are computed when asked for, so there is nothing to refresh."""
@@ -207,7 +267,10 @@ def standard_engine() -> Engine:
     out = Engine()
     out.register("domain-map", domain_map)
     out.register("capability-map", capability_map)
+    out.register("business-architecture", business_architecture, lambda r: r["tree"].count() + r["unclassified"].count())
     out.register("behaviour-flow", behaviour_flow)
+    out.register("vendor-coverage", coverage_view, lambda r: r["rows"].count())
+    out.register("gap-analysis", gap_view, lambda r: r["summary"].first()["total"])
     return out
 
 
@@ -221,3 +284,49 @@ def flow_diagram(steps: DataFrame) -> DataFrame:
     node = F.concat(F.lit('rectangle "'), F.regexp_replace("step", '"', "'"), F.lit('" as '), diagram_alias(F.col("step")))
     arrow = F.when(F.col("next").isNotNull(), F.concat(diagram_alias(F.col("step")), F.lit(" --> "), diagram_alias(F.col("next")), F.lit(" : then")))
     return steps.orderBy("flow", "position").select(F.explode(F.array_compact(F.array(node, arrow))).alias("line"))
+
+
+def _label(column: str) -> Column:
+    return F.regexp_replace(F.coalesce(F.col(column), F.lit("")), '"', "'")
+
+
+def domain_diagram(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """line, by place: PlantUML packages of subdomains and contexts with their members, and the edges between members.
+
+    A table to be written in order; a context's lines sort under its subdomain, a member's under its context.
+    """
+    from ..functions.text import diagram_alias
+
+    counts = context_counts(nodes, edges)
+    members, inner = context_detail(nodes, edges)
+    names = nodes.where(_is("Subdomain")).select(F.col("id").alias("subdomain"), F.col("name").alias("_sub"))
+    placed = counts.join(names, "subdomain", "left").withColumn("_sub", F.coalesce("_sub", "subdomain"))
+    none = F.lit("")
+    row = lambda df, a, b, c, line: df.select(a.alias("a"), b.alias("b"), c.alias("c"), line.alias("line"))
+    sub, ctx = F.col("subdomain"), F.col("id")
+    opened = row(placed.select("subdomain", "_sub").distinct(), sub, none, none, F.concat(F.lit('package "'), _label("_sub"), F.lit('" as '), diagram_alias(sub), F.lit(" {")))
+    closed = row(placed.select("subdomain").distinct(), sub, F.lit("\uffff"), none, F.lit("}"))
+    label = F.concat(F.lit('  package "'), _label("name"), F.lit("\\n"), F.col("concepts").cast("string"), F.lit(" concepts · "), F.col("services").cast("string"), F.lit(' services" as '), diagram_alias(ctx), F.lit(" {"))
+    contexts = row(placed, sub, ctx, none, label).unionByName(row(placed, sub, ctx, F.lit("\uffff"), F.lit("  }")))
+    inside = members.join(placed.select(F.col("id").alias("context"), "subdomain"), "context")
+    boxes = row(inside, sub, F.col("context"), F.concat("type", F.lit("/"), "id"), F.concat(F.lit('    rectangle "'), _label("name"), F.lit('" as '), diagram_alias(ctx), F.lit(" <<"), F.col("type"), F.lit(">>")))
+    known = members.select(F.col("id").alias("target_id")).distinct()
+    arrows = row(inner.join(known, "target_id", "left_semi"), F.lit("\uffff"), F.col("id"), none, F.concat(diagram_alias(F.col("source_id")), F.lit(" --> "), diagram_alias(F.col("target_id")), F.lit(" : "), F.col("type")))
+    lines = opened.unionByName(contexts).unionByName(boxes).unionByName(arrows).unionByName(closed)
+    return lines.orderBy("a", "b", "c", "line").select("line")
+
+
+def behaviour_diagram(nodes: DataFrame, edges: DataFrame, steps: DataFrame) -> DataFrame:
+    """line, by place: PlantUML of a behaviour subgraph: its nodes, dashed arrows between following steps, its typed edges.
+
+    Edges that leave a decision are bold. steps: step, next, as ``flow_steps`` gives them.
+    """
+    from ..functions.text import diagram_alias
+
+    shape = F.when(_is("Decision"), "hexagon").when(_is("Event"), "usecase").otherwise("rectangle")
+    boxes = nodes.select(F.lit(0).alias("part"), F.col("id").alias("key"), F.concat(shape, F.lit(' "'), _label("name"), F.lit('" as '), diagram_alias(F.col("id")), F.lit(" <<"), F.col("type"), F.lit(">>")).alias("line"))
+    order = steps.where("next is not null").select(F.lit(1).alias("part"), F.col("step").alias("key"), F.concat(diagram_alias(F.col("step")), F.lit(" -[dashed]-> "), diagram_alias(F.col("next")), F.lit(" : then")).alias("line"))
+    decisions = nodes.where(_is("Decision")).select(F.col("id").alias("source_id"), F.lit(True).alias("_d"))
+    arrow = F.when(F.col("_d"), " -[bold]-> ").otherwise(" --> ")
+    drawn = graph.induced(nodes, edges).join(decisions, "source_id", "left").select(F.lit(2).alias("part"), F.col("id").alias("key"), F.concat(diagram_alias(F.col("source_id")), arrow, diagram_alias(F.col("target_id")), F.lit(" : "), F.col("type")).alias("line"))
+    return boxes.unionByName(order).unionByName(drawn).orderBy("part", "key", "line").select("line")

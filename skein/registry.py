@@ -473,12 +473,6 @@ def confidence_labels(spark, sf):
     return star.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), tx.confidence_label(F.round(F.col("s_suppkey") % 101 / 100, 2)).alias("label"))
 
 
-@query()
-def hashed_embeddings(spark, sf):
-    """Names of all parts; hashes of code points are no SQL, so a test holds it against brute force."""
-    return star.table(spark, sf, "part").select("p_partkey", tx.hashed_embedding(F.col("p_name")).alias("embedding"))
-
-
 # --- documents ---------------------------------------------------------------------------------------------------------------
 
 
@@ -495,10 +489,22 @@ def incremental_ingest(spark, sf):
     return files.incremental(found, old)[0].select("path", "status")
 
 
-@query("WITH l AS (SELECT doc_id AS id, unnest(string_split(text, chr(10))) AS v FROM documents), n AS (SELECT id, v, row_number() OVER (PARTITION BY id) - 1 AS line FROM l) SELECT id, CAST(count_if(v LIKE 'The %') AS BIGINT) AS headings FROM l GROUP BY id HAVING count_if(v LIKE 'The %') > 0")
+_HEADS = r"""WITH d AS (SELECT doc_id AS id, string_split(regexp_replace(regexp_replace(coalesce(text, ''), '(^|\n)The ', '\1# The ', 'g'), '(^|\n)It ', '\1```', 'g'), chr(10)) AS ls FROM documents),
+l AS (SELECT id, unnest(ls) AS v, unnest(range(len(ls))) AS line FROM d),
+o AS (SELECT id, v, line, count_if(regexp_matches(v, '^\s*(```|~~~)')) OVER w % 2 = 1 AS fenced, coalesce(sum(length(v) + 1) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos, max(line) OVER (PARTITION BY id) + 1 AS last, sum(length(v) + 1) OVER (PARTITION BY id) - 1 AS total FROM l WINDOW w AS (PARTITION BY id ORDER BY line)),
+h AS (SELECT *, NOT fenced AND regexp_matches(v, '^#{1,6}\s') AS head FROM o),
+c AS (SELECT *, count_if(head) OVER (PARTITION BY id) AS heads FROM h),
+k AS (SELECT * FROM c WHERE head OR (heads = 0 AND line = 0))
+SELECT id, row_number() OVER w - 1 AS index, CASE WHEN head THEN length(regexp_extract(v, '^(#{1,6})\s', 1)) ELSE 1 END AS level, CAST(line AS INT) AS start, CAST(coalesce(lead(line) OVER w, last) AS INT) AS "end", CAST(pos AS BIGINT) AS start_offset, CAST(coalesce(lead(pos) OVER w, total) AS BIGINT) AS end_offset
+FROM k WINDOW w AS (PARTITION BY id ORDER BY line)"""
+
+
+@query(_HEADS)
 def markdown_sections(spark, sf):
-    docs = star.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.regexp_replace("text", "(?m)^The ", "# The ").alias("content"))
-    return docs_f.sections(docs).groupBy("id").agg(F.count(F.lit(1)).alias("headings"))
+    """Lines that begin with The are headings, those that begin with It fences."""
+    marked = F.regexp_replace(F.regexp_replace("text", "(^|\n)The ", "$1# The "), "(^|\n)It ", "$1```")
+    docs = star.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), marked.alias("content"))
+    return docs_f.sections(docs).drop("title")
 
 
 @query()
@@ -698,9 +704,16 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gap_list(spark, sf_dir)
 
 
+def _all() -> None:
+    """The module of further queries registers its own when it is imported."""
+    from . import registry_more  # noqa: F401
+
+
 def queries() -> dict[str, Query]:
+    _all()
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _all()
     return dict(ORACLES)

@@ -6,6 +6,7 @@ Everything reads and writes through Spark, so any file system that Spark knows w
 from __future__ import annotations
 
 import json
+import os
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -158,10 +159,21 @@ def standard_connectors() -> Connectors:
     return out
 
 
-def read_entries(spark: SparkSession, paths: list[str] | str, strict: bool = False) -> DataFrame:
-    """JSONL entries; blank lines are none, malformed ones have _corrupt_record set, or raise if strict."""
-    schema = ENTRY if strict else T.StructType([*ENTRY.fields, T.StructField("_corrupt_record", T.StringType())])
-    return spark.read.schema(schema).option("mode", "FAILFAST" if strict else "PERMISSIVE").json(paths)
+def read_entries(spark: SparkSession, paths: list[str] | str, malformed: str = "skip") -> DataFrame:
+    """JSONL entries; blank lines are none. Malformed lines are skipped, kept with _corrupt_record set ("mark"), or raise ("raise")."""
+    if malformed == "raise":
+        return spark.read.schema(ENTRY).option("mode", "FAILFAST").json(paths)
+    marked = spark.read.schema(T.StructType([*ENTRY.fields, T.StructField("_corrupt_record", T.StringType())])).option("mode", "PERMISSIVE").json(paths)
+    return marked if malformed == "mark" else marked.where(F.col("id").isNotNull() | F.col("type").isNotNull() | F.col("data").isNotNull()).drop("_corrupt_record")
+
+
+def read_run(spark: SparkSession, paths: list[str | None], malformed: str = "skip") -> DataFrame:
+    """Entries of several files with their place (ord): file by file as given, then line by line; None is no file."""
+    out = None
+    for n, path in enumerate(p for p in paths if p is not None):
+        rows = read_entries(spark, path, malformed).withColumn("ord", F.struct(F.lit(n).alias("file"), F.monotonically_increasing_id().alias("line")))
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 def with_authority(entries: DataFrame) -> DataFrame:
@@ -186,6 +198,27 @@ def companion_names(docs: DataFrame) -> DataFrame:
     return docs.withColumn("file", F.concat(base, F.when(n > 1, F.concat(F.lit("-"), n.cast("string"))).otherwise(F.lit("")), F.lit(".md")))
 
 
+def write_companions(docs: DataFrame, folder: str) -> DataFrame:
+    """path, file of the Markdown files that the tasks write for documents (path, content) in a folder all machines share.
+
+    The names come from ``companion_names``, so a repeated task writes the same file again.
+    """
+    named = companion_names(docs).select("path", "file", F.coalesce("content", F.lit("")).alias("content"))
+    os.makedirs(folder, exist_ok=True)
+
+    def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for name, content in f[["file", "content"]].itertuples(index=False, name=None):
+                part = f"{folder}/.{name}.{os.getpid()}"
+                with open(part, "w", encoding="utf-8") as out:
+                    out.write(content)
+                os.replace(part, f"{folder}/{name}")
+            yield f[["path", "file"]]
+
+    named.mapInPandas(write, "path string, file string").write.format("noop").mode("overwrite").save()
+    return named.select("path", "file")
+
+
 def dedupe_by_content(docs: DataFrame, key: str = "id", text: str = "content") -> DataFrame:
     """hash, first id and number of the documents with the same content."""
     return docs.groupBy(content_hash(F.col(text)).alias("hash")).agg(F.min(key).alias(key), F.count(F.lit(1)).alias("n"))

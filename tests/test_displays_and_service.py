@@ -46,8 +46,13 @@ def test_service(spark):
     seen = []
     service = Service(nodes, edges, nodes_policy=lambda d: d.where("id <> 'd'"), metrics=seen.append)
     assert service.entry("a")["name"] == "a" and service.entry("d") is None
-    assert service.traverse("a", depth=9, limit=2) == {"nodes": [("a", 0), ("b", 1)], "edges": ["1", "2", "3"], "truncated": True}
-    assert service.paths("a", "d") == [["a", "b", "d"]] and len(service.entries("T")["items"]) == 3
+    found = service.traverse("a", depth=9, limit=2)
+    assert [tuple(r) for r in found["nodes"].collect()] == [("a", 0), ("b", 1)] and found["truncated"]
+    assert sorted(r[0] for r in found["edges"].collect()) == ["1", "2", "3"]
+    assert not service.traverse("a", depth=5, limit=1, with_edges=False)["truncated"]
+    paths = service.paths("a", "d")
+    assert [r["nodes"] for r in paths["paths"].collect()] == [["a", "b", "d"]] and paths["found"] and len(service.entries("T")["items"]) == 3
+    seen.pop(3)
     assert [m["kind"] for m in seen] == ["entityLookup", "entityLookup", "traversal", "pathFinding", "typeListing"]
 
 

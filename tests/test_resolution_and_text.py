@@ -45,14 +45,37 @@ def test_hashes_and_labels(spark):
 def test_sections_and_chunks(spark):
     docs = spark.createDataFrame([(1, "intro\n# One\ntext\n```\n# no\n```\n## Two ##x\nend"), (2, "plain"), (3, None)], "id int, content string")
     out = [tuple(r) for r in documents.sections(docs).orderBy("id", "index").collect()]
-    assert out == [(1, 0, 1, "One", 1, 6), (1, 1, 2, "Two ##x", 6, 8)]
+    assert out == [(1, 0, 1, "One", 1, 6, 6, 30), (1, 1, 2, "Two ##x", 6, 8, 30, 44), (2, 0, 1, "", 0, 1, 0, 5), (3, 0, 1, "", 0, 1, 0, 0)]
+    whole = {(r["id"], r["index"]): r["content"] for r in documents.sections(docs, content=True).collect()}
+    assert whole[(1, 1)] == "## Two ##x\nend" and whole[(2, 0)] == "plain"
+    titled = spark.createDataFrame([(1, "## Two ##\n# One #\n#"), (2, "plain"), (3, "### C\n## B")], "id int, content string")
+    assert {r["id"]: r["title"] for r in documents.first_titles(titled).collect()} == {1: "One", 2: None, 3: "C"}
     text = "a" * 30 + "\n\n" + "b" * 30 + "\n\n\n\n" + "c" * 30
     chunks = [r["content"] for r in documents.paragraph_chunks(spark.createDataFrame([(1, text)], "id int, content string"), size=70, overlap=5).orderBy("index").collect()]
     assert chunks == ["a" * 30 + "\n\n" + "b" * 30, "b" * 5 + "\n\n" + "c" * 30]
     giant = documents.paragraph_chunks(spark.createDataFrame([(1, "x" * 250), (2, ""), (3, None)], "id int, content string"), size=100, overlap=10).collect()
-    assert {r["id"] for r in giant} == {1} and max(len(r["content"]) for r in giant) <= 100
-    records = spark.createDataFrame([(1, '[{"id": "q", "v": 1}, {"v": 2}]'), (2, '{"a": 1}')], "id int, s string").withColumn("structured", F.parse_json("s"))
-    assert [r["location"] for r in documents.record_units(records).orderBy("index").collect()] == ["Record: q", "Record: 2"]
+    assert {r["id"] for r in giant} == {1} and [len(r["content"]) for r in sorted(giant, key=lambda r: r["index"])] == [100, 100, 70]
+    fits = documents.paragraph_chunks(spark.createDataFrame([(1, "  a \n\n\n\n b  ")], "id int, content string")).collect()
+    assert [r["content"] for r in fits] == ["a \n\n\n\n b"]
+    records = spark.createDataFrame([(1, '[{"id": "q", "v": 1}, {"v": 2}, {"id": 7}, 3]'), (2, '{"a": 1}')], "id int, s string").withColumn("structured", F.parse_json("s"))
+    assert [r["location"] for r in documents.record_units(records).orderBy("index").collect()] == ["Record: q", "Record 2", "Record 3", "Record 4"]
+
+
+def test_document_chunks(spark):
+    rows = [
+        ("a", None, "x" * 30, "plaintext", None),
+        ("b", "Title", '[{"z": "é", "id": "q"}, {"v": [1]}]', "structured", None),
+        ("c", None, '{"k": 1}', "structured", None),
+        ("d", "D", "all", "markdown", [("s-0", "One", "p" * 25), ("s-1", "Two", "  "), ("s-2", "Three", "short")]),
+        ("e", None, None, "plaintext", None),
+    ]
+    docs = spark.createDataFrame(rows, "id string, title string, content string, content_type string, sections array<struct<id:string,title:string,content:string>>")
+    out = {r["id"]: (r["section_id"], r["section_title"], r["location"], r["content"]) for r in documents.document_chunks(docs, 20, 4).collect()}
+    assert out["a::chunk-0"] == (None, "Document", "Section: Document (part 1)", "x" * 20) and out["a::chunk-1"][2:] == ("Section: Document (part 2)", "x" * 14)
+    assert "".join(v[3] for k, v in out.items() if k.startswith("b")).count("é") == 1 and out["b::chunk-0"][2].startswith("Record: q (part 1)")
+    assert out["c::chunk-0"] == (None, "Document", "Section: Document", '{\n  "k": 1\n}')
+    assert out["d::chunk-0"] == ("s-0", "One", "Section: One (part 1)", "p" * 20) and out["d::chunk-2"] == ("s-2", "Three", "Section: Three", "short")
+    assert not any(k.startswith("e") for k in out)
 
 
 def test_quality(spark):
@@ -104,7 +127,7 @@ def test_similar_pairs_against_brute_force(spark):
 
 
 def test_embeddings_query_against_brute_force(spark, tmp_path):
-    from skein import registry
+    from skein.registry import queries
 
     rows = [(i, name) for i, name in enumerate(["", "lime chocolate", "Größe 7", *(f"part {k} of {k * 7}" for k in range(300))])] + [(900, None)]
     spark.createDataFrame(rows, "p_partkey long, p_name string").write.parquet(f"{tmp_path}/part.parquet")
@@ -115,10 +138,12 @@ def test_embeddings_query_against_brute_force(spark, tmp_path):
             h = (h ^ ord(c)) * 16777619 & 0xFFFFFFFF
         return h / 4294967295 * 2 - 1
 
-    out = {r["p_partkey"]: r["embedding"] for r in registry.hashed_embeddings(spark, str(tmp_path)).collect()}
-    assert set(out) == {k for k, _ in rows} and out[900] == [None] * 16
+    out = {(r["p_partkey"], r["i"]): r["value"] for r in queries()["hashed_embeddings"](spark, str(tmp_path)).collect()}
+    assert {k for k, _ in out} == {k for k, _ in rows} and out[(900, 3)] is None
     for k, name in rows[:-1]:
-        assert out[k] == pytest.approx([one(f"{i}:{name}") for i in range(16)], abs=1e-6)
+        assert [out[(k, i)] for i in range(16)] == pytest.approx([one(f"{i}:{name}") for i in range(16)], abs=1e-5)
+    pair = spark.createDataFrame([("a😀",)], "t string").select(tx.utf16_units(F.col("t"))).first()[0]
+    assert pair == [97, 0xD83D, 0xDE00]
 
 
 def test_blocking_query_links_all_different_texts(spark, tmp_path):

@@ -61,11 +61,12 @@ def entry(i, confidence=0.9):
 
 def test_entries(spark, tmp_path):
     (tmp_path / "e.jsonl").write_text("\n".join([entry(1), "", "{broken", entry(2)]))
-    rows = files.read_entries(spark, str(tmp_path)).collect()
+    rows = files.read_entries(spark, str(tmp_path), "mark").collect()
     assert [r["id"] for r in rows if r["_corrupt_record"] is None] == ["e1", "e2"] and len(rows) == 3
     with pytest.raises(Exception, match="(?i)malformed|FAILFAST"):
-        files.read_entries(spark, str(tmp_path), strict=True).collect()
-    good = files.with_authority(files.read_entries(spark, str(tmp_path)).where("id is not null"))
+        files.read_entries(spark, str(tmp_path), "raise").collect()
+    good = files.with_authority(files.read_entries(spark, str(tmp_path)))
+    assert good.count() == 2
     assert {r["source"]["sourceAuthority"] for r in good.collect()} == {"operational"}
     names = good.select("id", F.variant_get("data", "$.name", "string").alias("name"))
     files.write_once(names, str(tmp_path / "out"))

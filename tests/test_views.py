@@ -102,7 +102,7 @@ def test_engine(spark):
     engine = views.standard_engine()
     engine.register("one", lambda df: df)
     engine.register("one", lambda df: df.limit(1))
-    assert engine.list() == ["behaviour-flow", "capability-map", "domain-map", "one"]
+    assert engine.list() == ["behaviour-flow", "business-architecture", "capability-map", "domain-map", "gap-analysis", "one", "vendor-coverage"]
     got = engine.get("one", spark.range(5))
     assert got["entries_included"] == 1 and got["stale"] is False and got["cache_hit"] is False
     with pytest.raises(KeyError):
