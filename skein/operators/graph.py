@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.tables import settled
+from ..plans.tables import discarded, settled
 
 #: How deep walks go if nothing is said, and where the service cuts them.
 DEEPEST = 5
@@ -118,9 +118,11 @@ def components(links: DataFrame) -> DataFrame:
     while not edges.isEmpty():
         hooks = settled(edges.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("near")).select("id", F.least("id", "near").alias("to")))
         ends = settled(hooks.join(hooks.select(F.col("id").alias("to"), F.col("to").alias("end")), "to").select("id", "end"))
+        old, past = state, edges
         state = settled(state.join(ends.select(F.col("id").alias("component"), "end"), "component", "left").select("id", F.coalesce("end", "component").alias("component")))
         drawn = edges.join(ends.select(F.col("id").alias("a"), F.col("end").alias("la")), "a").join(ends.select(F.col("id").alias("b"), F.col("end").alias("lb")), "b")
         edges = settled(drawn.where("la <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct())
+        discarded(old, past, hooks, ends)
     return state
 
 

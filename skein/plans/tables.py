@@ -9,16 +9,39 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, named by ``spark.checkpoint.dir``.
+
+    Only where that is unset on a single machine (tests) a temporary one is made and set as the checkpoint folder;
+    on a cluster a folder of one machine would lose data, so the setting has to be there.
+    """
     if root := spark.sparkContext.getConf().get("spark.checkpoint.dir", None):
         return root.rstrip("/")
     context = spark.sparkContext._jsc.sc()
     if context.getCheckpointDir().isEmpty():
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all machines share")
         spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='skein-')}")
     return context.getCheckpointDir().get().rstrip("/")
 
 
-def settled(df: DataFrame) -> DataFrame:
+def new_path(spark: SparkSession, label: str) -> str:
+    """A path in the shared folder that no other run uses."""
+    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def settled(df: DataFrame, label: str = "step") -> DataFrame:
     """``df`` written once and read back, so that a loop's plan does not grow and lost executors cost nothing."""
-    path = f"{shared_dir(df.sparkSession)}/step-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._folder = path
+    return out
+
+
+def discarded(*tables: DataFrame) -> None:
+    """Delete the folders of settled tables that nothing reads any more, through Spark's file system layer."""
+    for df in tables:
+        if path := getattr(df, "_folder", None):
+            context = df.sparkSession.sparkContext
+            target = context._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
