@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..plans.tables import discarded, new_path, settled, shared_dir
+
+__all__ = ["SPACE", "WORD", "discarded", "joined", "new_path", "shared_dir", "table", "text_slices", "written"]
 
 #: White space of the contracts: space and the five ASCII controls from tab to carriage return.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -19,39 +22,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    It is named by ``spark.checkpoint.dir``; only where that is unset (tests, one machine) a
-    temporary one is made and set as the checkpoint folder.
-    """
-    conf = spark.sparkContext.getConf()
-    if root := conf.get("spark.checkpoint.dir", None):
-        return root.rstrip("/")
-    jsc = spark.sparkContext._jsc.sc()
-    if jsc.getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='skein-')}")
-    return jsc.getCheckpointDir().get().rstrip("/")
-
+def written(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: cuts the lineage and survives lost executors."""
+    return settled(df, label)
 
-def new_path(spark: SparkSession, label: str) -> str:
-    """A path in the shared folder that no other run uses."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
+#: A key with so many rows is heavy, and so many of the heaviest keys are broadcast at most (below 100 bytes each).
+HEAVY, MOST_HEAVY = 10_000, 20_000
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written to the shared folder and read back: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = new_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
 
+def joined(rows: DataFrame, keys: DataFrame, on: list[str], weight: str, how: str = "inner") -> DataFrame:
+    """Inner or left join of rows with a table of keys, whose column ``weight`` says how many rows a key has.
 
-def removed(spark: SparkSession, path: str) -> None:
-    """Delete a folder this package wrote, through Spark's own file system layer."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    Rows of the heaviest keys, a bounded number of keys, stay where they are and meet a broadcast; all others are
+    shuffled. So no task gets the rows of a key that many rows have, and the result is the plain join's.
+    """
+    heaviest = keys.where(F.col(weight) >= HEAVY).groupBy(*on).agg(F.max(weight).alias("_w")).orderBy(F.col("_w").desc(), *on).limit(MOST_HEAVY)
+    heaviest = written(heaviest.select(*on), "heavy")
+    if heaviest.isEmpty():
+        return rows.join(keys, on, how)
+    heavy = F.broadcast(heaviest)
+    here = rows.join(F.broadcast(keys.join(heavy, on)), on)
+    return here.unionByName(rows.join(heavy, on, "left_anti").join(keys.join(heavy, on, "left_anti"), on, how))
 
 
 def text_slices(batch: pa.RecordBatch, column: str = "text", most: int = 1 << 20, rows: int = 1 << 16) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
