@@ -7,7 +7,11 @@ its text. Keys that occur once have no repeats. Runs with equal bytes are repeat
 whole, and are counted, not moved. What is left are different runs under one key: of each, one copy's
 bytes are fetched and sharded by key, and external induced sorting (``induced``) finds the strings
 that occur in several of a shard's runs. A key with more than ``HOT`` different runs is not sent to
-one shard: its strings are compared by 128-bit hash, spread over all tasks.
+one shard: its runs are cut into sections of strings that have the piece at about the same offset, and
+filed again under the bytes that all strings of a section share, so that a shard is about as small as
+any other; sections become single strings where even that is not enough.
+
+A run is named by its key, content hash and length: 128 bits of hash in all.
 
 Cases: null text counts as empty; texts shorter than ``depth`` bytes are never touched; equal texts
 lose everything; rows that repeat a doc_id are rows of their own with their own text; positions are
@@ -26,15 +30,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_slices, written
+from .common import joined, table, text_slices, written
 from .induced import repeated_in
 from .minhash import ORDER, Powers, mixed
 
 DEPTH, GRAM = 200, 24
 #: Bytes of runs in a shard, and memory of the sorter's queues before they go to disk.
-SHARD, MEMORY = 6 << 20, 32 << 20
-#: Different runs of a key from which its strings are spread over all tasks.
-HOT = 4096
+SHARD, MEMORY = 6 << 20, 8 << 20
+#: Different runs of a key from which its runs are cut into sections, and the offsets that a section covers at each level.
+HOT, SECTIONS = 4096, (23, 1)
 #: Ids up to this many are broadcast to pick texts; more are joined by shuffle.
 SMALL_IDS = 500_000
 #: Texts are cut into pieces of this many strings.
@@ -137,8 +141,9 @@ def _spans(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
 
 
-def _sorted_hits(contents: DataFrame, shards: int, depth: int) -> DataFrame:
+def _sorted_hits(contents: DataFrame, total: int, depth: int) -> DataFrame:
     """key, content, n, a, b: strings a to b (excluded) of a run that occur in other runs of its shard too."""
+    shards = max(1, -(-total // SHARD))
 
     def hits(pdf: pd.DataFrame) -> pd.DataFrame:
         flags = repeated_in(list(pdf["bytes"]), depth, MEMORY)
@@ -151,41 +156,75 @@ def _sorted_hits(contents: DataFrame, shards: int, depth: int) -> DataFrame:
     return dealt.groupBy("shard").applyInPandas(hits, "key bigint, content bigint, n int, a int, b int")
 
 
-def _hot_hits(contents: DataFrame, depth: int) -> DataFrame:
-    """The same for keys with very many runs: strings are told apart by 128 bits of hash."""
+def anchor(data: bytes, depth: int, gram: int, powers: Powers) -> int:
+    """Where the piece is that a run's strings are filed under."""
+    raw = np.frombuffer(data, np.uint8)[:depth]
+    up, down = powers.upto(depth + 1)
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE[raw] * up[: len(raw)], dtype=np.uint64)))
+    grams = mixed((sums[gram:] - sums[:-gram]) * down[: len(raw) - gram + 1])
+    return int((grams & ~_PLACE | np.arange(len(grams), dtype=np.uint64)).argmin())
+
+
+def _sections(contents: DataFrame, width: int, depth: int, gram: int) -> DataFrame:
+    """key, content, n, low, sub, m, bytes: sections of runs; sub is the hash of what all strings of a section share.
 
-    def strings(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    Equal strings have the piece at the same offset, so they are in sections with the same sub.
+    """
+
+    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        powers = Powers()
         for f in frames:
+            rows = []
             for key, content, n, data in f[["key", "content", "n", "bytes"]].itertuples(index=False, name=None):
-                made = [hashlib.blake2b(data[i : i + depth], digest_size=16).digest() for i in range(n)]
-                yield pd.DataFrame({"key": key, "content": content, "n": n, "a": np.arange(n, dtype=np.int32), "h": made})
-
-    rows = written(contents.mapInPandas(strings, "key bigint, content bigint, n int, a int, h binary"), "strings")
-    often = rows.groupBy("h").agg(F.count(F.lit(1)).alias("uses")).where("uses > 1").select("h")
-    return rows.join(often, "h").select("key", "content", "n", "a", (F.col("a") + 1).alias("b"))
+                p = anchor(data, depth, gram, powers)
+                for first in range(0, depth - gram + 1, width):
+                    last = min(first + width - 1, depth - gram)
+                    low, high = max(0, p - last), min(n - 1, p - first)
+                    if low <= high:
+                        shared = hashlib.blake2b(data[p - first : p - last + depth], digest_size=8, salt=first.to_bytes(2, "little")).digest()
+                        rows.append((key, content, n, low, int.from_bytes(shared, "little", signed=True), high - low + 1, data[low : high + depth]))
+            yield pd.DataFrame(rows, columns=["key", "content", "n", "low", "sub", "m", "bytes"])
+
+    return contents.mapInPandas(cut, "key bigint, content bigint, n int, low int, sub bigint, m int, bytes binary")
+
+
+def _hits(contents: DataFrame, depth: int, gram: int, hot: int, widths: tuple[int, ...]) -> DataFrame:
+    """key, content, n, a, b: strings of runs (key, content, n, bytes, each once) that occur in other runs of their key."""
+    kinds = written(contents.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.sum(F.col("n") + depth).alias("size")).where("kinds > 1"), "kinds")
+    few = F.lit(True) if not widths else F.col("kinds") <= hot
+    total = kinds.where(few).agg(F.sum("size")).first()[0] or 0
+    found = _sorted_hits(contents.join(kinds.where(few).select("key"), "key"), total, depth)
+    if not widths or kinds.where(~few).isEmpty():
+        return found
+    parts = _sections(contents.join(kinds.where(~few).select("key"), "key"), widths[0], depth, gram)
+    parts = written(parts.withColumn("part", F.xxhash64("bytes")), "sections")
+    once = parts.groupBy("sub", "part", "m").agg(F.count(F.lit(1)).alias("uses"), F.first("bytes").alias("bytes"))
+    once = written(once.select(F.col("sub").alias("key"), F.col("part").alias("content"), F.col("m").alias("n"), "uses", "bytes"), "sections-once")
+    deeper = _hits(once.drop("uses"), depth, gram, hot, widths[1:])
+    whole = once.where("uses > 1").select("key", "content", "n", F.lit(0).alias("a"), F.col("n").alias("b"))
+    back = written(whole.unionByName(deeper), "section-hits").join(once.select("key", "content", "n", "uses"), ["key", "content", "n"])
+    back = back.select(F.col("key").alias("sub"), F.col("content").alias("part"), F.col("n").alias("m"), "a", "b", "uses")
+    placed = joined(parts.drop("bytes"), back, ["sub", "part", "m"], "uses")
+    return found.unionByName(placed.select("key", "content", "n", (F.col("low") + F.col("a")).alias("a"), (F.col("low") + F.col("b")).alias("b")))
 
 
 def repeated_spans(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, key: str = "doc_id", text: str = "text", hot: int = HOT) -> tuple[DataFrame, DataFrame]:
     """(texts: doc, th, text; spans: doc, th, spans of string starts) of all rows, and of those with repeats."""
     texts = docs.select(F.col(key).cast("long").alias("doc"), F.xxhash64(F.col(text)).alias("th"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     runs = written(all_runs(texts, depth, gram), "runs")
-    often = runs.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("key")
-    some = written(runs.join(often, "key"), "shared-runs")
+    often = written(runs.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1"), "often")
+    some = written(joined(runs, often, ["key"], "rows").drop("rows"), "shared-runs")
     order = F.xxhash64("doc", "th", "low")
     contents = some.groupBy("key", "content", "n").agg(F.count(F.lit(1)).alias("uses"), F.min_by("doc", order).alias("doc"), F.min_by("th", order).alias("th"), F.min_by("low", order).alias("low"))
     contents = written(contents, "contents")
-    kinds = contents.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.sum(F.col("n") + depth).alias("size")).where("kinds > 1")
-    kinds = written(kinds, "kinds")
-    total = kinds.where(F.col("kinds") <= hot).agg(F.sum("size")).first()[0] or 0
-    whole = contents.where("uses > 1").select("key", "content", "n", F.lit(0).alias("a"), F.col("n").alias("b"))
-    found = whole
-    if total or not kinds.isEmpty():
-        fetched = written(_bytes_of(texts, contents.join(kinds.select("key", "kinds"), "key"), depth).join(kinds.select("key", "kinds"), "key"), "bytes")
-        found = found.unionByName(_sorted_hits(fetched.where(F.col("kinds") <= hot), max(1, -(-total // SHARD)), depth))
-        if not kinds.where(F.col("kinds") > hot).isEmpty():
-            found = found.unionByName(_hot_hits(fetched.where(F.col("kinds") > hot), depth))
-    found = written(found, "hits")
-    placed = some.join(found, ["key", "content", "n"]).select("doc", "th", (F.col("low") + F.col("a")).alias("a"), (F.col("low") + F.col("b")).alias("b"))
+    several = contents.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("key")
+    found = contents.where("uses > 1").select("key", "content", "n", F.lit(0).alias("a"), F.col("n").alias("b"))
+    different = written(contents.join(several, "key"), "different")
+    if not different.isEmpty():
+        fetched = written(_bytes_of(texts, different, depth), "bytes")
+        found = found.unionByName(_hits(fetched, depth, gram, hot, SECTIONS))
+    found = written(found.join(contents.select("key", "content", "n", "uses"), ["key", "content", "n"]), "hits")
+    placed = joined(some, found, ["key", "content", "n"], "uses").select("doc", "th", (F.col("low") + F.col("a")).alias("a"), (F.col("low") + F.col("b")).alias("b"))
     spans = placed.distinct().groupBy("doc", "th").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("spans"))
     return texts, written(spans, "spans")
 
