@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_slices, written
+from .common import discarded, joined, table, text_slices, written
 
 COORDS, ROWS = 128, 4
 BANDS = COORDS // ROWS
@@ -259,17 +259,19 @@ def components(links: DataFrame) -> DataFrame:
     links are drawn between the labels instead; links within a label fall away, so rounds shrink fast.
     """
     edges = written(links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct(), "edges")
-    state = edges.select(F.col("a").alias("doc"), F.col("a").alias("comp")).distinct()
+    state = written(edges.select(F.col("a").alias("doc"), F.col("a").alias("comp")).distinct(), "labels")
     while not edges.isEmpty():
         hooks = edges.groupBy(F.col("a").alias("doc")).agg(F.min("b").alias("near")).select("doc", F.least("doc", "near").alias("to"))
         hooks = written(hooks, "hooks")
         ends = hooks.join(hooks.select(F.col("doc").alias("to"), F.col("to").alias("end")), "to").select("doc", "end")
         ends = written(ends, "ends")
+        old, past = state, edges
         state = state.join(ends.withColumnRenamed("doc", "comp"), "comp", "left").select("doc", F.coalesce("end", "comp").alias("comp"))
         state = written(state, "labels")
         from_a = edges.join(ends.select(F.col("doc").alias("a"), F.col("end").alias("la")), "a")
         drawn = from_a.join(ends.select(F.col("doc").alias("b"), F.col("end").alias("lb")), "b").where("la <> lb")
         edges = written(drawn.select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct(), "edges")
+        discarded(old, past, hooks, ends)
     return state
 
 
@@ -337,7 +339,7 @@ def grouped(docs: DataFrame, words: int, percent: int, key: str, text: str) -> D
 
     rows = reps.select("rep", F.explode("bands").alias("key"))
     buckets = rows.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min_by("rep", F.xxhash64("rep", "key")).alias("pivot")).where("members > 1")
-    shared = written(rows.join(buckets, "key"), "buckets")
+    shared = written(joined(rows, written(buckets, "buckets"), ["key"], "members"), "shared")
     star = shared.where("rep <> pivot").select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
     links, sets = confirmed(star, docs, classes, words, percent, key, text)
     links = links.union(_same_document(signed, classes))
@@ -355,12 +357,12 @@ def grouped(docs: DataFrame, words: int, percent: int, key: str, text: str) -> D
             comps = components(links.union(found)).withColumnRenamed("doc", "rep")
 
     # Each class of equal sets hangs on its component, and the component on its smallest doc_id.
-    joined = comps.join(classes, "rep")
-    least = joined.groupBy("comp").agg(F.min("of").alias("component"))
-    linked = joined.join(least, "comp").select("d1", "d2", "n", "component")
-    copies = classes.where("rows > 1").join(comps.select("rep"), "rep", "left_anti").select("d1", "d2", "n", F.col("of").alias("component"))
-    known = linked.unionByName(copies).withColumn("_known", F.lit(True))
-    out = signed.select("doc", "th", "n", "d1", "d2").join(known, ["d1", "d2", "n"], "left")
+    placed = comps.join(classes, "rep")
+    least = placed.groupBy("comp").agg(F.min("of").alias("component"))
+    linked = placed.join(least, "comp").select("d1", "d2", "n", "rows", "component")
+    copies = classes.where("rows > 1").join(comps.select("rep"), "rep", "left_anti").select("d1", "d2", "n", "rows", F.col("of").alias("component"))
+    known = written(linked.unionByName(copies).withColumn("_known", F.lit(True)), "known")
+    out = joined(signed.select("doc", "th", "n", "d1", "d2"), known, ["d1", "d2", "n"], "rows", "left")
     component = F.when(F.col("_known"), F.col("component")).otherwise(F.col("doc"))
     return out.select("doc", "th", "n", component.alias("component"), F.col("doc").eqNullSafe(component).alias("kept"))
 
