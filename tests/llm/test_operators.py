@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from skein.llm import exact_dedup, induced, language, media, minhash, mixing, pieces, quality, rangecoder, repeats, tokens, warc
+from skein.llm import common, exact_dedup, induced, language, media, minhash, mixing, pieces, quality, rangecoder, repeats, tokens, warc
 from skein.llm.common import new_path
 
 SPACE = re.compile(r"[\x20\x09-\x0D]+")
@@ -79,6 +79,16 @@ def test_exact_groups(docs, rows, bits):
             assert out[d][:4] == (min(ids), len(ids), d == min(ids), hashlib.sha256(text.encode()).hexdigest())
 
 
+def test_exact_groups_with_large_ones(docs, rows, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "HEAVY", 2)
+    monkeypatch.setattr(exact_dedup, "MOST_HEAVY", 20)
+    want = {}
+    for r in rows:
+        want.setdefault(SPACE.sub(" ", r[1] or ""), []).append(r[0])
+    out = got(exact_dedup.exact_groups(docs))
+    assert {d: out[d][:2] for d in out} == {d: (min(ids), len(ids)) for ids in want.values() for d in ids}
+
+
 def test_exact_edges(nothing, doubled, docs, rows):
     assert exact_dedup.exact_groups(nothing).count() == 0
     assert exact_dedup.exact_groups(doubled).count() == doubled.count()
@@ -352,10 +362,38 @@ def without_repeats(rows, depth):
 
 
 @pytest.mark.parametrize("hot", [4096, 1])
-def test_repeats(docs, rows, hot):
+def test_repeats(docs, rows, hot, monkeypatch):
+    if hot == 1:  # every shared key is hot and heavy
+        monkeypatch.setattr(common, "HEAVY", 2)
+        monkeypatch.setattr(common, "MOST_HEAVY", 5)
     assert got(repeats.dedup_passages(docs, hot=hot)) == without_repeats(rows, repeats.DEPTH)
 
 
+def test_repeats_of_a_passage_in_many_texts(spark):
+    """One key with many different runs: the passage's edges differ in every text, and some of these repeat again."""
+    import random
+
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 7)))
+    passage = " ".join(word() for _ in range(60))
+    sides = [" ".join(word() for _ in range(12)) for _ in range(6)]
+    rows = [(i, f"{word()} {rng.choice(sides)} {passage} {rng.choice(sides)[: rng.randrange(4, 60)]} {word()}") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(repeats.dedup_passages(df, hot=3)) == without_repeats(rows, repeats.DEPTH)
+
+
+def test_heavy_keys_join_as_others_do(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(300).select(F.when(F.col("id") < 200, 1).otherwise(F.col("id") % 7).alias("k"), "id")
+    keys = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("k <> 3").withColumn("more", F.col("k") * 2)
+    want = sorted(map(tuple, rows.join(keys, ["k"]).select("k", "id", "n", "more").collect()))
+    for heavy, most in ((10_000, 5), (20, 1), (1, 100)):
+        monkeypatch.setattr(common, "HEAVY", heavy)
+        monkeypatch.setattr(common, "MOST_HEAVY", most)
+        assert sorted(map(tuple, common.joined(rows, keys, ["k"], "n").select("k", "id", "n", "more").collect())) == want
+
+
 def test_repeats_of_short_depth(docs, rows):
     assert got(repeats.dedup_passages(docs, depth=40, gram=8)) == without_repeats(rows, 40)
 
