@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..plans.tables import discarded, new_path, settled, shared_dir
 
-__all__ = ["SPACE", "WORD", "discarded", "joined", "new_path", "shared_dir", "table", "text_slices", "written"]
+__all__ = ["SPACE", "WORD", "discarded", "give_back", "joined", "new_path", "shared_dir", "table", "text_slices", "written"]
 
 #: White space of the contracts: space and the five ASCII controls from tab to carriage return.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -31,21 +32,34 @@ def written(df: DataFrame, label: str) -> DataFrame:
 HEAVY, MOST_HEAVY = 10_000, 20_000
 
 
-def joined(rows: DataFrame, keys: DataFrame, on: list[str], weight: str, how: str = "inner") -> DataFrame:
-    """Inner or left join of rows with a table of keys, whose column ``weight`` says how many rows a key has.
+def joined(rows: DataFrame, keys: DataFrame, on: list[str], weights: DataFrame, weight: str, how: str = "inner") -> DataFrame:
+    """Inner or left join of rows with a table of keys, where ``weights`` says how many rows a key has.
 
     Rows of the heaviest keys, a bounded number of keys, stay where they are and meet a broadcast; all others are
     shuffled. So no task gets the rows of a key that many rows have, and the result is the plain join's.
     """
-    heaviest = keys.where(F.col(weight) >= HEAVY).groupBy(*on).agg(F.max(weight).alias("_w")).orderBy(F.col("_w").desc(), *on).limit(MOST_HEAVY)
+    heaviest = weights.where(F.col(weight) >= HEAVY).groupBy(*on).agg(F.max(weight).alias("_w")).orderBy(F.col("_w").desc(), *on).limit(MOST_HEAVY)
     heaviest = written(heaviest.select(*on), "heavy")
     if heaviest.isEmpty():
         return rows.join(keys, on, how)
     heavy = F.broadcast(heaviest)
-    here = rows.join(F.broadcast(keys.join(heavy, on)), on)
+    here = rows.join(heavy, on, "left_semi").join(F.broadcast(keys.join(heavy, on)), on, how)
     return here.unionByName(rows.join(heavy, on, "left_anti").join(keys.join(heavy, on, "left_anti"), on, how))
 
 
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+except OSError:
+    _LIBC = None
+
+
+def give_back() -> None:
+    """Return what a task has freed to the machine: workers live on between tasks, and idle ones would keep it."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None and hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
 def text_slices(batch: pa.RecordBatch, column: str = "text", most: int = 1 << 20, rows: int = 1 << 16) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Slices of an Arrow batch of about ``most`` bytes of UTF-8 text and ``rows`` rows, or one longer row.
 

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discarded, joined, table, text_slices, written
+from .common import discarded, give_back, joined, table, text_slices, written
 
 COORDS, ROWS = 128, 4
 BANDS = COORDS // ROWS
@@ -204,6 +204,7 @@ def signatures(docs: DataFrame, words: int, key: str = "doc_id", text: str = "te
                     [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(n, pa.int64()), pa.array(d1), pa.array(d2), _lists(keys, np.concatenate(([0], np.cumsum(per)))), pa.array([row.tobytes() for row in small], pa.binary())],
                     ["doc", "th", "n", "d1", "d2", "bands", "sketch"],
                 )
+        give_back()
 
     return chosen.mapInArrow(sign, schema)
 
@@ -222,6 +223,7 @@ def full_sets(docs: DataFrame, classes: DataFrame, words: int, key: str = "doc_i
                 elements, bounds = shingle_sets(offsets, data, words, powers)
                 d1, d2 = _digests(elements, bounds)
                 yield pa.RecordBatch.from_arrays([pa.array(np.diff(bounds), pa.int64()), pa.array(d1), pa.array(d2), _lists(elements, bounds)], ["n", "d1", "d2", "elements"])
+        give_back()
 
     sets = chosen.mapInArrow(build, "n bigint, d1 bigint, d2 bigint, elements array<bigint>")
     # the doc_ids bring a few texts of other classes where doc_ids repeat
@@ -339,7 +341,8 @@ def grouped(docs: DataFrame, words: int, percent: int, key: str, text: str) -> D
 
     rows = reps.select("rep", F.explode("bands").alias("key"))
     buckets = rows.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min_by("rep", F.xxhash64("rep", "key")).alias("pivot")).where("members > 1")
-    shared = written(joined(rows, written(buckets, "buckets"), ["key"], "members"), "shared")
+    buckets = written(buckets, "buckets")
+    shared = written(joined(rows, buckets, ["key"], buckets, "members"), "shared")
     star = shared.where("rep <> pivot").select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
     links, sets = confirmed(star, docs, classes, words, percent, key, text)
     links = links.union(_same_document(signed, classes))
@@ -362,7 +365,7 @@ def grouped(docs: DataFrame, words: int, percent: int, key: str, text: str) -> D
     linked = placed.join(least, "comp").select("d1", "d2", "n", "rows", "component")
     copies = classes.where("rows > 1").join(comps.select("rep"), "rep", "left_anti").select("d1", "d2", "n", "rows", F.col("of").alias("component"))
     known = written(linked.unionByName(copies).withColumn("_known", F.lit(True)), "known")
-    out = joined(signed.select("doc", "th", "n", "d1", "d2"), known, ["d1", "d2", "n"], "rows", "left")
+    out = joined(signed.select("doc", "th", "n", "d1", "d2"), known, ["d1", "d2", "n"], known, "rows", "left")
     component = F.when(F.col("_known"), F.col("component")).otherwise(F.col("doc"))
     return out.select("doc", "th", "n", component.alias("component"), F.col("doc").eqNullSafe(component).alias("kept"))
 

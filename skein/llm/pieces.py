@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import give_back, table, written
 from .merges import PAD, Merges
 
 #: Longer texts are split into chunks of this many characters.
@@ -388,6 +388,7 @@ def encoded(docs: DataFrame, key: str = "doc_id", text: str = "text", carry: tup
                 part = batch.slice(at, 512)
                 ids = pa.array(model.encode(part.column(len(names) - 1).to_pylist()), pa.binary())
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], ids], names)
+        give_back()
 
     short = chosen.where(F.length("_text") <= giant).mapInArrow(encode, schema)
 

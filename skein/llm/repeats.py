@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import joined, table, text_slices, written
+from .common import give_back, joined, table, text_slices, written
 from .induced import repeated_in
 from .minhash import ORDER, Powers, mixed
 
@@ -105,6 +105,7 @@ def all_runs(texts: DataFrame, depth: int, gram: int) -> DataFrame:
                 low, n, key, content = runs_of(data, valid, depth, gram, powers)
                 owner = np.searchsorted(offsets, low, "right") - 1
                 yield row(batch, owner + a, low - offsets[owner], n, key, content)
+        give_back()
 
     return texts.mapInArrow(find, "key bigint, content bigint, doc bigint, th bigint, low bigint, n int")
 
@@ -119,8 +120,8 @@ def _chosen(texts: DataFrame, lists: DataFrame) -> DataFrame:
 
 
 def _bytes_of(texts: DataFrame, runs: DataFrame, depth: int) -> DataFrame:
-    """key, content, n, bytes of one copy of each run; runs has key, content, n and a place."""
-    lists = written(runs.groupBy("doc", "th").agg(F.collect_list(F.struct("key", "content", "low", "n")).alias("runs")), "places")
+    """key, content, n, kinds, bytes of one copy of each run; runs has key, content, n, kinds and a place."""
+    lists = written(runs.groupBy("doc", "th").agg(F.collect_list(F.struct("key", "content", "low", "n", "kinds")).alias("runs")), "places")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -129,11 +130,12 @@ def _bytes_of(texts: DataFrame, runs: DataFrame, depth: int) -> DataFrame:
                 data = batch.column(texts_at)[at].as_py().encode("utf-8", "surrogatepass")
                 found = batch.column(lists_at)[at].as_py()
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([r["key"] for r in found], pa.int64()), pa.array([r["content"] for r in found], pa.int64()), pa.array([r["n"] for r in found], pa.int32()), pa.array([data[r["low"] : r["low"] + r["n"] - 1 + depth] for r in found], pa.binary())],
-                    ["key", "content", "n", "bytes"],
+                    [pa.array([r["key"] for r in found], pa.int64()), pa.array([r["content"] for r in found], pa.int64()), pa.array([r["n"] for r in found], pa.int32()), pa.array([r["kinds"] for r in found], pa.int64()), pa.array([data[r["low"] : r["low"] + r["n"] - 1 + depth] for r in found], pa.binary())],
+                    ["key", "content", "n", "kinds", "bytes"],
                 )
+        give_back()
 
-    return _chosen(texts, lists).select("text", "runs").mapInArrow(cut, "key bigint, content bigint, n int, bytes binary").dropDuplicates(["key", "content", "n"])
+    return _chosen(texts, lists).select("text", "runs").mapInArrow(cut, "key bigint, content bigint, n int, kinds bigint, bytes binary").dropDuplicates(["key", "content", "n"])
 
 
 def _spans(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -150,6 +152,7 @@ def _sorted_hits(contents: DataFrame, total: int, depth: int) -> DataFrame:
         rows = [(i, a, b) for i, f in enumerate(flags) if f.any() for a, b in zip(*_spans(f), strict=True)]
         at = [r[0] for r in rows]
         out = pdf[["key", "content", "n"]].iloc[at].reset_index(drop=True)
+        give_back()
         return out.assign(a=np.array([r[1] for r in rows], np.int32), b=np.array([r[2] for r in rows], np.int32))
 
     dealt = contents.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)))
@@ -189,22 +192,25 @@ def _sections(contents: DataFrame, width: int, depth: int, gram: int) -> DataFra
 
 
 def _hits(contents: DataFrame, depth: int, gram: int, hot: int, widths: tuple[int, ...]) -> DataFrame:
-    """key, content, n, a, b: strings of runs (key, content, n, bytes, each once) that occur in other runs of their key."""
-    kinds = written(contents.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.sum(F.col("n") + depth).alias("size")).where("kinds > 1"), "kinds")
+    """key, content, n, a, b: strings of runs that occur in other runs of their key.
+
+    contents: key, content, n, kinds (how many runs the key has, above 1), bytes, each run once.
+    """
     few = F.lit(True) if not widths else F.col("kinds") <= hot
-    total = kinds.where(few).agg(F.sum("size")).first()[0] or 0
-    found = _sorted_hits(contents.join(kinds.where(few).select("key"), "key"), total, depth)
-    if not widths or kinds.where(~few).isEmpty():
+    total, many = contents.agg(F.sum(F.when(few, F.col("n") + depth)), F.max("kinds")).first()
+    found = _sorted_hits(contents.where(few).select("key", "content", "n", "bytes"), total or 0, depth)
+    if not widths or (many or 0) <= hot:
         return found
-    parts = _sections(contents.join(kinds.where(~few).select("key"), "key"), widths[0], depth, gram)
+    parts = _sections(contents.where(~few), widths[0], depth, gram)
     parts = written(parts.withColumn("part", F.xxhash64("bytes")), "sections")
     once = parts.groupBy("sub", "part", "m").agg(F.count(F.lit(1)).alias("uses"), F.first("bytes").alias("bytes"))
     once = written(once.select(F.col("sub").alias("key"), F.col("part").alias("content"), F.col("m").alias("n"), "uses", "bytes"), "sections-once")
-    deeper = _hits(once.drop("uses"), depth, gram, hot, widths[1:])
+    several = once.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    deeper = _hits(written(once.drop("uses").join(several, "key"), "sections-several"), depth, gram, hot, widths[1:])
     whole = once.where("uses > 1").select("key", "content", "n", F.lit(0).alias("a"), F.col("n").alias("b"))
-    back = written(whole.unionByName(deeper), "section-hits").join(once.select("key", "content", "n", "uses"), ["key", "content", "n"])
-    back = back.select(F.col("key").alias("sub"), F.col("content").alias("part"), F.col("n").alias("m"), "a", "b", "uses")
-    placed = joined(parts.drop("bytes"), back, ["sub", "part", "m"], "uses")
+    names = {"key": "sub", "content": "part", "n": "m"}
+    back = written(whole.unionByName(deeper), "section-hits").withColumnsRenamed(names)
+    placed = joined(parts.drop("bytes"), back, ["sub", "part", "m"], once.withColumnsRenamed(names), "uses")
     return found.unionByName(placed.select("key", "content", "n", (F.col("low") + F.col("a")).alias("a"), (F.col("low") + F.col("b")).alias("b")))
 
 
@@ -213,18 +219,17 @@ def repeated_spans(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, key: s
     texts = docs.select(F.col(key).cast("long").alias("doc"), F.xxhash64(F.col(text)).alias("th"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     runs = written(all_runs(texts, depth, gram), "runs")
     often = written(runs.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1"), "often")
-    some = written(joined(runs, often, ["key"], "rows").drop("rows"), "shared-runs")
+    some = written(joined(runs, often.select("key"), ["key"], often, "rows"), "shared-runs")
     order = F.xxhash64("doc", "th", "low")
     contents = some.groupBy("key", "content", "n").agg(F.count(F.lit(1)).alias("uses"), F.min_by("doc", order).alias("doc"), F.min_by("th", order).alias("th"), F.min_by("low", order).alias("low"))
     contents = written(contents, "contents")
-    several = contents.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("key")
+    several = contents.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
     found = contents.where("uses > 1").select("key", "content", "n", F.lit(0).alias("a"), F.col("n").alias("b"))
-    different = written(contents.join(several, "key"), "different")
-    if not different.isEmpty():
-        fetched = written(_bytes_of(texts, different, depth), "bytes")
+    fetched = written(_bytes_of(texts, contents.join(several, "key"), depth), "bytes")
+    if not fetched.isEmpty():
         found = found.unionByName(_hits(fetched, depth, gram, hot, SECTIONS))
-    found = written(found.join(contents.select("key", "content", "n", "uses"), ["key", "content", "n"]), "hits")
-    placed = joined(some, found, ["key", "content", "n"], "uses").select("doc", "th", (F.col("low") + F.col("a")).alias("a"), (F.col("low") + F.col("b")).alias("b"))
+    found = written(found, "hits")
+    placed = joined(some, found, ["key", "content", "n"], contents, "uses").select("doc", "th", (F.col("low") + F.col("a")).alias("a"), (F.col("low") + F.col("b")).alias("b"))
     spans = placed.distinct().groupBy("doc", "th").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("spans"))
     return texts, written(spans, "spans")
 

@@ -35,13 +35,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import rangecoder
-from .common import new_path, table, text_slices, written
+from .common import give_back, new_path, table, text_slices, written
 from .merges import PAD, Merges
 
 END = 2
 BLOCK_IDS, FILE_IDS = 1 << 20, 1 << 22
 #: Pieces that a worker remembers, slots of their table, and bytes of a piece that the table holds.
-WORDS, SLOT_BITS, SHORT = 1_000_000, 22, 15
+WORDS, SLOT_BITS, SHORT = 800_000, 21, 15
 SLOTS = 1 << SLOT_BITS
 MAGIC = b"IDS1"
 _HEAD = struct.Struct("<4sqqIIII")
@@ -370,6 +370,8 @@ def write_ids(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text
                         keys, counts, parts, held, sequence = [], [], [], 0, sequence + 1
         if keys:
             yield file()
+        del parts
+        give_back()
 
     files = ordered.mapInArrow(encode, "file binary")
     files.select(F.col("file").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).option("lineSep", "\n").text(path)
@@ -388,6 +390,7 @@ def read_ids(spark: SparkSession, path: str, key: str = "doc_id") -> DataFrame:
                 checks = [zlib.crc32(wide[b - n : b].tobytes()) for b, n in zip(ends.tolist(), counts.tolist(), strict=True)]
                 k = len(keys)
                 yield pa.RecordBatch.from_arrays([pa.array([ordinal] * k, pa.int64()), pa.array([sequence] * k, pa.int64()), pa.array(keys, pa.int64()), pa.array(ends - counts, pa.int64()), pa.array(counts, pa.int64()), pa.array(checks, pa.int64())], ["ordinal", "sequence", key, "_at", "n_tokens", "ids_crc32"])
+        give_back()
 
     rows = written(files.mapInArrow(decode, f"ordinal bigint, sequence bigint, `{key}` bigint, _at bigint, n_tokens bigint, ids_crc32 bigint"), "read-ids")
     # one row per file: how many ids all earlier files hold
