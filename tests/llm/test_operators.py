@@ -391,7 +391,7 @@ def test_heavy_keys_join_as_others_do(spark, monkeypatch):
     for heavy, most in ((10_000, 5), (20, 1), (1, 100)):
         monkeypatch.setattr(common, "HEAVY", heavy)
         monkeypatch.setattr(common, "MOST_HEAVY", most)
-        assert sorted(map(tuple, common.joined(rows, keys, ["k"], "n").select("k", "id", "n", "more").collect())) == want
+        assert sorted(map(tuple, common.joined(rows, keys, ["k"], keys, "n").select("k", "id", "n", "more").collect())) == want
 
 
 def test_repeats_of_short_depth(docs, rows):
