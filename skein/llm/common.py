@@ -28,23 +28,26 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return settled(df, label)
 
 
-#: A key with so many rows is heavy, and so many of the heaviest keys are broadcast at most (below 100 bytes each).
-HEAVY, MOST_HEAVY = 10_000, 20_000
+#: A key with so many rows is heavy; at most so many of the heaviest keys are broadcast (below 100 bytes each) and salted.
+HEAVY, MOST_HEAVY, MOST_SALTS = 10_000, 20_000, 1_024
 
 
 def joined(rows: DataFrame, keys: DataFrame, on: list[str], weights: DataFrame, weight: str, how: str = "inner") -> DataFrame:
     """Inner or left join of rows with a table of keys, where ``weights`` says how many rows a key has.
 
-    Rows of the heaviest keys, a bounded number of keys, stay where they are and meet a broadcast; all others are
-    shuffled. So no task gets the rows of a key that many rows have, and the result is the plain join's.
+    The rows of the heaviest keys, a bounded number of keys, are salted by a hash of the row, and these keys' own rows
+    repeated for every salt, so that about ``HEAVY`` rows of a key meet in a task. The result is the plain join's.
     """
-    heaviest = weights.where(F.col(weight) >= HEAVY).groupBy(*on).agg(F.max(weight).alias("_w")).orderBy(F.col("_w").desc(), *on).limit(MOST_HEAVY)
-    heaviest = written(heaviest.select(*on), "heavy")
-    if heaviest.isEmpty():
+    salts = F.least(F.ceil(F.max(weight) / HEAVY), F.lit(MOST_SALTS)).cast("int")
+    heavy = weights.where(F.col(weight) >= HEAVY).groupBy(*on).agg(salts.alias("_salts")).orderBy(F.col("_salts").desc(), *on).limit(MOST_HEAVY)
+    heavy = written(heavy, "heavy")
+    if heavy.isEmpty():
         return rows.join(keys, on, how)
-    heavy = F.broadcast(heaviest)
-    here = rows.join(heavy, on, "left_semi").join(F.broadcast(keys.join(heavy, on)), on, how)
-    return here.unionByName(rows.join(heavy, on, "left_anti").join(keys.join(heavy, on, "left_anti"), on, how))
+    place = F.when(F.col("_salts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*rows.columns), F.col("_salts"))).cast("int")
+    salted = rows.join(F.broadcast(heavy), on, "left").withColumn("_salt", place).drop("_salts")
+    every = F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))
+    repeated = keys.join(F.broadcast(heavy), on, "left").withColumn("_salt", every).drop("_salts")
+    return salted.join(repeated, [*on, "_salt"], how).drop("_salt")
 
 
 try:

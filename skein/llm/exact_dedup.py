@@ -21,10 +21,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
-from .common import HEAVY, MOST_HEAVY, SPACE, table, written
+from .common import SPACE, joined, table, written
 
 MIN_CHUNK, MAX_CHUNK = 1024, 8192
-#: Chunks of a recipe that may be broadcast (16 bytes each).
+#: Chunks of a recipe that may be broadcast (16 bytes each, at most ``MOST_HEAVY`` recipes).
 SHORT = 64
 #: A chunk runs to the first sentence or clause end, or common letter pair, after its least length.
 CHUNK = rf"(?s).{{{MIN_CHUNK},{MAX_CHUNK}}}?(?:[.!?,;] |e t|n d)|.{{1,{MAX_CHUNK}}}"
@@ -78,14 +78,9 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", bits:
     lists = recipes(docs, key, text, bits).withColumn("_digest", F.xxhash64("recipe"))
     groups = lists.groupBy("_digest", "recipe").agg(F.min(key).alias("keep_id"), F.count(F.lit(1)).alias("group_size")).where("group_size > 1")
     groups = written(groups, "groups")
-    # recipes of the largest groups are broadcast where they are short, so that no task gets all rows of a group
-    short = written(groups.where(F.size("recipe") <= SHORT).where(F.col("group_size") >= HEAVY).orderBy(F.col("group_size").desc(), "_digest").limit(MOST_HEAVY // 10), "large-groups")
-    if short.isEmpty():
-        found = lists.join(groups, ["_digest", "recipe"], "left")
-    else:
-        large = lists.join(F.broadcast(short), ["_digest", "recipe"])
-        names = F.broadcast(short.select("_digest", "recipe"))
-        found = large.unionByName(lists.join(names, ["_digest", "recipe"], "left_anti").join(groups.join(names, ["_digest", "recipe"], "left_anti"), ["_digest", "recipe"], "left"))
+    # long recipes of large groups are not broadcast, so their rows are not spread
+    short = groups.where(F.size("recipe") <= SHORT)
+    found = joined(lists, groups, ["_digest", "recipe"], short, "group_size", "left")
     keep = F.when(F.col("group_size").isNull(), F.col(key)).otherwise(F.col("keep_id"))
     return found.select(key, keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).alias("group_size"), F.col(key).eqNullSafe(keep).alias("kept"), "text_sha256", F.size("recipe").alias("n_chunks"))
 
