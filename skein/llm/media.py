@@ -19,12 +19,13 @@ import zlib
 from collections.abc import Callable, Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import new_path, table
 
 UNKNOWN = "application/octet-stream"
 FRAME = 192
@@ -350,6 +351,16 @@ def store_samples(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     return chosen.mapInArrow(store, schema)
 
 
+def loudness(samples: bytes) -> tuple[int, int, int]:
+    """(mean, mean square about 128, both rounded down, and how often the signal crosses 128) of unsigned 8-bit samples."""
+    if not samples:
+        return 0, 0, 0
+    x = np.frombuffer(samples, np.uint8)
+    centred = x.astype(np.int32) - 128
+    above = x >= 128
+    return int(x.sum(dtype=np.int64)) // len(x), int((centred * centred).sum(dtype=np.int64)) // len(x), int((above[1:] != above[:-1]).sum())
+
+
 SPANS = T.ArrayType(T.StructType([T.StructField("type", T.StringType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType())]))
 
 
@@ -374,7 +385,8 @@ def sniff(media: DataFrame, key: str = "doc_id", column: str = "media", declared
                     data = data or b""
                     kind, spans = identify(data, finder)
                     channels, rate, bits, payload = wav_samples(data) if kind == "audio/wav" else (0, 0, 0, data)
-                    feature = f"{kind};channels={channels};rate={rate};bits={bits};frames={len(payload) // max(1, channels)};embedded={len(spans)}"
+                    level = loudness(payload)
+                    feature = f"{kind};channels={channels};rate={rate};bits={bits};frames={len(payload) // max(1, channels)};embedded={len(spans)};mean={level[0]};power={level[1]};crossings={level[2]}"
                     row = (kind, kind != said, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), feature, [{"type": t, "start": s, "length": n} for t, s, n in spans])
                     for values, v in zip(out, row, strict=True):
                         values.append(v)
@@ -386,7 +398,9 @@ def sniff(media: DataFrame, key: str = "doc_id", column: str = "media", declared
 
 
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's text stored as 8-bit samples, read back and identified."""
+    """Every document's text stored as 8-bit samples, written, read back and identified."""
+    path = new_path(spark, "media")
     stored = store_samples(table(spark, sf_dir, "documents"))
-    found = sniff(stored, carry=("n_bytes",))
-    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    stored.write.option("compression", "zstd").parquet(path)
+    found = sniff(spark.read.schema(stored.schema).parquet(path), carry=("n_bytes",))
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "media_type", "corrected")
