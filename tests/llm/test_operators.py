@@ -1,6 +1,8 @@
 import hashlib
+import io
 import re
 import struct
+import wave
 import zlib
 from collections import Counter, defaultdict
 
@@ -118,6 +120,38 @@ def test_quality_learns_and_handles_edges(spark, docs, rows, nothing, doubled):
 # --- 4: ids -----------------------------------------------------------------------------------------------
 
 
+def test_quality_features_and_trees_against_plain_python():
+    texts = ["Hello, world! Hello you", "", "a  b\tb\n| é É 9#", "word", " \n "]
+    data = "".join(texts).encode()
+    offsets = np.concatenate(([0], np.cumsum([len(t.encode()) for t in texts])))
+    x = quality.features(offsets, np.frombuffer(data, np.uint8), minhash.Powers())
+    groups = [b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" \t\x0b\x0c\r", b"\n", b".", b",", b"!", b"?", b"|", b"#$%&*@"]
+    for row, t in zip(x, texts, strict=True):
+        b = t.encode()
+        counts = [sum(c in g for c in b) for g in groups]
+        beyond = sum(c >= 128 for c in b)
+        counts += [len(b) - sum(counts) - beyond, beyond]
+        words = b.lower().split()
+        raw, n = b.split(), max(1, len(words))
+        tail = [np.log1p(len(b)), np.log1p(len(words)), (len(b) - counts[3] - counts[4]) / n, 1 - len(set(words)) / n, sum(p == q for p, q in zip(words, words[1:])) / n, sum(65 <= w[0] <= 90 for w in raw) / n, sum(not (chr(w[-1]).isascii() and chr(w[-1]).isalpha() or w[-1] >= 128) for w in raw) / n]
+        assert row == pytest.approx([c / max(1, len(b)) for c in counts] + tail, abs=1e-6)
+    rng = np.random.default_rng(5)
+    x = rng.random((400, 6)).astype(np.float32)
+    y = (x[:, 0] + 0.2 * rng.random(400) > 0.6).astype(float)
+    model = quality.fit(x, y)
+
+    def one(v):
+        logit = model.start
+        for split, threshold, leaf in zip(model.split, model.threshold, model.leaf, strict=True):
+            node = 0
+            while node < len(split):
+                node = 2 * node + (2 if v[split[node]] > threshold[node] else 1)
+            logit += leaf[node - len(split)]
+        return 1 / (1 + np.exp(-logit))
+
+    assert model.score(x) == pytest.approx([one(v) for v in x]) and ((model.score(x) > 0.5) == y).mean() > 0.95
+
+
 def test_range_coder_round_trip():
     rng = np.random.default_rng(3)
     for n in (0, 1, 2, 127, 128, 300, 40_000):
@@ -161,6 +195,23 @@ def test_cuts_equal_the_library():
         assert [t for t, ids in zip(texts, found, strict=True) if ids.tolist() != words.model.encode(t, add_special_tokens=False).ids] == []
 
 
+def test_bits_of_mixed_orders():
+    """Ids with structure of each order take fewer bits than order 0 alone says; noise takes hardly more."""
+    rng = np.random.default_rng(6)
+    follow = rng.integers(0, 500, 500)
+    chain = np.zeros(60_000, np.int64)
+    for i in range(1, len(chain)):
+        chain[i] = follow[chain[i - 1]] if rng.random() < 0.9 else rng.integers(0, 500)
+    noise = rng.integers(0, 500, 60_000)
+    for ids, low, high in ((chain, 1.0, 6.0), (noise, 8.9, 12.0)):
+        _, counts = np.unique(ids, return_counts=True)
+        entropy = -(counts / len(ids) * np.log2(counts / len(ids))).sum()
+        block = rangecoder.encode(ids.astype(np.uint16), 49408)
+        bits = 8 * len(block) / len(ids)
+        assert (rangecoder.decode(block)[0] == ids).all() and low < bits < high
+        assert bits < entropy if ids is chain else bits < entropy + 2.5
+
+
 # --- 5: language -----------------------------------------------------------------------------------------
 
 
@@ -183,6 +234,33 @@ def test_language(spark, nothing, doubled):
     assert language.identified(nothing, model).count() == 0
 
 
+def test_language_vectors_and_cosines_against_plain_python():
+    texts = ["Ab c", "É é", "", "12!", "xyz xyz"]
+    data = "".join(texts).encode()
+    offsets = np.concatenate(([0], np.cumsum([len(t.encode()) for t in texts])))
+    got_counts = language.vectors(offsets, np.frombuffer(data, np.uint8))
+    u32 = lambda x: x & 0xFFFFFFFF
+    for row, t in zip(got_counts, texts, strict=True):
+        b = [c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 0 for c in t.replace("É", "é").encode()]
+        want = Counter()
+        for x, y in zip(b, b[1:]):
+            if x or y:
+                want[u32((x << 8 | y) * 2654435761) >> 20] += 1
+        for x, y, z in zip(b, b[1:], b[2:]):
+            if y:
+                want[u32(((x << 16 | y << 8 | z) ^ 0x5BD1E995) * 2246822519) >> 20] += 1
+        assert {i: n for i, n in enumerate(row) if n} == dict(want)
+    rng = np.random.default_rng(3)
+    counts = rng.integers(0, 4, (40, language.DIMS))
+    model = language.fit(counts, ["a", "b"] * 20)
+    pick, score, rejected = model.predict(counts)
+    for i, x in enumerate(counts):
+        v = np.sqrt(x) * model.idf
+        cos = [float(v @ c) / np.linalg.norm(v) for c in model.centres]
+        best = {k: max(c for c, w in zip(cos, model.whose, strict=True) if w == k) for k in (0, 1)}
+        assert pick[i] == max(best, key=best.get) and abs(score[i] - 1 / (1 + np.exp(-language.SHARPNESS * abs(best[0] - best[1])))) < 1e-3
+
+
 # --- 6: near duplicates -------------------------------------------------------------------------------------
 
 
@@ -519,6 +597,12 @@ def test_media_samples(docs, rows, nothing, doubled):
         p = b + b" " * (max(1, -(-len(b) // 192)) * 192 - len(b))
         o = out[r[0]]
         assert (o["n_bytes"], o["payload_bytes"], o["payload_sha256"], o["tail_crc32"]) == (len(b), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]))
-        assert o["media_bytes"] == len(p) + 44 and o["feature"].startswith("audio/wav")
+        made = io.BytesIO()
+        with wave.open(made, "wb") as out_file:  # another writer of the same format
+            out_file.setnchannels(1), out_file.setsampwidth(1), out_file.setframerate(media.RATE), out_file.writeframes(p)
+        w = made.getvalue()
+        assert (o["media_bytes"], o["media_sha256"], o["corrected"]) == (len(w), hashlib.sha256(w).hexdigest(), True)
+        crossings = sum((x >= 128) != (y >= 128) for x, y in zip(p, p[1:]))
+        assert o["feature"] == f"audio/wav;channels=1;rate={media.RATE};bits=8;frames={len(p)};embedded=0;mean={sum(p) // len(p)};power={sum((x - 128) ** 2 for x in p) // len(p)};crossings={crossings}"
     assert media.store_samples(nothing).count() == 0
     assert media.sniff(media.store_samples(doubled)).count() == doubled.count()

@@ -30,3 +30,19 @@ def test_pipeline_against_brute_force(spark, rows, docs, tmp_path):
     assert set(ids[4]) <= set(ids[3]) and max(map(ids[4].count, ids[4])) <= 3
     assert len(ids[5]) == len(ids[4]) and frames[5].where("not lossless").isEmpty()
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(ids[5])
+
+
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    """An empty table, rows without ids or text, repeated rows, and further columns with names that stages use inside."""
+    kinds = "doc_id long, text string, lang string, source string, n_chars long, _key string, _copies string, th string"
+    long = "one two three four five six seven eight nine ten"
+    rows = [(None, long, None, None, 1, "k", "c", "t"), (None, long, None, None, 1, "k", "c", "t"), (5, None, "en", "a", 2, "k", "c", "t"), (5, "", "en", "a", 2, "k", "c", "t"), (6, long + " eleven", "en", "a", 3, "k", "c", "t"), (7, "x" * 70_000, "en", "b", 4, "k", "c", "t")]
+    for name, some in (("empty", []), ("odd", rows)):
+        folder = str(tmp_path / name)
+        spark.createDataFrame(some, kinds).write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([], "doc_id long, quality int").write.parquet(f"{folder}/labels.parquet")
+        docs = spark.read.parquet(f"{folder}/documents.parquet")
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            assert stage(spark, docs, folder).columns == docs.columns
+        out = corpus_pipeline.run(spark, folder)
+        assert out.where("not lossless").isEmpty() and (out.count() == 0) == (name == "empty")
