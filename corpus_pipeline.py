@@ -3,6 +3,11 @@
 Every stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept. All but the last
 return the columns of documents; ``run`` writes each stage's rows as Parquet in the shared folder and
 reads them again, so lost executors cost a stage at most.
+
+Cases: an empty table passes every stage as an empty table; null texts count as empty; rows without doc_id are
+rows like others, and lose to equal or similar ones that have a doc_id; rows that repeat a doc_id are judged by
+their own texts, near copies excepted, where they are kept or dropped together; very long texts are read whole;
+all columns of documents are carried, whatever their names, up to the last stage. Without labels all pass.
 """
 
 from __future__ import annotations
