@@ -325,6 +325,8 @@ def _block_links(members: DataFrame, percent: int) -> DataFrame:
                     comp[comp == comp[y]] = comp[x]
                     a.append(min(doc[x], doc[y]))
                     b.append(max(doc[x], doc[y]))
+        del sketch, common
+        give_back()
         return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
 
     return dealt.groupBy("family", "i", "j").applyInPandas(compare, "a bigint, b bigint")

@@ -352,6 +352,12 @@ def pieces(path: str) -> Pieces:
     return Pieces(path)
 
 
+def forget() -> None:
+    """Drop models and what they remember at the end of a task: idle workers would hold it beside the next stage's."""
+    pieces.cache_clear()
+    give_back()
+
+
 # --- max-plus algebra -------------------------------------------------------------------------------
 
 
@@ -388,7 +394,8 @@ def encoded(docs: DataFrame, key: str = "doc_id", text: str = "text", carry: tup
                 part = batch.slice(at, 512)
                 ids = pa.array(model.encode(part.column(len(names) - 1).to_pylist()), pa.binary())
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], ids], names)
-        give_back()
+        del model
+        forget()
 
     short = chosen.where(F.length("_text") <= giant).mapInArrow(encode, schema)
 
@@ -407,6 +414,8 @@ def encoded(docs: DataFrame, key: str = "doc_id", text: str = "text", carry: tup
         for f in frames:
             made = [model.transfer(*r) for r in f[["part", "start", "stop", "first", "last"]].itertuples(index=False, name=None)]
             yield f[["_sha", "k"]].assign(rows=[m.shape[0] for m in made], weights=[m.tobytes() for m in made])
+        del model
+        forget()
 
     def choose(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values("k")
@@ -418,6 +427,8 @@ def encoded(docs: DataFrame, key: str = "doc_id", text: str = "text", carry: tup
         for f in frames:
             made = [model.trace(*r) for r in f[["part", "start", "stop", "first", "last", "entry", "leave"]].itertuples(index=False, name=None)]
             yield f[["_sha", "k"]].assign(ids=made)
+        del model
+        forget()
 
     def join(f: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"_sha": [f["_sha"].iloc[0]], "ids": [b"".join(f.sort_values("k")["ids"])]})
@@ -444,6 +455,8 @@ def decoded(tokens: DataFrame, carry: tuple[str, ...] = (), path: str | None = N
                 raw = part.column(len(carry)).to_pylist()
                 texts = [model.decode(np.frombuffer(r, np.uint16)).decode("utf-8", "replace") for r in raw]
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(carry)], pa.array([len(r) // 2 for r in raw], pa.int64()), pa.array([zlib.crc32(r) for r in raw], pa.int64()), pa.array([hashlib.sha256(r).hexdigest() for r in raw]), pa.array(texts, pa.string())], names)
+        del model
+        forget()
 
     return chosen.mapInArrow(decode, schema)
 

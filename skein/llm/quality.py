@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_slices
+from .common import give_back, table, text_slices
 from .minhash import WORD, Powers, word_hashes
 
 #: Most labelled rows that the trees learn from.
@@ -165,6 +165,7 @@ def scored(docs: DataFrame, model: Trees, key: str = "doc_id", text: str = "text
                 p = model.score(features(offsets, data, powers))
                 rest = [batch.column(2 + i).slice(a, b - a) for i in range(len(carry))]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(p), pa.array((p >= ACCEPT).astype(np.int32)), *rest], [key, "score", "predicted", *carry])
+        give_back()
 
     return chosen.mapInArrow(walk, schema)
 
