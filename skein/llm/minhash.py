@@ -34,7 +34,6 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -303,7 +302,9 @@ def _block_links(members: DataFrame, percent: int) -> DataFrame:
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = dealt.withColumn("other", other).select("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc", "n", "comp", "sketch", "elements")
 
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+    def compare(pdf):
+        import pandas as pd  # only in tasks that need it: workers of other stages stay smaller
+
         sketch = np.frombuffer(b"".join(pdf["sketch"]), np.uint16).reshape(len(pdf), COORDS)
         doc, n, block = (pdf[c].to_numpy() for c in ("doc", "n", "block"))
         comp = np.unique(pdf["comp"].to_numpy(), return_inverse=True)[1].reshape(-1)

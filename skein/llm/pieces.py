@@ -30,7 +30,6 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,7 +40,7 @@ from .merges import PAD, Merges
 #: Longer texts are split into chunks of this many characters.
 GIANT = 32_768
 #: Words (twice as many) and piece pairs that a worker remembers.
-WORDS, PAIRS = 120_000, 400_000
+WORDS, PAIRS = 80_000, 200_000
 #: Words of up to this many characters are merged side by side.
 SHORT = 16
 SPACE = "▁"
@@ -63,19 +62,13 @@ class Pieces:
         n = model.get_piece_size()
         self.ids: dict[str, int] = {}
         self.score: dict[str, float] = {}
-        self.raw: list[bytes] = []
         self.byte = [0] * 256
         for i in range(n):
             piece = model.id_to_piece(i)
             if model.is_byte(i):
-                value = int(piece[3:5], 16)
-                self.byte[value] = i
-                self.raw.append(bytes([value]))
-            elif model.is_control(i) or model.is_unknown(i) or model.is_unused(i):
-                self.raw.append(b"")
-            else:
+                self.byte[int(piece[3:5], 16)] = i
+            elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
                 self.ids[piece], self.score[piece] = i, model.get_score(i)
-                self.raw.append(piece.replace(SPACE, " ").encode())
         self.text = {i: p for p, i in self.ids.items()}
         self.most = max(map(len, self.ids))
         self.inner = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
@@ -240,10 +233,6 @@ class Pieces:
         for w in rest:
             self.words[w] = self.word(w)
 
-    def decode(self, ids: np.ndarray) -> bytes:
-        whole = b"".join(map(self.raw.__getitem__, ids.tolist()))
-        return whole[1:] if whole[:1] == b" " else whole
-
     # --- chunks of giant texts ----------------------------------------------------------------
 
     def states(self, text: str, cut: int) -> list[tuple[int, int, int]]:
@@ -352,9 +341,29 @@ def pieces(path: str) -> Pieces:
     return Pieces(path)
 
 
+@lru_cache(maxsize=2)
+def raw_pieces(path: str) -> list[bytes]:
+    """The bytes that each id stands for: all that decoding needs of a model."""
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    out = []
+    for i in range(model.get_piece_size()):
+        piece = model.id_to_piece(i)
+        silent = model.is_control(i) or model.is_unknown(i) or model.is_unused(i)
+        out.append(bytes([int(piece[3:5], 16)]) if model.is_byte(i) else b"" if silent else piece.replace(SPACE, " ").encode())
+    return out
+
+
+def text_of(ids: np.ndarray, raw: list[bytes]) -> bytes:
+    whole = b"".join(map(raw.__getitem__, ids.tolist()))
+    return whole[1:] if whole[:1] == b" " else whole
+
+
 def forget() -> None:
     """Drop models and what they remember at the end of a task: idle workers would hold it beside the next stage's."""
     pieces.cache_clear()
+    raw_pieces.cache_clear()
     give_back()
 
 
@@ -390,7 +399,7 @@ def encoded(docs: DataFrame, key: str = "doc_id", text: str = "text", carry: tup
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pieces(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
+            for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 512)
                 ids = pa.array(model.encode(part.column(len(names) - 1).to_pylist()), pa.binary())
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], ids], names)
@@ -409,7 +418,7 @@ def encoded(docs: DataFrame, key: str = "doc_id", text: str = "text", carry: tup
     chunks = cut.select("_sha", "k", F.substring("_text", low + 1, end - low + most).alias("part"), (start - low).alias("start"), (end - low).alias("stop"), (F.col("k") == 0).alias("first"), (end == F.col("_n")).alias("last"))
     chunks = written(chunks, "chunks")
 
-    def weigh(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def weigh(frames):
         model = pieces(path)
         for f in frames:
             made = [model.transfer(*r) for r in f[["part", "start", "stop", "first", "last"]].itertuples(index=False, name=None)]
@@ -417,12 +426,12 @@ def encoded(docs: DataFrame, key: str = "doc_id", text: str = "text", carry: tup
         del model
         forget()
 
-    def choose(f: pd.DataFrame) -> pd.DataFrame:
+    def choose(f):
         f = f.sort_values("k")
         states = scan([np.frombuffer(w).reshape(r, -1) for r, w in zip(f["rows"], f["weights"], strict=True)])
         return f[["_sha", "k"]].assign(entry=[0, *states], leave=[*states, 0])
 
-    def trace(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def trace(frames):
         model = pieces(path)
         for f in frames:
             made = [model.trace(*r) for r in f[["part", "start", "stop", "first", "last", "entry", "leave"]].itertuples(index=False, name=None)]
@@ -430,7 +439,9 @@ def encoded(docs: DataFrame, key: str = "doc_id", text: str = "text", carry: tup
         del model
         forget()
 
-    def join(f: pd.DataFrame) -> pd.DataFrame:
+    def join(f):
+        import pandas as pd  # only in tasks that need it: workers of other stages stay smaller
+
         return pd.DataFrame({"_sha": [f["_sha"].iloc[0]], "ids": [b"".join(f.sort_values("k")["ids"])]})
 
     weights = chunks.mapInPandas(weigh, "_sha string, k int, rows int, weights binary")
@@ -448,14 +459,14 @@ def decoded(tokens: DataFrame, carry: tuple[str, ...] = (), path: str | None = N
     names = [*carry, "n_pieces", "ids_crc32", "ids_sha256", "text"]
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = pieces(path)
+        table_of = raw_pieces(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
+            for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 512)
                 raw = part.column(len(carry)).to_pylist()
-                texts = [model.decode(np.frombuffer(r, np.uint16)).decode("utf-8", "replace") for r in raw]
+                texts = [text_of(np.frombuffer(r, np.uint16), table_of).decode("utf-8", "replace") for r in raw]
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(carry)], pa.array([len(r) // 2 for r in raw], pa.int64()), pa.array([zlib.crc32(r) for r in raw], pa.int64()), pa.array([hashlib.sha256(r).hexdigest() for r in raw]), pa.array(texts, pa.string())], names)
-        del model
+        del table_of
         forget()
 
     return chosen.mapInArrow(decode, schema)

@@ -25,7 +25,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -147,7 +146,7 @@ def _sorted_hits(contents: DataFrame, total: int, depth: int) -> DataFrame:
     """key, content, n, a, b: strings a to b (excluded) of a run that occur in other runs of its shard too."""
     shards = max(1, -(-total // SHARD))
 
-    def hits(pdf: pd.DataFrame) -> pd.DataFrame:
+    def hits(pdf):
         flags = repeated_in(list(pdf["bytes"]), depth, MEMORY)
         rows = [(i, a, b) for i, f in enumerate(flags) if f.any() for a, b in zip(*_spans(f), strict=True)]
         at = [r[0] for r in rows]
@@ -174,7 +173,9 @@ def _sections(contents: DataFrame, width: int, depth: int, gram: int) -> DataFra
     Equal strings have the piece at the same offset, so they are in sections with the same sub.
     """
 
-    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(frames):
+        import pandas as pd  # only in tasks that need it: workers of other stages stay smaller
+
         powers = Powers()
         for f in frames:
             rows = []
