@@ -38,11 +38,11 @@ def joined(rows: DataFrame, keys: DataFrame, on: list[str], weights: DataFrame,
     The rows of the heaviest keys, a bounded number of keys, are salted by a hash of the row, and these keys' own rows
     repeated for every salt, so that about ``HEAVY`` rows of a key meet in a task. The result is the plain join's.
     """
+    if weights.where(F.col(weight) >= HEAVY).isEmpty():
+        return rows.join(keys, on, how)
     salts = F.least(F.ceil(F.max(weight) / HEAVY), F.lit(MOST_SALTS)).cast("int")
     heavy = weights.where(F.col(weight) >= HEAVY).groupBy(*on).agg(salts.alias("_salts")).orderBy(F.col("_salts").desc(), *on).limit(MOST_HEAVY)
     heavy = written(heavy, "heavy")
-    if heavy.isEmpty():
-        return rows.join(keys, on, how)
     place = F.when(F.col("_salts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*rows.columns), F.col("_salts"))).cast("int")
     salted = rows.join(F.broadcast(heavy), on, "left").withColumn("_salt", place).drop("_salts")
     every = F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))

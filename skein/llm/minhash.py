@@ -245,7 +245,6 @@ def _same_document(signed: DataFrame, classes: DataFrame) -> DataFrame:
     """Links (a, b) between the classes that the rows of one doc_id are in."""
     name = F.struct("n", "d1", "d2")
     several = signed.where("n > 0 and doc is not null").groupBy("doc").agg(F.min(name).alias("lo"), F.max(name).alias("hi")).where("lo <> hi").select("doc")
-    several = written(several, "several")
     if several.isEmpty():
         return several.select(F.col("doc").alias("a"), F.col("doc").alias("b"))
     of = signed.join(several, "doc").select("doc", "n", "d1", "d2").distinct().join(classes.select("rep", "n", "d1", "d2"), ["n", "d1", "d2"])
@@ -260,20 +259,21 @@ def components(links: DataFrame) -> DataFrame:
     links are drawn between the labels instead; links within a label fall away, so rounds shrink fast.
     """
     edges = written(links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct(), "edges")
-    state = written(edges.select(F.col("a").alias("doc"), F.col("a").alias("comp")).distinct(), "labels")
+    state, past = edges.select(F.col("a").alias("doc"), F.col("a").alias("comp")).distinct(), []
+    done: list[DataFrame] = []
     while not edges.isEmpty():
         hooks = edges.groupBy(F.col("a").alias("doc")).agg(F.min("b").alias("near")).select("doc", F.least("doc", "near").alias("to"))
-        hooks = written(hooks, "hooks")
-        ends = hooks.join(hooks.select(F.col("doc").alias("to"), F.col("to").alias("end")), "to").select("doc", "end")
-        ends = written(ends, "ends")
-        old, past = state, edges
+        ends = written(hooks.join(hooks.select(F.col("doc").alias("to"), F.col("to").alias("end")), "to").select("doc", "end"), "ends")
+        # labels are looked up at the end, through the ends of every round: a few joins, as rounds are few
         state = state.join(ends.withColumnRenamed("doc", "comp"), "comp", "left").select("doc", F.coalesce("end", "comp").alias("comp"))
-        state = written(state, "labels")
         from_a = edges.join(ends.select(F.col("doc").alias("a"), F.col("end").alias("la")), "a")
         drawn = from_a.join(ends.select(F.col("doc").alias("b"), F.col("end").alias("lb")), "b").where("la <> lb")
+        past.append(edges)
         edges = written(drawn.select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct(), "edges")
-        discarded(old, past, hooks, ends)
-    return state
+        done.append(ends)
+    labels = written(state, "labels")
+    discarded(*past, *done)
+    return labels
 
 
 def _intersections(sets: list[np.ndarray]) -> Callable[[int, np.ndarray], np.ndarray]:
@@ -367,8 +367,8 @@ def grouped(docs: DataFrame, words: int, percent: int, key: str, text: str) -> D
     least = placed.groupBy("comp").agg(F.min("of").alias("component"))
     linked = placed.join(least, "comp").select("d1", "d2", "n", "rows", "component")
     copies = classes.where("rows > 1").join(comps.select("rep"), "rep", "left_anti").select("d1", "d2", "n", "rows", F.col("of").alias("component"))
-    known = written(linked.unionByName(copies).withColumn("_known", F.lit(True)), "known")
-    out = joined(signed.select("doc", "th", "n", "d1", "d2"), known, ["d1", "d2", "n"], known, "rows", "left")
+    known = linked.unionByName(copies).drop("rows").withColumn("_known", F.lit(True))
+    out = joined(signed.select("doc", "th", "n", "d1", "d2"), known, ["d1", "d2", "n"], classes, "rows", "left")
     component = F.when(F.col("_known"), F.col("component")).otherwise(F.col("doc"))
     return out.select("doc", "th", "n", component.alias("component"), F.col("doc").eqNullSafe(component).alias("kept"))
 
