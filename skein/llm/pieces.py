@@ -472,10 +472,14 @@ def decoded(tokens: DataFrame, carry: tuple[str, ...] = (), path: str | None = N
     return chosen.mapInArrow(decode, schema)
 
 
-def round_trip(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_pieces, ids_crc32 and ids_sha256 (of the 16-bit ids), text_sha256 (decoded), lossless."""
+def round_trip(docs: DataFrame, key: str = "doc_id", text: str = "text", stored: bool = False) -> DataFrame:
+    """key, n_pieces, ids_crc32 and ids_sha256 (of the 16-bit ids), text_sha256 (decoded), lossless.
+
+    With ``stored``, ids are written before they are decoded, so that a task has one Python worker at a time, not two.
+    """
     marked = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("_t")).withColumn("_before", F.sha2("_t", 256))
-    back = decoded(encoded(marked, key, "_t", ("_before",)), (key, "_before"))
+    ids = encoded(marked, key, "_t", ("_before",))
+    back = decoded(written(ids, "ids") if stored else ids, (key, "_before"))
     after = F.sha2("text", 256)
     return back.select(key, "n_pieces", "ids_crc32", "ids_sha256", after.alias("text_sha256"), (after == F.col("_before")).alias("lossless"))
 
