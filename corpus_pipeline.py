@@ -40,7 +40,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of every row of the mix, as counts and digests, and whether they decode to its text."""
-    return pieces.round_trip(docs)
+    return pieces.round_trip(docs, stored=True)
 
 
 STAGES = [
