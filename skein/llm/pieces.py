@@ -41,6 +41,8 @@ from .merges import PAD, Merges
 GIANT = 32_768
 #: Words (twice as many) and piece pairs that a worker remembers.
 WORDS, PAIRS = 80_000, 200_000
+#: Rows of a batch that are worked on at once.
+SLICE = 256
 #: Words of up to this many characters are merged side by side.
 SHORT = 16
 SPACE = "▁"
@@ -399,8 +401,8 @@ def encoded(docs: DataFrame, key: str = "doc_id", text: str = "text", carry: tup
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pieces(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
                 ids = pa.array(model.encode(part.column(len(names) - 1).to_pylist()), pa.binary())
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], ids], names)
         del model
@@ -461,8 +463,8 @@ def decoded(tokens: DataFrame, carry: tuple[str, ...] = (), path: str | None = N
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table_of = raw_pieces(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
                 raw = part.column(len(carry)).to_pylist()
                 texts = [text_of(np.frombuffer(r, np.uint16), table_of).decode("utf-8", "replace") for r in raw]
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(carry)], pa.array([len(r) // 2 for r in raw], pa.int64()), pa.array([zlib.crc32(r) for r in raw], pa.int64()), pa.array([hashlib.sha256(r).hexdigest() for r in raw]), pa.array(texts, pa.string())], names)

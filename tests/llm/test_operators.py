@@ -415,6 +415,23 @@ def test_pieces_equal_the_library(spark, docs, rows, nothing, doubled):
     assert pieces.round_trip(nothing).count() == 0 and pieces.round_trip(doubled).count() == doubled.count()
 
 
+def test_every_row_of_large_batches_comes_once(spark):
+    """More rows in a batch than any operator works on at once."""
+    df = spark.range(1500).selectExpr("id AS doc_id", "concat('text ', id) AS text", "id AS page_id", "'u' AS url", "concat('<p>', id) AS html").coalesce(1)
+    ids = list(range(1500))
+    for stored in (False, True):
+        out = pieces.round_trip(df, stored=stored).collect()
+        assert sorted(r["doc_id"] for r in out) == ids and all(r["lossless"] for r in out)
+    path = new_path(spark, "ids")
+    tokens.write_ids(df, path)
+    assert sorted(r["doc_id"] for r in tokens.read_ids(spark, path).collect()) == ids
+    for rows in (media.sniff(media.store_samples(df), carry=("n_bytes",)), repeats.dedup_passages(df), minhash.near_groups(df), language.identified(df, None), quality.scored(df, quality.fit(np.zeros((0, 20)), np.zeros(0)))):
+        assert sorted(r["doc_id"] for r in rows.collect()) == ids
+    path = new_path(spark, "warc")
+    warc.write_archives(df, path, b"")
+    assert sorted(r["page_id"] for r in warc.read_archives(spark, path).collect()) == ids
+
+
 def test_max_plus_product_is_associative():
     rng = np.random.default_rng(2)
     a, b, c = (np.where(rng.random(s) < 0.5, 0.0, -np.inf) for s in ((3, 4), (4, 2), (2, 5)))
