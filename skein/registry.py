@@ -219,19 +219,28 @@ def capability_depths(spark, sf):
 
 # --- coverage and gaps -----------------------------------------------------------------------------------------------
 
-_ASSESSED = COVER + """, e AS (SELECT target_id, count_if(type = 'fulfils') AS fulfils, count_if(type = 'implements') AS technical, count(*) AS incoming FROM brand_edges GROUP BY target_id),
+_REALISED = COVER + """, e AS (SELECT target_id, count_if(type = 'fulfils') AS fulfils, count_if(type = 'implements') AS technical, count(*) AS incoming FROM brand_edges GROUP BY target_id),
 m AS (SELECT target_id, bool_or(coverage = 'full') AS any_full, bool_or(coverage <> 'none') AS any_mapped FROM mappings GROUP BY target_id),
 assessed AS (SELECT b.id, b.name, coalesce(incoming, 0) AS incoming, coalesce(fulfils, 0) > 0 OR coalesce(any_mapped, FALSE) AS functional, coalesce(technical, 0) > 0 AS technical, coalesce(any_full, FALSE) AS any_full
   FROM brands b LEFT JOIN e ON e.target_id = b.id LEFT JOIN m ON m.target_id = b.id) """
+_ASSESSED = _REALISED.replace("FROM brand_edges", "FROM thin_edges")
 
 
-def _assessed(spark, sf):
-    return realisation.elements(star.brands(spark, sf), star.brand_edges(spark, sf), star.mappings(spark, sf))
+def _assessed(spark, sf, thin=True):
+    """Brands with what realises them; the thin edges leave gaps, the whole ones none."""
+    return realisation.elements(star.brands(spark, sf), star.brand_edges(spark, sf, thin), star.mappings(spark, sf))
 
 
-@query(_ASSESSED + "SELECT id, CASE WHEN NOT functional THEN 'uncovered' WHEN any_full THEN 'covered' ELSE 'partial' END AS status FROM assessed")
+@query(COVER + "SELECT b.id, coalesce(count_if(type = 'fulfils'), 0) AS fulfils, coalesce(count_if(type = 'implements'), 0) AS implements, count(e.id) AS incoming FROM brands b LEFT JOIN brand_edges e ON e.target_id = b.id GROUP BY b.id")
+def realisation_counts(spark, sf):
+    """How many edges of each kind realise a brand."""
+    counted = star.brand_edges(spark, sf).groupBy(F.col("target_id").alias("id")).agg(F.count_if(F.col("type") == "fulfils").alias("fulfils"), F.count_if(F.col("type") == "implements").alias("implements"), F.count("id").alias("incoming"))
+    return star.brands(spark, sf).join(counted, "id", "left").select("id", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("fulfils", "implements", "incoming")))
+
+
+@query(_REALISED + "SELECT id, CASE WHEN NOT functional THEN 'uncovered' WHEN any_full THEN 'covered' ELSE 'partial' END AS status FROM assessed")
 def coverage_rows(spark, sf):
-    return _assessed(spark, sf).select("id", realisation.row_status().alias("status"))
+    return _assessed(spark, sf, thin=False).select("id", realisation.row_status().alias("status"))
 
 
 @query(COVER + ", claims AS (SELECT DISTINCT 's' || supplier AS \"column\", 'cap-' || nation AS capability FROM shipped) SELECT target_id AS \"row\", \"column\", CASE WHEN bool_or(coverage = 'none') THEN 'uncovered' WHEN bool_or(coverage = 'partial') THEN 'partial' ELSE 'covered' END AS status, max(percentage) AS percentage, min(id) AS first_mapping FROM mappings JOIN claims USING (capability) GROUP BY target_id, \"column\"")
@@ -240,9 +249,9 @@ def coverage_matrix(spark, sf):
     return realisation.cells(star.mappings(spark, sf), claims).drop("gaps")
 
 
-@query(_ASSESSED + "SELECT count_if(functional AND any_full) AS covered, count_if(functional AND NOT any_full) AS partial, count_if(NOT functional) AS uncovered, count(*) AS total, CAST(floor((count_if(functional AND any_full) + 0.5 * count_if(functional AND NOT any_full)) / count(*) * 100 + 0.5) AS BIGINT) AS percentage FROM assessed")
+@query(_REALISED + "SELECT count_if(functional AND any_full) AS covered, count_if(functional AND NOT any_full) AS partial, count_if(NOT functional) AS uncovered, count(*) AS total, CAST(floor((count_if(functional AND any_full) + 0.5 * count_if(functional AND NOT any_full)) / count(*) * 100 + 0.5) AS BIGINT) AS percentage FROM assessed")
 def coverage_summary(spark, sf):
-    return realisation.coverage_summary(_assessed(spark, sf).withColumn("status", realisation.row_status()))
+    return realisation.coverage_summary(_assessed(spark, sf, thin=False).withColumn("status", realisation.row_status()))
 
 
 @query(_ASSESSED + "SELECT id, name, CASE WHEN NOT functional AND NOT technical THEN 'L2,L3' WHEN NOT functional THEN 'L2' ELSE 'L3' END AS missing, incoming AS priority, CASE WHEN NOT functional AND NOT technical THEN 'neither a functional nor a technical realisation' WHEN NOT functional THEN 'technically realised, but not functionally' ELSE 'functionally realised, but not technically' END AS reason FROM assessed WHERE NOT functional OR NOT technical")

@@ -274,9 +274,9 @@ def vendor_coverage_matrix(spark, sf):
     return views.coverage_view(_market(spark, sf), star.brand_edges(spark, sf), star.mappings(spark, sf), vendor="nation 3")["cells"].drop("gaps")
 
 
-@query(COVER + ", e AS (SELECT target_id, count_if(type = 'fulfils') AS f, count_if(type = 'implements') AS t, count(*) AS n FROM brand_edges GROUP BY 1), m AS (SELECT target_id, bool_or(coverage <> 'none') AS mapped FROM mappings GROUP BY 1), a AS (SELECT b.id, coalesce(n, 0) AS priority, coalesce(f, 0) > 0 OR coalesce(mapped, FALSE) AS functional, coalesce(t, 0) > 0 AS technical, CASE WHEN length(b.name) % 2 = 0 THEN 'Even' ELSE 'Odd' END AS domain FROM brands b LEFT JOIN e ON e.target_id = b.id LEFT JOIN m ON m.target_id = b.id) SELECT id, domain, priority FROM a WHERE domain = 'Odd' AND NOT (functional AND technical) UNION ALL SELECT id, domain, priority FROM a WHERE domain = 'Even' AND NOT (functional AND technical)")
+@query(COVER + ", e AS (SELECT target_id, count_if(type = 'fulfils') AS f, count_if(type = 'implements') AS t, count(*) AS n FROM thin_edges GROUP BY 1), m AS (SELECT target_id, bool_or(coverage <> 'none') AS mapped FROM mappings GROUP BY 1), a AS (SELECT b.id, coalesce(n, 0) AS priority, coalesce(f, 0) > 0 OR coalesce(mapped, FALSE) AS functional, coalesce(t, 0) > 0 AS technical, CASE WHEN length(b.name) % 2 = 0 THEN 'Even' ELSE 'Odd' END AS domain FROM brands b LEFT JOIN e ON e.target_id = b.id LEFT JOIN m ON m.target_id = b.id) SELECT id, domain, priority FROM a WHERE domain = 'Odd' AND NOT (functional AND technical) UNION ALL SELECT id, domain, priority FROM a WHERE domain = 'Even' AND NOT (functional AND technical)")
 def gaps_by_domain(spark, sf):
-    tables = (_market(spark, sf), star.brand_edges(spark, sf), star.mappings(spark, sf))
+    tables = (_market(spark, sf), star.brand_edges(spark, sf, thin=True), star.mappings(spark, sf))
     both = views.gap_view(*tables, domain="odd")["gaps"].unionByName(views.gap_view(*tables, domain="EVEN")["gaps"])
     return both.select("id", "domain", "priority")
 

@@ -74,12 +74,17 @@ def brands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(F.concat(F.lit("b"), F.col("p_brand")).alias("id"), F.col("p_brand").alias("name")).distinct()
 
 
-def brand_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """implements from suppliers with a high balance to the brands they ship, fulfils from suppliers to the brand they ship most of."""
+def brand_edges(spark: SparkSession, sf_dir: str, thin: bool = False) -> DataFrame:
+    """implements from suppliers with a positive balance to all brands they ship, fulfils from suppliers to all brands they ship.
+
+    These realise every brand of the star schema, so gaps have nothing to find. ``thin`` leaves some: implements takes
+    balances over 9990 and more than one line, fulfils the brand that a supplier ships most of.
+    """
     rows = shipped(spark, sf_dir)
     most = rows.groupBy("supplier").agg(F.max(F.struct("lines", "brand")).alias("_m")).select("supplier", F.col("_m.brand").alias("brand"))
+    able, serving = (rows.where("balance > 9990 and lines > 1"), most) if thin else (rows.where("balance > 0"), rows)
     part = lambda df, kind, letter: df.select(F.concat(F.lit(letter), F.col("supplier").cast("string"), F.lit("-"), F.col("brand")).alias("id"), F.lit(kind).alias("type"), F.concat(F.lit("s"), F.col("supplier").cast("string")).alias("source_id"), F.concat(F.lit("b"), F.col("brand")).alias("target_id"))
-    return part(rows.where("balance > 9990 and lines > 1"), "implements", "i").unionByName(part(most, "fulfils", "f"))
+    return part(able, "implements", "i").unionByName(part(serving, "fulfils", "f"))
 
 
 def mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,6 +102,9 @@ SHIPPED_SQL = """shipped AS (
   FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL),
 brands AS (SELECT DISTINCT 'b' || p_brand AS id, p_brand AS name FROM part),
 brand_edges AS (
+  SELECT 'i' || supplier || '-' || brand AS id, 'implements' AS type, 's' || supplier AS source_id, 'b' || brand AS target_id FROM shipped WHERE balance > 0
+  UNION ALL SELECT 'f' || supplier || '-' || brand, 'fulfils', 's' || supplier, 'b' || brand FROM shipped),
+thin_edges AS (
   SELECT 'i' || supplier || '-' || brand AS id, 'implements' AS type, 's' || supplier AS source_id, 'b' || brand AS target_id FROM shipped WHERE balance > 9990 AND lines > 1
   UNION ALL SELECT 'f' || supplier || '-' || brand, 'fulfils', 's' || supplier, 'b' || brand FROM (SELECT *, row_number() OVER (PARTITION BY supplier ORDER BY lines DESC, brand DESC) AS k FROM shipped) y WHERE k = 1),
 shares AS (SELECT brand, nation, floor(sum(lines) * 1000.0 / sum(sum(lines)) OVER (PARTITION BY brand)) / 10 AS percentage FROM shipped GROUP BY brand, nation),
