@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, language, media, minhash, mixing, pieces, quality, repeats, tokens, warc
+from . import exact_dedup, infill, language, media, minhash, mixing, passages, pieces, quality, repeats, spelling, tokens, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_suffix_dedup": repeats.op8_suffix_dedup,
         "op9_warc": warc.op9_warc,
         "op10_media": media.op10_media,
+        "op11_spelling": spelling.op11_spelling,
+        "op12_passages": passages.op12_passages,
+        "op13_infill": infill.op13_infill,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": exact_dedup.OP2_SQL, "op9_warc": warc.OP9_SQL}
+    return {"op2_exact_dedup": exact_dedup.OP2_SQL, "op9_warc": warc.OP9_SQL, "op12_passages": passages.OP12_SQL, "op13_infill": infill.OP13_SQL}
