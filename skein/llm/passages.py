@@ -277,7 +277,7 @@ def op12_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP12_SQL = r"""
 WITH d AS (
-  SELECT doc_id, list_filter(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'), x -> true) AS w FROM documents
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
 ), win AS (
   SELECT doc_id, i, sha256(array_to_string(w[i:i + 49], ' ')) AS h
   FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)
@@ -285,11 +285,10 @@ WITH d AS (
   SELECT h, min(doc_id) AS least FROM win GROUP BY h
 ), gone AS (
   SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS j FROM win JOIN first USING (h) WHERE least < doc_id
-), left_over AS (
-  SELECT d.doc_id, len(w) AS n, list_filter(range(1, len(w) + 1), x -> NOT list_contains(coalesce(g.js, []), x)) AS kept, w, coalesce(len(g.js), 0) AS removed
-  FROM d LEFT JOIN (SELECT doc_id, list(j) AS js FROM gone GROUP BY doc_id) g ON d.doc_id = g.doc_id
+), kept AS (
+  SELECT doc_id, string_agg(x, ' ' ORDER BY j) AS rest, count(*) AS n
+  FROM (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS j FROM d) ANTI JOIN gone USING (doc_id, j) GROUP BY doc_id
 )
-SELECT doc_id, n::BIGINT AS n_words, removed::BIGINT AS n_removed,
-  sha256(array_to_string(list_transform(kept, x -> w[x]), ' ')) AS kept_sha256
-FROM left_over
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(rest, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
 """
