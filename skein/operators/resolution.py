@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import first_filled, normalise_name, salient_tokens
-from ..plans.tables import settled
+from ..plans.tables import numbered, settled
 from .graph import components
 
 SIMILAR, MOST_IN_BLOCK = 0.67, 40
@@ -142,10 +142,9 @@ def remap_edges(edges: DataFrame, remap: DataFrame) -> DataFrame:
 
 
 def classification_batches(subjects: DataFrame, done: DataFrame, size: int = 40) -> DataFrame:
-    """batch, id, name of the subjects that have no verdict, by name."""
-    todo = subjects.join(done.select(F.col("subject").alias("id")), "id", "left_anti")
-    order = F.row_number().over(Window.partitionBy("type").orderBy("name", "id")) - 1
-    return todo.select("type", F.floor(order / size).cast("int").alias("batch"), "id", "name")
+    """type, batch, id, name of the subjects that have no verdict: batches are cut from all of them by name, whatever their type."""
+    todo = subjects.join(done.select(F.col("subject").alias("id")), "id", "left_anti").select("type", "id", "name")
+    return numbered(todo, "name", "id", "type").select("type", F.floor(F.col("number") / size).cast("int").alias("batch"), "id", "name")
 
 
 def valid_verdicts(verdicts: DataFrame) -> DataFrame:
@@ -158,7 +157,10 @@ def valid_verdicts(verdicts: DataFrame) -> DataFrame:
 
 
 def verdict_subjects(verdicts: DataFrame, batches: DataFrame) -> DataFrame:
-    """Verdicts (batch, name, ...) for every id (subject) that has the name in their batch; other names say nothing."""
+    """Verdicts (batch, name, ...) for every id (subject) that has the name in their batch; other names say nothing.
+
+    A batch's number names its subjects alone, as batches are not numbered by type.
+    """
     asked = batches.select("batch", "name", F.col("id").alias("subject")).distinct()
     return verdicts.join(asked, ["batch", "name"])
 
@@ -186,12 +188,33 @@ def resolution_actions(candidates: DataFrame, merge: float = 0.85, link: float =
     return best.select("id", action.alias("action"), F.when(action != "create", F.col("_b.other")).alias("other"))
 
 
+def _resolved_mentions(mentions: DataFrame, remap: DataFrame) -> DataFrame:
+    return mentions.join(remap, "id", "left").select("document", F.coalesce("survivor", "id").alias("id")).distinct()
+
+
 def cross_document_relationships(mentions: DataFrame, remap: DataFrame) -> DataFrame:
-    """document, other_document, n: pairs of documents by the resolved entities (id) that both mention, each pair once.
+    """document, id, documents: the resolved entities that tie a document to others, and how many documents mention each.
+
+    An entity relates all documents that mention it with each other; they are given as its members, so an entity that a
+    third of all documents mention takes as many rows, not their square, and no related pair is lost.
+    """
+    resolved = _resolved_mentions(mentions, remap)
+    often = resolved.groupBy("id").agg(F.count(F.lit(1)).alias("documents")).where("documents > 1")
+    return resolved.join(often, "id").select("document", "id", "documents")
+
+
+def related_documents(mentions: DataFrame, remap: DataFrame, most: int = 100) -> DataFrame:
+    """document, other_document, n: pairs of documents that share an entity of at most ``most`` documents, each pair once.
 
-    An entity links its documents in a chain by document, so one that a third of them mention makes no pairs of all.
+    n counts all entities that both mention, also those of more documents. Pairs that share such alone are not listed:
+    they are the members of these entities in ``cross_document_relationships``.
     """
-    resolved = mentions.join(remap, "id", "left").select("document", F.coalesce("survivor", "id").alias("id")).distinct()
-    following = F.lead("document").over(Window.partitionBy("id").orderBy("document"))
-    chained = resolved.withColumn("other_document", following).where("other_document is not null")
-    return chained.groupBy("document", "other_document").agg(F.count(F.lit(1)).alias("n"))
+    ties = settled(cross_document_relationships(mentions, remap), "ties")
+    few = ties.where(F.col("documents") <= most).select("id", "document")
+    other = few.withColumnRenamed("document", "other_document")
+    pairs = few.join(other, "id").where("document < other_document").groupBy("document", "other_document").agg(F.count(F.lit(1)).alias("few"))
+    many = ties.where(F.col("documents") > most).select("id", "document")
+    pairs = settled(pairs, "document-pairs")
+    both = pairs.drop("few").join(many, "document").join(many.withColumnRenamed("document", "other_document"), ["other_document", "id"])
+    more = both.groupBy("document", "other_document").agg(F.count(F.lit(1)).alias("many"))
+    return pairs.join(more, ["document", "other_document"], "left").select("document", "other_document", (F.col("few") + F.coalesce("many", F.lit(0))).alias("n"))

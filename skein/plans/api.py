@@ -15,7 +15,7 @@ from datetime import UTC, datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import lookup, search
+from ..operators import graph, lookup, search
 from .service import Service
 from .views import Engine
 
@@ -24,6 +24,10 @@ class Rejected(ValueError):
     """A request beyond a limit."""
 
 
+#: Fields that walk edges.
+WALKS = ("traverse", "paths", "impact")
+
+
 class Limits:
     """What one request may cost, and how many a user may send in a time."""
 
@@ -33,8 +37,10 @@ class Limits:
 
     def check(self, user: str, request: dict) -> None:
         args = request.get("args", {})
-        # a step deeper may reach ten times as much; a page costs its rows
-        spent = 10 ** int(args.get("depth", 0) or 0) + int(args.get("limit", 0) or 0)
+        # a step deeper may reach ten times as much; a page costs its rows. A walk without a depth goes as deep as it may
+        unsaid = graph.DEEPEST if request.get("field") in WALKS else 0
+        depth = args.get("depth")
+        spent = 10 ** int(unsaid if depth is None else depth) + int(args.get("limit", 0) or 0)
         if spent > self.cost:
             raise Rejected(f"a cost of {spent} is beyond {self.cost}")
         now, times = self._clock(), self._seen.setdefault(user, deque())

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -45,3 +46,17 @@ def discarded(*tables: DataFrame) -> None:
             context = df.sparkSession.sparkContext
             target = context._jvm.org.apache.hadoop.fs.Path(path)
             target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def numbered(df: DataFrame, *order: str | Column, name: str = "number") -> DataFrame:
+    """``df`` with the place of each row (from 0) in an order of all rows that no two share.
+
+    Rows are dealt in ranges of the order, and a range's first place is the number of rows in the ranges before it, so
+    no task sees more than its range; the ranges' sizes are as many rows as there are partitions.
+    """
+    ranged = settled(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_range_size"))
+    before = F.coalesce(F.sum("_range_size").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    firsts = sizes.select("_range", before.alias("_range_first"))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
+    return ranged.withColumn("_row_in_range", place).join(F.broadcast(firsts), "_range").withColumn(name, F.col("_range_first") + F.col("_row_in_range")).drop("_range", "_row_in_range", "_range_first")

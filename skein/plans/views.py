@@ -232,14 +232,30 @@ def matrix_markdown(cells: DataFrame, columns: list[str]) -> str:
     return "\n".join(lines + [f"| {r['row']} | " + " | ".join(r[c] or "" for c in columns) + " |" for r in wide.toLocalIterator()])
 
 
+#: Fixed texts of the gap report; readers compare them.
+GAP_TITLE = "# Gap Analysis"
+GAP_HEAD = ["| Priority | Element | Kind | Missing | Reason |", "| --- | --- | --- | --- | --- |"]
+GAP_NONE = "_No gaps — every assessed element is realised._"
+
+
+def gap_lines(view: dict[str, DataFrame]) -> DataFrame:
+    """part, priority, id, line: a gap analysis as Markdown lines, a table to be written in the order of its columns."""
+    gaps, total = view["gaps"], view["summary"]
+    fixed = lambda part, text: F.struct(F.lit(part).alias("part"), text.alias("line"))
+    counted = lambda column, what: F.concat_ws(" ", F.col(column).cast("string"), F.lit(what), F.when(F.col(column) == 1, "gap").otherwise("gaps"))
+    realised = F.format_string("%d fully realised (of %d assessed)", F.col("fully_realised").cast("long"), F.col("total").cast("long"))
+    figures = F.concat_ws(" · ", counted("functional_gaps", "functional"), counted("technical_gaps", "technical"), realised)
+    ending = F.array(*(fixed(4 + i, F.lit(text)) for i, text in enumerate([GAP_NONE] if gaps.isEmpty() else GAP_HEAD)))
+    opening = F.array(fixed(0, F.lit(GAP_TITLE)), fixed(1, F.lit("")), fixed(2, figures), fixed(3, F.lit("")))
+    frame = total.select(F.explode(F.concat(opening, ending)).alias("_l")).select("_l.part", F.lit(0).cast("long").alias("priority"), F.lit("").alias("id"), "_l.line")
+    cells = F.concat_ws(" | ", F.col("priority").cast("string"), "name", "kind", F.concat_ws(" + ", "missing"), "reason")
+    table = gaps.select(F.lit(9).alias("part"), (-F.col("priority")).cast("long").alias("priority"), F.col("id"), F.concat(F.lit("| "), cells, F.lit(" |")).alias("line"))
+    return frame.unionByName(table).orderBy("part", "priority", "id")
+
+
 def gaps_markdown(view: dict[str, DataFrame]) -> str:
-    """A gap analysis as Markdown: a line of figures, and a table of the gaps or a line that says there are none."""
-    total = view["summary"].first()
-    count = lambda n, what: f"{n} {what} gap{'' if n == 1 else 's'}"
-    lines = ["# Gap Analysis", "", f"{count(total['functional_gaps'], 'functional')} · {count(total['technical_gaps'], 'technical')} · {total['fully_realised']} fully realised (of {total['total']} assessed)", ""]
-    body = [f"| {r['priority']} | {r['name']} | {r['kind']} | {' + '.join(r['missing'])} | {r['reason']} |" for r in view["gaps"].toLocalIterator()]
-    head = ["| Priority | Element | Kind | Missing | Reason |", "| --- | --- | --- | --- | --- |"]
-    return "\n".join(lines + (head + body if body else ["_No gaps: every assessed element is realised._"]))
+    """The lines of ``gap_lines`` as one text; the gaps of a report that people read."""
+    return "\n".join(r["line"] for r in gap_lines(view).toLocalIterator())
 
 
 class Engine:

@@ -445,7 +445,7 @@ def blocking_components(spark, sf):
     return resolution.candidate_blocks(_texts(spark, sf))
 
 
-@query("SELECT type, CAST(floor((row_number() OVER (PARTITION BY type ORDER BY name, id) - 1) / 40) AS INT) AS batch, id, name FROM (SELECT 'p' || p_partkey AS id, p_type AS type, p_name AS name FROM part WHERE p_size <= 40) x")
+@query("SELECT type, CAST(floor((row_number() OVER (ORDER BY name, id) - 1) / 40) AS INT) AS batch, id, name FROM (SELECT 'p' || p_partkey AS id, p_type AS type, p_name AS name FROM part WHERE p_size <= 40) x")
 def classification_batches(spark, sf):
     entities = _entities(spark, sf).drop("name").join(star.table(spark, sf, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("id"), F.col("p_name").alias("name")), "id")
     done = entities.where("confidence > 0.8").select(F.col("id").alias("subject"))

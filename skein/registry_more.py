@@ -284,12 +284,12 @@ def gaps_by_domain(spark, sf):
 # --- classification and resolution ------------------------------------------------------------------------------------------------
 
 
-@query("WITH b AS (SELECT type, id, name, CAST(floor((row_number() OVER (PARTITION BY type ORDER BY name, id) - 1) / 40) AS INT) AS batch FROM (SELECT 'p' || p_partkey AS id, p_type AS type, p_brand AS name FROM part) x) SELECT DISTINCT batch, name, id AS subject FROM b WHERE name IN ('Brand#11', 'Brand#3', 'Brand#23')")
+@query("WITH b AS (SELECT type, id, name, CAST(floor((row_number() OVER (ORDER BY name, id) - 1) / 40) AS INT) AS batch FROM (SELECT 'p' || p_partkey AS id, p_type AS type, p_brand AS name FROM part) x) SELECT DISTINCT type, batch, name, id AS subject FROM b WHERE name IN ('Brand#11', 'Brand#3', 'Brand#23')")
 def verdict_subjects(spark, sf):
     entities = _entities(spark, sf).select("id", "type", F.col("brand").alias("name"))
     batches = resolution.classification_batches(entities, spark.createDataFrame([], "subject string"))
     verdicts = batches.select("batch").distinct().withColumn("name", F.explode(F.array(F.lit("Brand#11"), F.lit("Brand#3"), F.lit("Brand#23"), F.lit("nothing"))))
-    return resolution.verdict_subjects(verdicts, batches).select("batch", "name", "subject")
+    return resolution.verdict_subjects(verdicts, batches).join(entities.select(F.col("id").alias("subject"), "type"), "subject").select("type", "batch", "name", "subject")
 
 
 @query("SELECT 'cls-s' || s_suppkey AS id, CASE WHEN s_suppkey % 4 = 0 THEN 'new' ELSE 'old' END AS disposition FROM supplier WHERE s_suppkey % 4 = 0 OR s_suppkey % 3 > 0 AND s_suppkey % 2 = 0")
@@ -314,13 +314,27 @@ def resolution_actions(spark, sf):
     return resolution.resolution_actions(star.table(spark, sf, "lineitem").select(F.col("l_partkey").alias("id"), F.col("l_suppkey").alias("other"), F.round(F.col("l_discount") * 10, 6).alias("similarity")))
 
 
-@query("WITH m AS (SELECT DISTINCT l_orderkey AS document, l_partkey // 2 AS id FROM lineitem), c AS (SELECT document, lead(document) OVER (PARTITION BY id ORDER BY document) AS other_document FROM m) SELECT document, other_document, count(*) AS n FROM c WHERE other_document IS NOT NULL GROUP BY ALL")
+@query("WITH m AS (SELECT DISTINCT l_orderkey AS document, l_partkey // 2 AS id FROM lineitem), k AS (SELECT id, count(*) AS documents FROM m GROUP BY id HAVING count(*) > 1) SELECT document, id, documents FROM m JOIN k USING (id)")
 def cross_document_relationships(spark, sf):
     line = star.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("document"), F.col("l_partkey").alias("id"))
     remap = line.select("id").distinct().withColumn("survivor", F.floor(F.col("id") / 2))
     return resolution.cross_document_relationships(line, remap)
 
 
+@query(
+    """WITH m AS (SELECT DISTINCT l_orderkey AS document, 'p' || l_partkey || '-' || l_suppkey AS id FROM lineitem UNION SELECT DISTINCT l_orderkey, 'flag ' || l_returnflag FROM lineitem),
+k AS (SELECT id, count(*) AS documents FROM m GROUP BY id),
+p AS (SELECT DISTINCT a.document, b.document AS other_document FROM m a JOIN m b ON a.id = b.id AND a.document < b.document JOIN k ON k.id = a.id WHERE documents <= 100)
+SELECT p.document, p.other_document, count(*) AS n FROM p JOIN m a ON a.document = p.document JOIN m b ON b.document = p.other_document AND b.id = a.id GROUP BY ALL"""
+)
+def related_documents(spark, sf):
+    """Orders that share a part of one supplier, with all parts and return flags that they share; a flag is shared by a third of all orders."""
+    lines = star.table(spark, sf, "lineitem")
+    part = F.concat(F.lit("p"), _s("l_partkey"), F.lit("-"), _s("l_suppkey"))
+    mentions = lines.select(F.col("l_orderkey").alias("document"), F.explode(F.array(part, F.concat(F.lit("flag "), F.col("l_returnflag")))).alias("id"))
+    return resolution.related_documents(mentions, spark.createDataFrame([], "id string, survivor string"))
+
+
 @query("WITH n AS (SELECT 'belongsTo' AS type, lower(n_name) AS source, lower(r_name) AS target, n_nationkey AS k FROM nation JOIN region ON r_regionkey = n_regionkey), c AS (SELECT CAST(count_if(k % 5 > 0 AND k % 4 > 0) AS BIGINT) AS tp, CAST(count_if(k % 5 > 0 AND k % 4 = 0) AS BIGINT) AS fp, CAST(count_if(k % 5 = 0 AND k % 4 > 0) AS BIGINT) AS fn FROM n) SELECT kind, tp, fp, fn FROM c, (SELECT 'belongsTo' AS kind UNION ALL SELECT NULL) y")
 def relation_scores(spark, sf):
     """Relations of some nations to their regions against other labels; one of an unknown end is dropped."""

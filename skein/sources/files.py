@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import content_hash, content_type, document_id
+from ..plans.tables import numbered, settled
 
 PROVENANCE = T.StructType([T.StructField(n, T.StringType()) for n in ("file", "location", "fetchedAt", "sourceAuthority")])
 ENTRY = T.StructType(
@@ -192,10 +193,26 @@ def manifest(spark: SparkSession, path: str, **facts) -> None:
 
 
 def companion_names(docs: DataFrame) -> DataFrame:
-    """docs with the name of a Markdown file for each, numbered where base names meet."""
+    """docs with the name of a Markdown file for each, numbered where base names meet; no two get one name.
+
+    A base name that is free is taken by its first document by path, the others are numbered from 2. Where such a number
+    is another document's own name, the numbered one goes on behind its base name's last number until it is free.
+    Numbers come from one order of all documents, so a base name of many documents is no task of its own.
+    """
     base = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", "")
-    n = F.row_number().over(Window.partitionBy(base).orderBy("path"))
-    return docs.withColumn("file", F.concat(base, F.when(n > 1, F.concat(F.lit("-"), n.cast("string"))).otherwise(F.lit("")), F.lit(".md")))
+    placed = numbered(docs.withColumn("_base", base), "_base", "path", name="_place")
+    firsts = placed.groupBy("_base").agg(F.min("_place").alias("_first"), F.count(F.lit(1)).alias("_last"))
+    named = placed.join(firsts, "_base").withColumn("_n", F.col("_place") - F.col("_first") + 1)
+    name = F.concat("_base", F.when(F.col("_n") > 1, F.concat(F.lit("-"), F.col("_n").cast("string"))).otherwise(F.lit("")), F.lit(".md"))
+    while True:
+        named = settled(named.withColumn("file", name), "companions")
+        keeper = named.groupBy("file").agg(F.min(F.struct((F.col("_n") > 1).alias("later"), "_base", "_place")).alias("_keeper"), F.count(F.lit(1)).alias("_wanted")).where("_wanted > 1")
+        if keeper.isEmpty():
+            return named.drop("_base", "_place", "_first", "_last", "_n")
+        judged = named.join(keeper.drop("_wanted"), "file", "left").withColumn("_lost", F.col("_keeper").isNotNull() & (F.col("_keeper._place") != F.col("_place")))
+        moved = F.when(F.col("_lost"), F.col("_last") + F.row_number().over(Window.partitionBy("_base", "_lost").orderBy("_place"))).otherwise(F.col("_n"))
+        judged = judged.withColumn("_n", moved).withColumn("_last", F.greatest("_last", F.max("_n").over(Window.partitionBy("_base"))))
+        named = judged.drop("_keeper", "_lost", "file")
 
 
 def write_companions(docs: DataFrame, folder: str) -> DataFrame:

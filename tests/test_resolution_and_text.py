@@ -61,6 +61,66 @@ def test_sections_and_chunks(spark):
     assert [r["location"] for r in documents.record_units(records).orderBy("index").collect()] == ["Record: q", "Record 2", "Record 3", "Record 4"]
 
 
+def test_pieces_against_strings(spark):
+    """Random texts, against putting the strings themselves together."""
+    import random
+
+    def packed(text, size, overlap):
+        text = text.strip()
+        if len(text) <= size:
+            return [text] * bool(text)
+        parts, out, queue = [p for p in text.split("\n\n") if p.strip()], [], ""
+        while parts:
+            take = 0
+            while take < len(parts) and len("\n\n".join([queue] * bool(queue) + parts[: take + 1])) <= size:
+                take += 1
+            body = "\n\n".join([queue] * bool(queue) + parts[:take])
+            parts = parts[take:]
+            if not body:
+                step = max(1, size - overlap)
+                out += [parts[0][i : i + size] for i in range(0, len(parts[0]), step)]
+                parts, queue = parts[1:], ""
+            elif not parts:
+                out.append(body)
+                queue = ""
+            else:
+                out.append(body)
+                queue = (body[-overlap:] + "\n\n" if overlap else "") + parts.pop(0)
+        return out + [queue] * bool(queue)
+
+    rng = random.Random(4)
+    texts = ["".join(rng.choice(["a", "é", "\U0001f600", " ", "\n", "\n\n", "\n\n", "word", "\u2003"]) for _ in range(rng.randrange(0, 60))) for _ in range(120)]
+    texts += ["x" * 90 + "\n\n" + "y" * 5 + "\n\n" + "z" * 90, "\n\n" * 40, " ", "a\n\n" * 50]
+    for size, overlap in ((20, 5), (20, 0), (7, 7), (30, 45)):
+        df = spark.createDataFrame(list(enumerate(texts)), "id int, content string")
+        out = {i: [] for i in range(len(texts))}
+        for r in documents.paragraph_chunks(df, size=size, overlap=overlap).orderBy("id", "index").collect():
+            out[r["id"]].append(r["content"])
+        assert out == {i: packed(t, size, overlap) for i, t in enumerate(texts)}
+
+
+def test_batches_and_verdicts(spark):
+    """Batches are cut from all types together, so one number and name mean one batch's subjects only."""
+    subjects = spark.createDataFrame([(f"{t}{i:03d}", t, f"n{i % 50:02d}") for t in "AB" for i in range(100)], "id string, type string, name string")
+    batches = resolution.classification_batches(subjects, spark.createDataFrame([("A000",)], "subject string"), size=7).collect()
+    order = sorted((r for r in batches), key=lambda r: (r["name"], r["id"]))
+    assert len(order) == 199 and [r["batch"] for r in order] == [i // 7 for i in range(199)]
+    table = spark.createDataFrame([(0, "a1", "A", "x"), (1, "b1", "B", "x"), (1, "a2", "A", "y")], "batch int, id string, type string, name string")
+    said = resolution.verdict_subjects(spark.createDataFrame([(0, "x"), (1, "z")], "batch int, name string"), table).collect()
+    assert [r["subject"] for r in said] == ["a1"]
+
+
+def test_documents_related_by_entities(spark):
+    mentions = [("d1", "e"), ("d2", "e"), ("d3", "e"), ("d1", "f"), ("d3", "f2"), ("d4", "g")] + [(f"d{i}", "hot") for i in range(1, 40)]
+    rows = spark.createDataFrame(mentions, "document string, id string")
+    remap = spark.createDataFrame([("f2", "f")], "id string, survivor string")
+    ties = {(r["document"], r["id"]): r["documents"] for r in resolution.cross_document_relationships(rows, remap).collect()}
+    assert ties[("d3", "f")] == 2 and ties[("d2", "e")] == 3 and ties[("d9", "hot")] == 39 and ("d4", "g") not in ties
+    pairs = {(r["document"], r["other_document"]): r["n"] for r in resolution.related_documents(rows, remap, most=10).collect()}
+    assert pairs == {("d1", "d2"): 2, ("d1", "d3"): 3, ("d2", "d3"): 2}
+    assert resolution.related_documents(rows, remap).count() == 39 * 38 // 2
+
+
 def test_document_chunks(spark):
     rows = [
         ("a", None, "x" * 30, "plaintext", None),

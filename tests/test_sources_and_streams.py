@@ -76,6 +76,9 @@ def test_entries(spark, tmp_path):
     assert json.loads(spark.read.text(str(tmp_path / "m")).first()[0]) == {"run": "r1", "n": 2}
     docs = spark.createDataFrame([("x/a.txt",), ("y/a.md",), ("b",)], "path string")
     assert {r["file"] for r in files.companion_names(docs).collect()} == {"a.md", "a-2.md", "b.md"}
+    meet = ["x/a.txt", "y/a.txt", "z/a-2.txt", "z/a.md", "q/a-4.md", "a-4-2", "r/a-4.txt", "b/a-3"]
+    names = {r["path"]: r["file"] for r in files.companion_names(spark.createDataFrame([(p,) for p in meet], "path string")).collect()}
+    assert len(set(names.values())) == len(meet) and names["x/a.txt"] == "a.md" and names["z/a-2.txt"] == "a-2.md" and names["b/a-3"] == "a-3.md"
 
 
 def test_stream_through_the_gate(spark, tmp_path):

@@ -139,6 +139,9 @@ def test_requests(spark, tmp_path):
     assert not ask("traverse", start="a", depth=2)["cache_hit"] and ask("traverse", start="a", depth=2)["cache_hit"]
     with pytest.raises(api.Rejected, match="cost"):
         ask("traverse", start="a", depth=4)
+    for field, args in (("traverse", {"start": "a"}), ("paths", {"source": "a", "target": "b"}), ("paths", {"source": "a", "target": "b", "depth": None})):
+        with pytest.raises(api.Rejected, match="cost of 100000"):
+            ask(field, **args)
     told = ask("ask", question="How are card and bank connected?")["data"]
     assert told["intent"] == "pathFinding" and [r["id"] for r in told["evidence"].collect()] == ["a", "c", "b"]
     assert ask("count")["data"]["entries_included"] == 3
@@ -149,7 +152,7 @@ def test_requests(spark, tmp_path):
         ask("nothing")
     assert one.execute({"field": "search", "args": {"text": "loan"}, "select": ["id"]}, "u")["data"].columns == ["id"]
     outcomes = [r["outcome"] for r in audit.read().collect()]
-    assert outcomes.count("refused") == 3 and outcomes.count("answered") == 7
+    assert outcomes.count("refused") == 6 and outcomes.count("answered") == 7
 
 
 def test_walks_with_large_frontiers(spark, monkeypatch):
@@ -247,6 +250,8 @@ def test_whole_views_and_renders(spark):
     assert [(r["id"], r["kind"], r["priority"]) for r in gaps["gaps"].collect()] == [("cap", "BusinessCapability", 1), ("con", "DomainConcept", 1)]
     text = views.gaps_markdown(gaps)
     assert "1 functional gap · 2 technical gaps · 0 fully realised (of 2 assessed)" in text and "| 1 | K | DomainConcept | L2 + L3 |" in text
+    assert text.split("\n")[4:6] == views.GAP_HEAD
+    assert views.gaps_markdown(views.gap_view(nodes, edges, maps, domain="none")).split("\n")[4:] == [views.GAP_NONE]
     assert "No gaps" in views.gaps_markdown(views.gap_view(nodes, edges, maps, domain="none"))
     lines = [r["line"] for r in views.domain_diagram(nodes, edges).collect()]
     assert lines == ['package "Sub" as sd {', '  package "Ctx\\n1 concepts · 0 services" as bc {', '    rectangle "Dec" as d <<Decision>>', '    rectangle "K" as con <<DomainConcept>>', "  }", "}", "d --> con : governs"]
