@@ -232,17 +232,6 @@ def contracted(edges: DataFrame, groups: DataFrame) -> DataFrame:
     return both.where("source <> target").groupBy("source", "target", "type").agg(F.count(F.lit(1)).alias("n"))
 
 
-def matched(nodes: DataFrame, edges: DataFrame, pattern: list[str | None]) -> DataFrame:
-    """n0, e0, n1, e1, ...: chains of nodes and edges whose types are as the pattern says (None: any), out-edges only."""
-    kind = lambda t: F.lit(True) if t is None else F.col("type") == t
-    rows = nodes.where(kind(pattern[0])).select(F.col("id").alias("n0"))
-    for i in range(1, len(pattern) // 2 + 1):
-        hop = edges.where(kind(pattern[2 * i - 1])).select(F.col("source_id").alias(f"n{i - 1}"), F.col("id").alias(f"e{i - 1}"), F.col("target_id").alias(f"n{i}"))
-        ends = nodes.where(kind(pattern[2 * i])).select(F.col("id").alias(f"n{i}"))
-        rows = rows.join(hop, f"n{i - 1}").join(ends, f"n{i}", "left_semi")
-    return rows.select(*[c for i in range(len(pattern) // 2 + 1) for c in ([f"n{i}", f"e{i}"] if i < len(pattern) // 2 else [f"n{i}"])])
-
-
 def degrees(edges: DataFrame) -> DataFrame:
     """id, out_degree, in_degree, degree."""
     both = edges.select(F.col("source_id").alias("id"), F.lit(1).alias("o"), F.lit(0).alias("i")).unionByName(edges.select(F.col("target_id").alias("id"), F.lit(0).alias("o"), F.lit(1).alias("i")))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .functions import documents as docs_f
 from .functions import quality as q
 from .functions import text as tx
-from .operators import display, evaluation, extraction, gates, graph, mapping, resolution, search, store
+from .operators import display, evaluation, extraction, gates, graph, mapping, patterns, resolution, search, store
 from .plans import views
 from .registry import _CROSS, _LINKS, _RESOLVED, _SCORES, _TREE, COVER, GRAPH, _both, _dimensions, _entities, _gated, _scores, query
 from .sources import star
@@ -194,10 +194,39 @@ def edge_multiplicity(spark, sf):
     return graph.multiplicity(lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(_id("c", "o_custkey").alias("source_id"), _id("s", "l_suppkey").alias("target_id")))
 
 
-@query(GRAPH + "SELECT a.source_id AS n0, a.target_id AS n1, b.target_id AS n2 FROM edges a JOIN edges b ON b.source_id = a.target_id WHERE a.type = 'consumes' AND b.type = 'belongsTo' AND b.target_id = 'n7'")
+_ONCE = GRAPH.replace(" AS (", " AS MATERIALIZED (", 1).replace("edges AS (", "edges AS MATERIALIZED (", 1)
+
+
+@query(_ONCE + ", b AS MATERIALIZED (SELECT * FROM edges WHERE type = 'belongsTo' AND target_id = 'n7') SELECT a.source_id AS n0, a.id AS e0, a.target_id AS n1, b.id AS e1, b.target_id AS n2 FROM edges a JOIN b ON b.source_id = a.target_id WHERE a.type = 'consumes'")
 def pattern_match(spark, sf):
-    found = graph.matched(*_both(spark, sf), ["DomainConcept", "consumes", "Service", "belongsTo", "BoundedContext"])
-    return found.where("n2 = 'n7'").select("n0", "n1", "n2")
+    """A path: concepts that consume services of one context."""
+    path = patterns.chain(["DomainConcept", "consumes", "Service", "belongsTo", "BoundedContext"])
+    one = patterns.Pattern(path.nodes | {"n2": patterns.Node("BoundedContext", "id = 'n7'")}, path.hops)
+    return patterns.matches(*_both(spark, sf), one)
+
+
+@query(_ONCE + ", b AS MATERIALIZED (SELECT * FROM edges WHERE type = 'belongsTo') SELECT r.source_id AS context, r.target_id AS domain, c.source_id AS concept, s.source_id AS service FROM b r JOIN b c ON c.target_id = r.source_id JOIN nodes cn ON cn.id = c.source_id JOIN b s ON s.target_id = r.source_id JOIN nodes sn ON sn.id = s.source_id WHERE r.target_id LIKE 'r%' AND cn.type = 'DomainConcept' AND cn.segment = 'BUILDING' AND sn.type = 'Service' AND sn.lifecycle_status = 'active'")
+def pattern_star(spark, sf):
+    """A star: contexts with their domain, a concept of one segment and an active service."""
+    nodes = {"context": patterns.Node("BoundedContext"), "domain": patterns.Node("Subdomain"), "concept": patterns.Node("DomainConcept", "segment = 'BUILDING'"), "service": patterns.Node("Service", "lifecycle_status = 'active'")}
+    hops = [patterns.Hop("context", "domain", ("belongsTo",)), patterns.Hop("concept", "context", ("belongsTo",)), patterns.Hop("service", "context", ("belongsTo",))]
+    return patterns.matches(*_both(spark, sf), patterns.Pattern(nodes, hops)).select(*nodes)
+
+
+@query(_ONCE + ", b AS MATERIALIZED (SELECT * FROM edges WHERE type = 'belongsTo') SELECT e.source_id AS concept, e.target_id AS service, c.target_id AS context, e.id AS consumes FROM edges e JOIN b c ON c.source_id = e.source_id JOIN b s ON s.source_id = e.target_id AND s.target_id = c.target_id WHERE e.type = 'consumes'")
+def pattern_triangle(spark, sf):
+    """A triangle: concepts that consume a service of their own context."""
+    nodes = {"concept": patterns.Node("DomainConcept"), "service": patterns.Node("Service"), "context": patterns.Node("BoundedContext")}
+    hops = [patterns.Hop("concept", "service", ("consumes",), "consumes"), patterns.Hop("concept", "context", ("belongsTo",)), patterns.Hop("service", "context", ("belongsTo",))]
+    return patterns.matches(*_both(spark, sf), patterns.Pattern(nodes, hops)).select(*nodes, "consumes")
+
+
+@query(_ONCE + ", w2 AS (SELECT DISTINCT a.source_id AS s, b.target_id AS t FROM edges a JOIN edges b ON b.source_id = a.target_id WHERE a.source_id LIKE 'c%'), w3 AS (SELECT DISTINCT w2.s, e.target_id AS t FROM w2 JOIN edges e ON e.source_id = w2.t), w AS (SELECT s, t, min(k) AS steps FROM (SELECT s, t, 2 AS k FROM w2 UNION ALL SELECT s, t, 3 FROM w3) x GROUP BY ALL) SELECT w.s AS concept, w.t AS domain, w.steps, e.source_id AS context FROM w JOIN edges e ON e.target_id = w.t AND e.type = 'belongsTo' JOIN nodes n ON n.id = w.s WHERE w.t LIKE 'r%' AND n.segment = 'MACHINERY' AND n.lifecycle_status = 'draft' AND e.source_id LIKE 'n%'")
+def pattern_walks(spark, sf):
+    """Walks of two or three edges of any type from some concepts to domains, and the domains' contexts."""
+    nodes = {"concept": patterns.Node("DomainConcept", "segment = 'MACHINERY' and lifecycle_status = 'draft'"), "domain": patterns.Node("Subdomain"), "context": patterns.Node("BoundedContext")}
+    hops = [patterns.Hop("concept", "domain", None, "steps", 2, 3), patterns.Hop("context", "domain", ("belongsTo",))]
+    return patterns.matches(*_both(spark, sf), patterns.Pattern(nodes, hops)).select(*nodes, "steps")
 
 
 @query(GRAPH + "SELECT id, type, name FROM nodes WHERE type IN ('Service', 'Subdomain') OR id IN ('n1', 'n2')")
@@ -322,10 +351,12 @@ def cross_document_relationships(spark, sf):
 
 
 @query(
-    """WITH m AS (SELECT DISTINCT l_orderkey AS document, 'p' || l_partkey || '-' || l_suppkey AS id FROM lineitem UNION SELECT DISTINCT l_orderkey, 'flag ' || l_returnflag FROM lineitem),
-k AS (SELECT id, count(*) AS documents FROM m GROUP BY id),
-p AS (SELECT DISTINCT a.document, b.document AS other_document FROM m a JOIN m b ON a.id = b.id AND a.document < b.document JOIN k ON k.id = a.id WHERE documents <= 100)
-SELECT p.document, p.other_document, count(*) AS n FROM p JOIN m a ON a.document = p.document JOIN m b ON b.document = p.other_document AND b.id = a.id GROUP BY ALL"""
+    """WITH parts AS MATERIALIZED (SELECT DISTINCT l_orderkey AS document, 'p' || l_partkey || '-' || l_suppkey AS id FROM lineitem),
+flags AS MATERIALIZED (SELECT DISTINCT l_orderkey AS document, l_returnflag AS id FROM lineitem),
+few AS MATERIALIZED (SELECT id FROM parts GROUP BY id HAVING count(*) BETWEEN 2 AND 100),
+p AS MATERIALIZED (SELECT a.document, b.document AS other_document, count(*) AS n FROM parts a JOIN few USING (id) JOIN parts b ON b.id = a.id AND a.document < b.document GROUP BY ALL),
+f AS (SELECT p.document, p.other_document, count(*) AS more FROM p JOIN flags a ON a.document = p.document JOIN flags b ON b.document = p.other_document AND b.id = a.id GROUP BY ALL)
+SELECT document, other_document, n + coalesce(more, 0) AS n FROM p LEFT JOIN f USING (document, other_document)"""
 )
 def related_documents(spark, sf):
     """Orders that share a part of one supplier, with all parts and return flags that they share; a flag is shared by a third of all orders."""
