@@ -8,7 +8,8 @@ from .functions import documents as docs_f
 from .functions import quality as q
 from .functions import text as tx
 from .operators import display, evaluation, extraction, gates, graph, mapping, patterns, resolution, search, store
-from .plans import views
+from .plans import upkeep, views
+from .plans.tables import new_path
 from .registry import _CROSS, _LINKS, _RESOLVED, _SCORES, _TREE, COVER, GRAPH, _both, _dimensions, _entities, _gated, _scores, query
 from .sources import star
 
@@ -237,6 +238,62 @@ def subgraph_merge(spark, sf):
     return graph.merged_subgraphs(a, b)[0].select("id", "type", "name")
 
 
+# --- views kept up to date ------------------------------------------------------------------------------------
+
+
+def _upkept(spark, sf):
+    """Three batches: all nodes and edges but some; then a third of the suppliers moves to the next nation, some concepts go and
+    others turn to capabilities; then the moved ones' edges of one kind go again, and mappings come and go."""
+    nodes, edges = _both(spark, sf)
+    nodes, kept = nodes.select("id", "type", "name"), upkeep.Upkeep(spark, new_path(spark, "upkeep"), buckets=8)
+    put = lambda df, m: df.withColumn("m", F.lit(m))
+    k = F.substring("id", 2, 20).cast("int")
+    concept, service = F.col("type") == "DomainConcept", F.col("type") == "Service"
+    serves = edges.where("type = 'consumes'").select(F.concat(F.lit("f-"), "id").alias("id"), F.when(F.crc32("id") % 2 == 0, "fulfils").otherwise("implements").alias("type"), F.col("target_id").alias("source_id"), F.col("source_id").alias("target_id"))
+    kept.apply(1, put(nodes.where(~(concept & (k % 11 == 0))), 1), put(edges.unionByName(serves.where("type = 'fulfils'")), 1))
+    moving = star.table(spark, sf, "supplier").where("s_suppkey % 3 = 0")
+    at = lambda step: F.concat(F.lit("n"), ((F.col("s_nationkey") + step) % 25).cast("string"))
+    own = lambda step: moving.select(F.concat(F.lit("e-"), _id("s", "s_suppkey"), F.lit("-"), at(step)).alias("id"), F.lit("belongsTo").alias("type"), _id("s", "s_suppkey").alias("source_id"), at(step).alias("target_id"))
+    turned = nodes.where(concept & (k % 11 != 0) & (k % 5 == 0))
+    gone = nodes.where(concept & (k % 11 != 0) & (k % 7 == 0))
+    changed = put(nodes.where(concept & (k % 11 == 0)), 1).unionByName(put(turned, -1)).unionByName(put(turned.withColumn("type", F.lit("BusinessCapability")), 1))
+    kept.apply(2, changed, put(own(0), -1).unionByName(put(own(1), 1)).unionByName(put(serves.where("type = 'implements'"), 1)))
+    last = put(gone.where(k % 5 != 0), -1).unionByName(put(gone.where(k % 5 == 0).withColumn("type", F.lit("BusinessCapability")), -1))
+    few = serves.where(F.substring("source_id", 2, 20).cast("int") % 3 == 0)
+    said = star.table(spark, sf, "customer").where("c_custkey % 4 = 0").select(_id("m", "c_custkey").alias("id"), _id("c", "c_custkey").alias("target_id"), F.when(F.col("c_custkey") % 3 == 0, "full").otherwise("partial").alias("coverage"))
+    kept.apply(3, last, put(few, -1), put(said, 1))
+    kept.apply(4, mappings=put(said.where("coverage = 'full' and target_id like '%4'"), -1))
+    kept.apply(3, nodes=put(nodes, -1))  # a repeated batch changes nothing
+    return kept
+
+
+_UPKEPT = _ONCE + """, n2 AS MATERIALIZED (SELECT id, name, k, CASE WHEN type = 'DomainConcept' AND k % 5 = 0 AND k % 11 <> 0 THEN 'BusinessCapability' ELSE type END AS type FROM (SELECT *, TRY_CAST(substr(id, 2) AS INT) AS k FROM nodes) x WHERE NOT (type = 'DomainConcept' AND k % 11 <> 0 AND k % 7 = 0)),
+b2 AS MATERIALIZED (SELECT source_id, CASE WHEN source_id LIKE 's%' AND CAST(substr(source_id, 2) AS INT) % 3 = 0 THEN 'n' || ((CAST(substr(target_id, 2) AS INT) + 1) % 25) ELSE target_id END AS target_id FROM edges WHERE type = 'belongsTo'),
+f2 AS MATERIALIZED (SELECT 'f-' || id AS id, target_id AS source_id, source_id AS target_id FROM edges WHERE type = 'consumes' AND CAST(substr(target_id, 2) AS INT) % 3 <> 0),
+"""
+
+
+@query(_UPKEPT + "m2 AS (SELECT DISTINCT b2.source_id, b2.target_id, n2.type FROM b2 JOIN n2 ON n2.id = b2.source_id) SELECT n2.id, CAST(count_if(m2.type = 'DomainConcept') AS BIGINT) AS concepts, CAST(count_if(m2.type = 'Service') AS BIGINT) AS services FROM n2 LEFT JOIN m2 ON m2.target_id = n2.id WHERE n2.type = 'BoundedContext' GROUP BY n2.id")
+def upkept_contexts(spark, sf):
+    """Members of contexts after four batches of changes, as a recomputation has them."""
+    return _upkept(spark, sf).context_counts()
+
+
+@query(_UPKEPT + "m2 AS MATERIALIZED (SELECT b2.source_id AS member, max(b2.target_id) AS context FROM b2 WHERE b2.target_id LIKE 'n%' GROUP BY 1), kinds AS (SELECT id, type, source_id, target_id FROM edges WHERE type = 'consumes') SELECT a.context AS source, b.context AS target, k.type, count(DISTINCT k.id) AS strength FROM kinds k JOIN m2 a ON a.member = k.source_id JOIN m2 b ON b.member = k.target_id WHERE a.context <> b.context GROUP BY ALL")
+def upkept_links(spark, sf):
+    """Edges between contexts after the same batches."""
+    return _upkept(spark, sf).cross_context().where("type = 'consumes'")
+
+
+@query(
+    _UPKEPT
+    + "i2 AS (SELECT target_id AS id, count(*) AS incoming FROM (SELECT target_id FROM f2 UNION ALL SELECT target_id FROM b2 UNION ALL SELECT target_id FROM edges WHERE type = 'consumes') x GROUP BY 1), m2 AS (SELECT 'c' || c_custkey AS id, c_custkey % 3 = 0 AS full FROM customer WHERE c_custkey % 4 = 0 AND NOT (c_custkey % 3 = 0 AND c_custkey % 10 = 4)) SELECT n2.id, coalesce(incoming, 0) AS incoming, coalesce(m2.full, false) AS any_full, m2.id IS NOT NULL AS any_mapped FROM n2 LEFT JOIN i2 USING (id) LEFT JOIN m2 ON m2.id = n2.id WHERE n2.type IN ('DomainConcept', 'BusinessCapability')"
+)
+def upkept_coverage(spark, sf):
+    """Coverage of elements after the same batches; kinds of edges are held against a recomputation in the tests."""
+    return _upkept(spark, sf).coverage().select("id", "incoming", "any_full", "any_mapped")
+
+
 # --- views as a whole ---------------------------------------------------------------------------------------------------------
 
 
