@@ -18,18 +18,13 @@ changes that cancel out touch nothing; an empty batch only advances the version.
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import realisation
+from .keyed import BUCKETS, Keyed, columns, summed
 from .tables import settled
 
-BUCKETS = 64
-#: Versions whose folders ``vacuum`` keeps.
-KEPT = 2
-
 NODE = "id string, type string, name string"
 EDGE = "id string, type string, source_id string, target_id string"
 MAPPING = "id string, target_id string, coverage string"
@@ -37,23 +32,13 @@ MEMBER, ROWS = ["DomainConcept", "Service"], ["BusinessCapability", "DomainConce
 
 #: State: (columns that identify a row, the one it is bucketed by, columns that are summed).
 STATES = {
-    "nodes": (["id", "type", "name"], "id", ["m"]),
-    "edges_out": (["id", "type", "source_id", "target_id"], "source_id", ["m"]),
-    "edges_in": (["id", "type", "source_id", "target_id"], "target_id", ["m"]),
-    "contexts": (["id"], "id", ["contexts", "concepts", "services"]),
-    "links": (["source", "target", "type"], "source", ["strength"]),
-    "elements": (["id"], "id", ["rows", "fulfils", "specifies", "technical", "incoming", "full", "mapped"]),
+    "nodes": (NODE, "id", ["m"]),
+    "edges_out": (EDGE, "source_id", ["m"]),
+    "edges_in": (EDGE, "target_id", ["m"]),
+    "contexts": ("id string", "id", ["contexts", "concepts", "services"]),
+    "links": ("source string, target string, type string", "source", ["strength"]),
+    "elements": ("id string", "id", ["rows", "fulfils", "specifies", "technical", "incoming", "full", "mapped"]),
 }
-KINDS = {"nodes": NODE, "edges_out": EDGE, "edges_in": EDGE, "contexts": "id string", "links": "source string, target string, type string", "elements": "id string"}
-
-
-def _summed(rows: DataFrame, keys: list[str], sums: list[str]) -> DataFrame:
-    """Sums per key, without keys whose sums are all zero."""
-    out = rows.groupBy(*keys).agg(*(F.sum(s).cast("long").alias(s) for s in sums))
-    some = F.lit(False)
-    for s in sums:
-        some |= F.col(s) != 0
-    return out.where(some)
 
 
 def _there(rows: DataFrame) -> DataFrame:
@@ -65,58 +50,11 @@ def _signed(new: DataFrame, old: DataFrame) -> DataFrame:
     return new.withColumn("_d", F.lit(1)).unionByName(old.withColumn("_d", F.lit(-1)))
 
 
-class Upkeep:
-    """A folder of states and their manifests; ``version`` is the number of the last batch that took effect.
-
-    ``buckets`` is set once for a folder: at least as many as a batch's work should be spread over.
-    """
+class Upkeep(Keyed):
+    """The base tables and views; ``version`` is the number of the last batch that took effect."""
 
     def __init__(self, spark: SparkSession, folder: str, buckets: int = BUCKETS) -> None:
-        self.spark, self.folder, self.buckets = spark, folder.rstrip("/"), buckets
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        self._path = path
-        self._fs = path(self.folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        self._fs.mkdirs(path(f"{self.folder}/manifests"))
-        found = sorted(int(s.getPath().getName()) for s in self._fs.listStatus(path(f"{self.folder}/manifests")) if s.getPath().getName().isdigit())
-        self.version = found[-1] if found else 0
-        self._where = self._manifest(self.version) if found else {name: {} for name in STATES}
-
-    def _manifest(self, version: int) -> dict[str, dict[str, str]]:
-        return json.loads(self.spark.read.text(f"{self.folder}/manifests/{version}", wholetext=True).first()[0])
-
-    # --- states ---
-
-    def _bucket(self, column: str) -> Column:
-        return F.pmod(F.xxhash64(column), F.lit(self.buckets)).cast("int")
-
-    def _read(self, name: str, buckets: list[int] | None = None) -> DataFrame:
-        keys, _, sums = STATES[name]
-        schema = f"{KINDS[name]}, " + ", ".join(f"{s} bigint" for s in sums)
-        held = self._where[name]
-        paths = [p for b, p in held.items() if buckets is None or int(b) in buckets]
-        rows = self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
-        return rows.select(*keys, *sums)
-
-    def _at(self, name: str, ids: DataFrame) -> DataFrame:
-        """A state's rows of some ids (id); only their buckets are read, at most one number a bucket comes to the driver."""
-        _, by, _ = STATES[name]
-        buckets = [r[0] for r in ids.select(self._bucket("id")).distinct().collect()]
-        named = ids.select(F.col("id").alias(by)).distinct()
-        return self._read(name, buckets).join(named, by, "left_semi")
-
-    def _merged(self, name: str, delta: DataFrame, number: int) -> dict[str, str]:
-        """Where each bucket of a state is once the differences are in it; buckets without any stay where they are."""
-        keys, by, sums = STATES[name]
-        delta = settled(_summed(delta, keys, sums), f"delta-{name}")
-        buckets = [r[0] for r in delta.select(self._bucket(by)).distinct().collect()]
-        if not buckets:
-            return self._where[name]
-        rows = _summed(self._read(name, buckets).unionByName(delta.select(*keys, *sums)), keys, sums)
-        place = f"{self.folder}/{name}/{number}"
-        rows.withColumn("_bucket", self._bucket(by)).repartition("_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(place)
-        written = {s.getPath().getName().partition("=")[2] for s in self._fs.listStatus(self._path(place))}
-        out = {b: p for b, p in self._where[name].items() if int(b) not in buckets}
-        return out | {str(b): f"{place}/_bucket={b}" for b in buckets if str(b) in written}
+        super().__init__(spark, folder, STATES, buckets)
 
     # --- batches ---
 
@@ -125,9 +63,9 @@ class Upkeep:
         if number <= self.version:
             return False
         none = lambda kind: self.spark.createDataFrame([], f"{kind}, m bigint")
-        take = lambda df, kind: none(kind) if df is None else df.select(*[c.split()[0] for c in kind.split(", ")], F.col("m").cast("long").alias("m"))
-        dn = settled(_summed(take(nodes, NODE), STATES["nodes"][0], ["m"]), "changed-nodes")
-        de = settled(_summed(take(edges, EDGE), STATES["edges_out"][0], ["m"]), "changed-edges")
+        take = lambda df, kind: none(kind) if df is None else df.select(*columns(kind), F.col("m").cast("long").alias("m"))
+        dn = settled(summed(take(nodes, NODE), columns(NODE), ["m"]), "changed-nodes")
+        de = settled(summed(take(edges, EDGE), columns(EDGE), ["m"]), "changed-edges")
         dm = take(mappings, MAPPING)
         where = dict(self._where)
         graph = not (dn.isEmpty() and de.isEmpty())
@@ -140,34 +78,18 @@ class Upkeep:
         self._commit(number, where)
         return True
 
-    def _commit(self, number: int, where: dict) -> None:
-        out = self._fs.create(self._path(f"{self.folder}/manifests/{number}"), False)
-        out.write(bytearray(json.dumps(where).encode()))
-        out.close()
-        self.version, self._where = number, where
-
-    def vacuum(self) -> None:
-        """Delete the folders that only older manifests name."""
-        names = sorted(int(s.getPath().getName()) for s in self._fs.listStatus(self._path(f"{self.folder}/manifests")))
-        used = {p for n in names[-KEPT:] for held in self._manifest(n).values() for p in held.values()}
-        for n in names[:-KEPT]:
-            for held in self._manifest(n).values():
-                for p in set(held.values()) - used:
-                    self._fs.delete(self._path(p), True)
-            self._fs.delete(self._path(f"{self.folder}/manifests/{n}"), False)
-
     # --- old and new rows of touched keys ---
 
     def _nodes_of(self, ids: DataFrame, dn: DataFrame) -> tuple[DataFrame, DataFrame]:
         old = self._at("nodes", ids)
-        new = _summed(old.unionByName(dn.join(ids.select("id").distinct(), "id", "left_semi")), STATES["nodes"][0], ["m"])
+        new = summed(old.unionByName(dn.join(ids.select("id").distinct(), "id", "left_semi")), columns(NODE), ["m"])
         return _there(old), _there(new)
 
     def _edges_of(self, name: str, ids: DataFrame, de: DataFrame) -> tuple[DataFrame, DataFrame]:
         _, by, _ = STATES[name]
         old = self._at(name, ids)
         mine = de.join(ids.select(F.col("id").alias(by)).distinct(), by, "left_semi").select(*old.columns)
-        return _there(old), _there(_summed(old.unionByName(mine), STATES[name][0], ["m"]))
+        return _there(old), _there(summed(old.unionByName(mine), columns(EDGE), ["m"]))
 
     def _touched_members(self, dn: DataFrame, de: DataFrame) -> DataFrame:
         """Ids whose type or context may change: changed nodes, sources of changed memberships, members of changed contexts."""
