@@ -16,7 +16,9 @@ import hashlib
 import re
 import struct
 import zlib
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import ahocorasick
 import numpy as np
@@ -243,28 +245,43 @@ def _ogg(data: memoryview, at: int) -> int:
 _PDF_GOES_ON = re.compile(rb"(?:[\0\t\n\f\r ]+|%(?!PDF-)[^\r\n]*[\r\n])*(?:\d+[\0\t\n\f\r ]+\d+[\0\t\n\f\r ]+obj\b|xref\b|endstream\b)")
 
 
+@lru_cache(maxsize=1)
+def _pdf_ends(raw: bytes) -> list[int]:
+    """Where the end marks of some bytes are; found once for all heads in them."""
+    return [m.start() for m in re.finditer(b"%%EOF", raw)]
+
+
 def _pdf(data: memoryview, at: int) -> int:
     """Up to the end mark of the last revision."""
-    raw, end, found = data.obj, 0, data.obj.find(b"%%EOF", at + 9)
-    while found >= 0:
-        end = found + 5
-        found = raw.find(b"%%EOF", end) if _PDF_GOES_ON.match(raw, end) else -1
+    marks, end = _pdf_ends(data.obj), 0
+    for i in range(bisect_left(marks, at + 9), len(marks)):
+        end = marks[i] + 5
+        if not _PDF_GOES_ON.match(data.obj, end):
+            break
     return end - at if end else 0
 
 
+@lru_cache(maxsize=1)
+def _zip_archives(raw: bytes) -> dict[int, int]:
+    """Start -> length of the archives in some bytes: an end record tells where its archive starts, the first one that fits counts."""
+    out: dict[int, int] = {}
+    for end in (m.start() for m in re.finditer(b"PK\5\6", raw)):
+        if end + 22 > len(raw):
+            continue
+        entries, size, offset, note = struct.unpack_from("<HIIH", raw, end + 10)
+        start, pos = end - size - offset, end - size
+        if start < 0 or start in out or end + 22 + note > len(raw):
+            continue
+        while pos + 46 <= end and raw[pos : pos + 4] == b"PK\1\2":
+            pos, entries = pos + 46 + sum(struct.unpack_from("<HHH", raw, pos + 28)), entries - 1
+        if pos == end and entries == 0:
+            out[start] = end + 22 + note - start
+    return out
+
+
 def _zip(data: memoryview, at: int) -> int:
     """Up to the first end record whose directory of entries lies just before it, counted from ``at``."""
-    end = data.obj.find(b"PK\5\6", at)
-    while 0 <= end and end + 22 <= len(data):
-        entries, size, offset, note = struct.unpack_from("<HIIH", data, end + 10)
-        if at + offset + size == end and end + 22 + note <= len(data):
-            pos = at + offset
-            while pos + 46 <= end and data[pos : pos + 4] == b"PK\1\2":
-                pos, entries = pos + 46 + sum(struct.unpack_from("<HHH", data, pos + 28)), entries - 1
-            if pos == end and entries == 0:
-                return end + 22 + note - at
-        end = data.obj.find(b"PK\5\6", end + 4)
-    return 0
+    return _zip_archives(data.obj).get(at, 0)
 
 
 #: (media type, magic bytes, validator)
@@ -311,6 +328,8 @@ def identify(data: bytes, finder: ahocorasick.Automaton) -> tuple[str, list[tupl
                     spans.append((name, start, length))
                     done = start + length
                 break
+    _pdf_ends.cache_clear()  # they hold the bytes
+    _zip_archives.cache_clear()
     return kind, spans
 
 

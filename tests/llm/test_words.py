@@ -231,3 +231,30 @@ def test_draws_and_shares(spark):
     assert abs(forms["plain"] - 2000) < 150 and abs(forms["spm"] - 1600) < 150 and abs(forms["psm"] - 400) < 90
     assert infill.transformed(docs, rate=0).where("form <> 'plain'").isEmpty()
     assert infill.transformed(docs, rate=100, spm_rate=0).where("form <> 'psm'").isEmpty()
+
+
+# --- heads without ends ------------------------------------------------------------------------------------
+
+
+def test_many_heads_take_time_in_proportion():
+    """Local headers and end records that never fit, PDF heads without an end mark, heads that share one end."""
+    import io
+    import time
+    import zipfile
+
+    from skein.llm import media
+
+    finder = media.automaton()
+    began = time.process_time()
+    for junk in (b"PK\3\4aaPK\5\6" * 40_000, b"%PDF-1.4 " * 40_000, b"PK\3\4" * 80_000 + b"PK\5\6" + b"\0" * 18):
+        assert media.identify(junk, finder)[1] == []
+    assert time.process_time() - began < 20
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("a", "some text")
+        z.writestr("b", "%PDF-1.4 %%EOF")
+    archive = out.getvalue()
+    lead = b"PK\3\4aaPK\5\6" * 1000
+    assert ("application/zip", len(lead), len(archive)) in media.identify(lead + archive + lead, finder)[1]
+    both = b"x%PDF-1.4 a %PDF-1.5 b %%EOF tail %%EOF"
+    assert media.identify(both, finder)[1] == [("application/pdf", 1, both.index(b" tail") - 1)]
