@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .functions import documents as docs_f
 from .functions import quality as q
 from .functions import text as tx
-from .operators import display, evaluation, extraction, gates, graph, mapping, patterns, resolution, search, store
+from .operators import dependencies, display, evaluation, extraction, gates, graph, mapping, patterns, resolution, search, store
 from .plans import upkeep, views
 from .plans.tables import new_path
 from .registry import _CROSS, _LINKS, _RESOLVED, _SCORES, _TREE, COVER, GRAPH, _both, _dimensions, _entities, _gated, _scores, query
@@ -238,6 +239,26 @@ def subgraph_merge(spark, sf):
     return graph.merged_subgraphs(a, b)[0].select("id", "type", "name")
 
 
+# --- dependencies -------------------------------------------------------------------------------------------------
+
+_RUNS = """WITH o AS (SELECT o_orderkey AS id, {'c': o_custkey, 'y': year(o_orderdate)} AS who, o_orderstatus AS s, row_number() OVER w AS k, coalesce(lag(o_orderstatus) OVER w = o_orderstatus, false) AS same FROM orders WINDOW w AS (PARTITION BY o_custkey, year(o_orderdate) ORDER BY o_orderdate, o_orderkey)),
+r AS (SELECT *, count_if(NOT same) OVER (PARTITION BY who ORDER BY k) AS run, count(*) OVER (PARTITION BY who) AS n FROM o) """
+
+
+def _order_edges(spark, sf):
+    """Each order depends on its customer's next one of the year, and on the one before if both have the same status."""
+    w = Window.partitionBy("o_custkey", F.year("o_orderdate")).orderBy("o_orderdate", "o_orderkey")
+    lined = star.table(spark, sf, "orders").select(F.col("o_orderkey").alias("source_id"), F.lead("o_orderkey").over(w).alias("next"), (F.lead("o_orderstatus").over(w) == F.col("o_orderstatus")).alias("same"))
+    on = lined.where("next is not null").select("source_id", F.col("next").alias("target_id"), "same")
+    return on.select("source_id", "target_id").unionByName(on.where("same").select(F.col("target_id").alias("source_id"), F.col("source_id").alias("target_id")))
+
+
+@query(_RUNS + "SELECT id, max(id) OVER (PARTITION BY who, run) AS component, count(*) OVER (PARTITION BY who, run) AS size, CAST(max(run) OVER (PARTITION BY who) - run AS INT) AS layer FROM r WHERE n > 1")
+def dependency_layers(spark, sf):
+    """Runs of orders of one status are circles, and a customer's runs in a year a chain."""
+    return dependencies.members(_order_edges(spark, sf))[0]
+
+
 # --- views kept up to date ------------------------------------------------------------------------------------
 
 
