@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .functions import documents as docs_f
 from .functions import quality as q
 from .functions import text as tx
-from .operators import dependencies, display, evaluation, extraction, gates, graph, mapping, patterns, resolution, search, store
+from .operators import dependencies, display, evaluation, extraction, gates, graph, mapping, patterns, resolution, search, store, textindex
 from .plans import upkeep, views
 from .plans.tables import new_path
 from .registry import _CROSS, _LINKS, _RESOLVED, _SCORES, _TREE, COVER, GRAPH, _both, _dimensions, _entities, _gated, _scores, query
@@ -259,6 +259,25 @@ def dependency_layers(spark, sf):
     return dependencies.members(_order_edges(spark, sf))[0]
 
 
+# --- keyword search ---------------------------------------------------------------------------------------------------
+
+
+@query(
+    """WITH d AS MATERIALIZED (SELECT doc_id AS doc, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS ws FROM documents),
+s AS (SELECT count(*) AS n, avg(len(ws)) AS average FROM d), q AS MATERIALIZED (SELECT DISTINCT item_id AS query, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS word FROM benchmark),
+p AS MATERIALIZED (SELECT doc, len, word, count(*) AS tf FROM (SELECT doc, len(ws) AS len, unnest(ws) AS word FROM d) x WHERE word IN (SELECT word FROM q) GROUP BY ALL),
+f AS MATERIALIZED (SELECT word, ln(1 + (n - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM p, s GROUP BY word, n),
+r AS (SELECT query, doc, round(sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / average))), 6) AS score FROM q JOIN f USING (word) JOIN p USING (word), s GROUP BY query, doc)
+SELECT query, doc, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS INT) AS place FROM r QUALIFY place <= 10"""
+)
+def keyword_bm25(spark, sf):
+    """The ten best documents for the text of every benchmark item."""
+    folder = new_path(spark, "text-index")
+    textindex.build(star.table(spark, sf, "documents"), folder, "doc_id", "text", buckets=16)
+    found = textindex.TextIndex(spark, folder).search(star.table(spark, sf, "benchmark"), 10, "item_id", "text")
+    return found.select("query", "doc", "place")
+
+
 # --- views kept up to date ------------------------------------------------------------------------------------
 
 
