@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .functions import documents as docs_f
+from .functions import jsonschema
 from .functions import quality as q
 from .functions import text as tx
 from .operators import dependencies, display, evaluation, extraction, gates, graph, mapping, patterns, resolution, search, store, textindex
@@ -259,6 +260,34 @@ def dependency_layers(spark, sf):
     return dependencies.members(_order_edges(spark, sf))[0]
 
 
+# --- schemas --------------------------------------------------------------------------------------------------------
+
+_CUSTOMER = {
+    "$defs": {"place": {"type": "object", "required": ["key"], "properties": {"key": {"type": "integer", "maximum": 21}}, "additionalProperties": False}},
+    "type": "object",
+    "required": ["name", "segment"],
+    "properties": {"name": {"type": "string", "pattern": "[0-8]$"}, "segment": {"enum": ["BUILDING", "MACHINERY", "FURNITURE", "AUTOMOBILE"]}, "balance": {"anyOf": [{"minimum": 0}, {"maximum": -500}]}, "nation": {"$ref": "#/$defs/place"}},
+    "if": {"properties": {"segment": {"const": "BUILDING"}}},
+    "then": {"properties": {"marks": {"maxItems": 1, "items": {"not": {"const": 7}}}}},
+}
+
+
+@query(
+    """SELECT c_custkey AS id, CASE WHEN c_mktsegment = 'MACHINERY' AND c_nationkey = 3 THEN '$.segment: required' WHEN right(c_name, 1) = '9' THEN '$.name: pattern' WHEN c_mktsegment NOT IN ('BUILDING', 'MACHINERY', 'FURNITURE', 'AUTOMOBILE') THEN '$.segment: enum'
+WHEN c_acctbal < 0 AND c_acctbal > -500 THEN '$.balance: anyOf' WHEN c_nationkey = 4 THEN '$.nation.key: required' WHEN c_nationkey > 21 THEN '$.nation.key: maximum' WHEN c_nationkey = 5 THEN '$.nation.name: additionalProperties'
+WHEN c_mktsegment = 'BUILDING' AND c_nationkey >= 10 THEN '$.marks: maxItems' WHEN c_mktsegment = 'BUILDING' AND c_nationkey = 7 THEN '$.marks[0]: not' END AS breach,
+CASE WHEN c_mktsegment = 'MACHINERY' AND c_nationkey = 3 THEN 0.5 ELSE 1.0 END::DOUBLE AS completeness FROM customer"""
+)
+def schema_breaches(spark, sf):
+    """The first rule that each customer's data break: nested objects, references, alternatives, conditions and lists."""
+    k, odd = F.col("c_nationkey"), (F.col("c_mktsegment") == "MACHINERY") & (F.col("c_nationkey") == 3)
+    nation = F.struct(F.when(k != 4, k).alias("key"), F.when(k == 5, "five").alias("name"))
+    marks = F.array_compact(F.array(k, F.when(k >= 10, F.lit(1))))
+    data = F.parse_json(F.to_json(F.struct(F.col("c_name").alias("name"), F.when(~odd, F.col("c_mktsegment")).alias("segment"), F.col("c_acctbal").alias("balance"), nation.alias("nation"), marks.alias("marks"))))
+    rows = star.table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), data.alias("data"))
+    return rows.select("id", jsonschema.breach(_CUSTOMER, F.col("data")).alias("breach"), jsonschema.completeness(_CUSTOMER["required"], F.col("data")).alias("completeness"))
+
+
 # --- keyword search ---------------------------------------------------------------------------------------------------
 
 

@@ -10,6 +10,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import jsonschema
 from ..operators.gates import schema_check
 
 
@@ -52,6 +53,20 @@ class Schemas:
         collect(self._known[kind])
         return list(out)
 
+    def breach(self, data: Column) -> Column:
+        """The first rule of its type's schema that a row's data (VARIANT) break, as path and keyword; null for none."""
+        out = F.lit("no schema of this type")
+        for kind, schema in self._known.items():
+            out = F.when(F.col("type") == kind, jsonschema.breach(schema, data)).otherwise(out)
+        return out
+
+    def completeness(self, data: Column) -> Column:
+        """Share of the fields that its type's schema requires that a row's data have; null for types without a schema."""
+        out = F.lit(None).cast("double")
+        for kind in self._known:
+            out = F.when(F.col("type") == kind, jsonschema.completeness(self.required(kind), data)).otherwise(out)
+        return out
+
     def valid(self) -> Column:
         """Whether a row fits the schema of its type; rows of unknown types do not."""
         out = F.lit(False)
