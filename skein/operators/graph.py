@@ -181,9 +181,11 @@ def with_paths(tree: DataFrame, label: str = "name") -> DataFrame:
 def impact(edges: DataFrame, start: str, severity: float, depth: int = DEEPEST, least: float = 0.1) -> DataFrame:
     """id, score, distance of what a change reaches: severity, edge strength and confidence, less with distance.
 
-    edges carry strength and confidence; each node keeps its best score; scores below ``least`` go no further.
+    edges may carry strength and confidence, 1 where they do not; each node keeps its best score; scores below
+    ``least`` go no further.
     """
-    walk = edges.select(F.col("source_id").alias("at"), F.col("target_id").alias("next"), (F.coalesce("strength", F.lit(1.0)) * F.coalesce("confidence", F.lit(1.0))).alias("weight"))
+    share = lambda c: F.coalesce(c, F.lit(1.0)) if c in edges.columns else F.lit(1.0)
+    walk = edges.select(F.col("source_id").alias("at"), F.col("target_id").alias("next"), (share("strength") * share("confidence")).alias("weight"))
     state = walk.where(F.col("at") == start).groupBy("next").agg(F.max("weight").alias("weight"))
     out = None
     for d in range(1, depth + 1):

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import graph, lookup, search
+from ..operators.textindex import TextIndex
 from .service import Service
 from .views import Engine
 
@@ -83,28 +84,41 @@ def _tables(answer: object) -> list[DataFrame]:
 
 
 class Audit:
-    """An append-only table of who asked for what: at, user, action, target, outcome."""
+    """An append-only table of who asked for what: at, user, action, target, outcome. ``most`` rows are held back and written together."""
 
-    def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark, self.path = spark, path
+    def __init__(self, spark: SparkSession, path: str, most: int = 100) -> None:
+        self.spark, self.path, self.most = spark, path, most
+        self._held: list[tuple[str, ...]] = []
 
     def add(self, user: str, action: str, target: str, outcome: str) -> None:
-        row = [(datetime.now(UTC).isoformat(), user, action, target, outcome)]
-        self.spark.createDataFrame(row, "at string, user string, action string, target string, outcome string").coalesce(1).write.mode("append").json(self.path)
+        self._held.append((datetime.now(UTC).isoformat(), user, action, target, outcome))
+        if len(self._held) >= self.most:
+            self.flush()
+
+    def flush(self) -> None:
+        """Write what is held back; callers do so before they end."""
+        if self._held:
+            rows, self._held = self._held, []
+            self.spark.createDataFrame(rows, "at string, user string, action string, target string, outcome string").coalesce(1).write.mode("append").json(self.path)
 
     def read(self) -> DataFrame:
+        self.flush()
         return self.spark.read.schema("at string, user string, action string, target string, outcome string").json(self.path).orderBy("at")
 
 
 class Api:
-    """Fields: entry, entries, traverse, paths, search, ask, and one for every view."""
+    """Fields: entry, entries, traverse, paths, impact, search, ask, state, difference, and one for every view.
+
+    A search is by shared words, or by BM25 where an ``index`` of the nodes' texts is given. Answers are cached by
+    user and by the version of the tables, so that a change is seen by the next request.
+    """
 
-    def __init__(self, service: Service, engine: Engine, tables: dict[str, tuple[DataFrame, ...]], limits: Limits | None = None, cache: Cache | None = None, audit: Audit | None = None) -> None:
+    def __init__(self, service: Service, engine: Engine, tables: dict[str, tuple[DataFrame, ...]], limits: Limits | None = None, cache: Cache | None = None, audit: Audit | None = None, index: TextIndex | None = None, version: Callable[[], object] = lambda: None) -> None:
         self.service, self.engine, self.tables = service, engine, tables
-        self.limits, self.cache, self.audit = limits or Limits(), cache or Cache(), audit
+        self.limits, self.cache, self.audit, self.index, self.version = limits or Limits(), cache or Cache(), audit, index, version
 
     def fields(self) -> list[str]:
-        return sorted(["entry", "entries", "traverse", "paths", "search", "ask", *self.engine.list()])
+        return sorted(["entry", "entries", "traverse", "paths", "impact", "search", "ask", "state", "difference", *self.engine.list()])
 
     def _answer(self, field: str, args: dict) -> object:
         s = self.service
@@ -116,6 +130,15 @@ class Api:
             return s.traverse(**args)
         if field == "paths":
             return s.paths(**args)
+        if field == "impact":
+            return graph.impact(s.edges, args["start"], args.get("severity", 1.0), args.get("depth", graph.DEEPEST))
+        if field == "state":
+            return s.state_at(args["at"])
+        if field == "difference":
+            return s.diff(args["earlier"], args["later"])
+        if field == "search" and self.index is not None:
+            asked = s.nodes.sparkSession.createDataFrame([(0, args["text"])], "id int, text string")
+            return self.index.search(asked, args.get("limit", 10)).select(F.col("doc").alias("id"), "score", "place").orderBy("place")
         if field == "search":
             return search.keyword_top(s.nodes, args["text"], args.get("limit", 10))
         if field == "ask":
@@ -131,7 +154,7 @@ class Api:
         outcome = "refused"
         try:
             self.limits.check(user, request)
-            data, hit = self.cache.get(json.dumps([field, args], sort_keys=True), lambda: self._answer(field, args))
+            data, hit = self.cache.get(json.dumps([field, args, user, self.version(), self.engine.version(field)], sort_keys=True, default=str), lambda: self._answer(field, args))
             outcome = "answered"
         finally:
             if self.audit is not None:

@@ -45,9 +45,13 @@ class Keyed:
         self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         self._fs.mkdirs(self._path(f"{self.folder}/manifests"))
+        self.reopen()
+
+    def reopen(self) -> None:
+        """Take the newest version, which another writer may have made."""
         found = self._versions()
         self.version = found[-1] if found else 0
-        self._where = self._manifest(self.version) if found else {name: {} for name in states}
+        self._where = self._manifest(self.version) if found else {name: {} for name in self.states}
 
     def _versions(self) -> list[int]:
         names = [s.getPath().getName() for s in self._fs.listStatus(self._path(f"{self.folder}/manifests"))]

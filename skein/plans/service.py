@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import graph, lookup, search, temporal
+from .tables import settled
 
 Policy = Callable[[DataFrame], DataFrame]
 
@@ -68,6 +69,46 @@ def allowed(rows: DataFrame, grants: DataFrame, user: str, action: str = "read")
     return hit.drop("_ask").dropDuplicates(["id"])
 
 
+def held_roles(members: DataFrame, most: int = 50) -> DataFrame:
+    """user, principal, distance of the roles that users hold, directly or through other roles, themselves at distance 0.
+
+    members: member (user or role), role. Circles end, as a role counts once, at its least distance; hierarchies
+    deeper than ``most`` steps are refused.
+    """
+    links = members.where("member is not null and role is not null").select("member", "role").distinct()
+    users = links.select(F.col("member").alias("user")).distinct()
+    now = held = settled(users.select("user", F.col("user").alias("principal"), F.lit(0).alias("distance")), "roles")
+    for distance in range(1, most + 1):
+        further = now.join(links.withColumnRenamed("member", "principal"), "principal").select("user", F.col("role").alias("principal")).distinct()
+        now = settled(further.join(held, ["user", "principal"], "left_anti").withColumn("distance", F.lit(distance)), "roles")
+        if now.isEmpty():
+            return held
+        held = settled(held.unionByName(now), "roles")
+    raise ValueError(f"roles are nested more than {most} deep")
+
+
+def decided(rows: DataFrame, grants: DataFrame, roles: DataFrame, action: str = "read") -> DataFrame:
+    """rows (id, user, kind, scope) with allowed and the grant that decided it (rule: explicit, wildcard, inherited, none).
+
+    grants: principal, action, kind, scope, effect (allow or deny), * for any; roles: as ``held_roles`` gives them. A user's own
+    grant for the very kind and scope decides first, then own grants with wildcards, then those of the nearest role; among
+    equals the one with fewer wildcards, and a denial before a permission. Nothing that fits is a denial.
+    """
+    own = rows.select("user").distinct().select("user", F.col("user").alias("principal"), F.lit(0).alias("distance"))
+    holds = roles.where("distance > 0").unionByName(own)
+    mine = grants.where(F.col("action").isin(action, "*")).join(holds, "principal")
+    wild = lambda c: (F.col(c) == "*").cast("int")
+    mine = mine.withColumn("_wild", wild("kind") + wild("scope") + wild("action"))
+    rank = F.struct(F.when(F.col("distance") > 0, 2).when(F.col("_wild") > 0, 1).otherwise(0).alias("rule"), "distance", "_wild", (F.col("effect") != "deny").alias("allowed"))
+    best = mine.groupBy("user", F.col("kind").alias("_kind"), F.col("scope").alias("_scope")).agg(F.min(rank).alias("_rank"))
+    # each row may match four ways, each an equality, so the join hashes; a user's grants are aggregated before
+    ways = F.array(*[F.struct(k.alias("_kind"), s.alias("_scope")) for k in (F.col("kind"), F.lit("*")) for s in (F.col("scope"), F.lit("*"))])
+    asked = rows.select("id", "user", F.explode(ways).alias("_w")).select("id", "user", "_w.*")
+    found = asked.join(best, ["user", "_kind", "_scope"]).groupBy("id", "user").agg(F.min("_rank").alias("_rank"))
+    rule = F.get(F.array(*map(F.lit, ["explicit", "wildcard", "inherited"])), F.col("_rank.rule"))
+    return rows.join(found, ["id", "user"], "left").withColumns({"allowed": F.coalesce("_rank.allowed", F.lit(False)), "rule": F.coalesce(rule, F.lit("none"))}).drop("_rank")
+
+
 def seed_paths(explicit: list[str] | None, domain: str | None, data: str | None, demo: str) -> list[str]:
     """Where a graph is loaded from: what was named, else the first folder that exists."""
     if explicit:

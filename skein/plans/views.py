@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import decision_type, norm
 from ..operators import graph, realisation
+from .keyed import Keyed
 
 UNASSIGNED = "__unassigned__"
 #: Names of unclassified capabilities that a summary lists.
@@ -263,20 +264,38 @@ class Engine:
 
     def __init__(self) -> None:
         self._views: dict[str, tuple[Callable[..., DataFrame | dict], Callable[..., int]]] = {}
+        self._kept: dict[str, Keyed] = {}
+        self._announced = 0
 
     def register(self, name: str, view: Callable[..., DataFrame | dict], included: Callable[..., int] = lambda result: result.count()) -> None:
         self._views[name] = (view, included)
 
+    def keep(self, name: str, tables: Keyed, view: Callable[[], DataFrame]) -> None:
+        """Register a view that batches of changes keep up to date; it is stale while a batch is announced that has not come in."""
+        self._kept[name] = tables
+        self.register(name, lambda *_, **__: view())
+
+    def announce(self, number: int) -> None:
+        """A batch of changes of this number is on its way."""
+        self._announced = max(self._announced, number)
+
     def list(self) -> list[str]:
         return sorted(self._views)
 
+    def version(self, name: str) -> int | None:
+        """Number of the last batch that a kept view has taken in; None for views that are computed when asked for."""
+        return self._kept[name].version if name in self._kept else None
+
     def get(self, name: str, *tables: DataFrame, **params) -> dict:
         view, included = self._views[name]
-        result = view(*tables, **params)
-        return {"view": name, "data": result, "computed_at": datetime.now(UTC).isoformat(), "entries_included": included(result), "stale": False, "cache_hit": False}
+        result, at = view(*tables, **params), self.version(name)
+        stale = at is not None and at < self._announced
+        return {"view": name, "data": result, "computed_at": datetime.now(UTC).isoformat(), "entries_included": included(result), "stale": stale, "cache_hit": False}
 
     def refresh(self, name: str) -> None:
-        """Views are computed when asked for, so there is nothing to refresh."""
+        """Take the newest version of a kept view's tables; other views are computed when asked for."""
+        if name in self._kept:
+            self._kept[name].reopen()
 
 
 def standard_engine() -> Engine:

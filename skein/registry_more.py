@@ -10,7 +10,7 @@ from .functions import jsonschema
 from .functions import quality as q
 from .functions import text as tx
 from .operators import dependencies, display, evaluation, extraction, gates, graph, mapping, patterns, resolution, search, store, textindex
-from .plans import upkeep, views
+from .plans import service, upkeep, views
 from .plans.tables import new_path
 from .registry import _CROSS, _LINKS, _RESOLVED, _SCORES, _TREE, COVER, GRAPH, _both, _dimensions, _entities, _gated, _scores, query
 from .sources import star
@@ -307,6 +307,34 @@ def keyword_bm25(spark, sf):
     return found.select("query", "doc", "place")
 
 
+# --- access -----------------------------------------------------------------------------------------------------------
+
+_ACCESS = """WITH RECURSIVE members AS (SELECT 'u' || c_custkey AS member, 'segment ' || c_mktsegment AS role FROM customer UNION ALL SELECT DISTINCT 'segment ' || c_mktsegment, 'staff' FROM customer UNION ALL SELECT 'staff', 'everyone' UNION ALL SELECT 'everyone', 'staff'),
+held AS (SELECT 'u' || c_custkey AS who, 'u' || c_custkey AS principal, 0 AS distance FROM customer UNION SELECT who, role, distance + 1 FROM held JOIN members ON member = principal WHERE distance < 4),
+near AS (SELECT who, principal, min(distance) AS distance FROM held GROUP BY ALL),
+grants AS (SELECT 'u' || c_custkey AS principal, 'O' AS kind, 'n' || c_nationkey AS scope, CASE WHEN c_acctbal > 9500 THEN 'deny' ELSE 'allow' END AS effect FROM customer WHERE c_acctbal > 9000
+UNION ALL SELECT 'u' || c_custkey, '*', '*', 'deny' FROM customer WHERE c_acctbal < 0 UNION ALL SELECT 'u' || c_custkey, 'P', '*', 'allow' FROM customer WHERE c_acctbal < 1000
+UNION ALL VALUES ('segment BUILDING', '*', '*', 'deny'), ('segment MACHINERY', 'O', '*', 'allow'), ('segment MACHINERY', '*', 'n3', 'deny'), ('staff', 'F', '*', 'allow'), ('staff', 'F', 'n4', 'deny'), ('everyone', 'F', 'n4', 'allow'), ('everyone', 'P', '*', 'allow'), ('everyone', 'P', '*', 'deny')),
+asked AS (SELECT o_orderkey AS id, 'u' || o_custkey AS who, o_orderstatus AS kind, 'n' || c_nationkey AS scope FROM orders JOIN customer ON c_custkey = o_custkey),
+fit AS (SELECT a.id, g.effect, n.distance, (g.kind = '*')::INT + (g.scope = '*')::INT AS wild FROM asked a JOIN near n ON n.who = a.who JOIN grants g ON g.principal = n.principal AND g.kind IN (a.kind, '*') AND g.scope IN (a.scope, '*')),
+best AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY distance, wild, effect = 'allow') AS k FROM fit) """
+
+
+@query(_ACCESS + "SELECT asked.id, coalesce(effect = 'allow', false) AS allowed, CASE WHEN distance IS NULL THEN 'none' WHEN distance > 0 THEN 'inherited' WHEN wild > 0 THEN 'wildcard' ELSE 'explicit' END AS rule FROM asked LEFT JOIN best ON best.id = asked.id AND k = 1")
+def access_decisions(spark, sf):
+    """Whether every order may be read by its customer, who has own grants and those of roles within roles, in a circle at the top."""
+    c, o = star.table(spark, sf, "customer"), star.table(spark, sf, "orders")
+    user, segment, scope = _id("u", "c_custkey"), F.concat(F.lit("segment "), F.col("c_mktsegment")), _id("n", "c_nationkey")
+    pair = lambda a, b: (a.alias("member"), b.alias("role"))
+    members = c.select(*pair(user, segment)).unionByName(c.select(*pair(segment, F.lit("staff"))).distinct()).unionByName(spark.createDataFrame([("staff", "everyone"), ("everyone", "staff")], "member string, role string"))
+    grant = lambda rows, kind, where, effect: rows.select(user.alias("principal"), F.lit("read").alias("action"), F.lit(kind).alias("kind"), where.alias("scope"), effect.alias("effect"))
+    grants = grant(c.where("c_acctbal > 9000"), "O", scope, F.when(F.col("c_acctbal") > 9500, "deny").otherwise("allow")).unionByName(grant(c.where("c_acctbal < 0"), "*", F.lit("*"), F.lit("deny"))).unionByName(grant(c.where("c_acctbal < 1000"), "P", F.lit("*"), F.lit("allow")))
+    given = [("segment BUILDING", "*", "*", "deny"), ("segment MACHINERY", "O", "*", "allow"), ("segment MACHINERY", "*", "n3", "deny"), ("staff", "F", "*", "allow"), ("staff", "F", "n4", "deny"), ("everyone", "F", "n4", "allow"), ("everyone", "P", "*", "allow"), ("everyone", "P", "*", "deny")]
+    grants = grants.unionByName(spark.createDataFrame([(p, "read", k, s, e) for p, k, s, e in given], grants.schema))
+    rows = o.join(c, F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("id"), user.alias("user"), F.col("o_orderstatus").alias("kind"), scope.alias("scope"))
+    return service.decided(rows, grants, service.held_roles(members)).select("id", "allowed", "rule")
+
+
 # --- views kept up to date ------------------------------------------------------------------------------------
 
 

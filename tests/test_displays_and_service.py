@@ -82,3 +82,17 @@ def test_schemas_golden_and_folders(spark, tmp_path):
         (tmp_path / name).mkdir()
     assert schemas.promote(str(tmp_path / "stage"), str(tmp_path / "stable")).endswith("stable.1") and (tmp_path / "stable").is_dir()
     assert seed_paths(None, None, str(tmp_path / "none"), str(tmp_path)) == [] and seed_paths(["x"], None, None, "") == ["x"]
+
+
+def test_roles_and_decisions(spark):
+    from skein.plans import service
+
+    members = spark.createDataFrame([("u", "r1"), ("r1", "r2"), ("r2", "r3"), ("r3", "r1"), ("u", "r3"), ("v", None)], "member string, role string")
+    held = {(r["user"], r["principal"]): r["distance"] for r in service.held_roles(members).collect()}
+    assert {p: d for (u, p), d in held.items() if u == "u"} == {"u": 0, "r1": 1, "r3": 1, "r2": 2}
+    with pytest.raises(ValueError, match="nested"):
+        service.held_roles(spark.createDataFrame([(f"r{i}", f"r{i + 1}") for i in range(5)], "member string, role string"), most=3)
+    grants = [("u", "read", "T", "s", "allow"), ("u", "*", "T", "s", "deny"), ("u", "read", "*", "s", "deny"), ("r1", "read", "T", "x", "deny"), ("r3", "read", "T", "x", "allow"), ("r2", "read", "U", "*", "allow"), ("r1", "write", "U", "*", "deny"), ("r3", "read", "V", "*", "allow"), ("r1", "read", "V", "*", "deny")]
+    asked = [(1, "u", "T", "s"), (2, "u", "U", "s"), (3, "u", "T", "x"), (4, "u", "U", "q"), (5, "u", "V", "q"), (6, "u", "W", "q"), (7, "w", "T", "s")]
+    rows = service.decided(spark.createDataFrame(asked, "id int, user string, kind string, scope string"), spark.createDataFrame(grants, "principal string, action string, kind string, scope string, effect string"), service.held_roles(members))
+    assert {r["id"]: (r["allowed"], r["rule"]) for r in rows.collect()} == {1: (True, "explicit"), 2: (False, "wildcard"), 3: (False, "inherited"), 4: (True, "inherited"), 5: (False, "inherited"), 6: (False, "none"), 7: (False, "none")}

@@ -56,3 +56,22 @@ def test_only_promising_chunks_are_scored(spark, tmp_path, monkeypatch):
     assert asked[0] == 1 and asked[1] <= 2  # of 26 chunks
     postings = spark.read.parquet(f"{folder}/postings")
     assert postings.groupBy("word", "chunk").count().where("count > 1").isEmpty() and postings.select(F.max(F.size("postings"))).first()[0] <= 16
+
+
+def test_requests_search_the_index(spark, tmp_path):
+    from skein.plans.api import Api
+    from skein.plans.service import Service
+    from skein.plans.views import Engine
+
+    nodes = spark.createDataFrame([("a", "T", "card payments"), ("b", "T", "card"), ("c", "T", "other")], "id string, type string, name string")
+    edges = spark.createDataFrame([("1", "t", "a", "b")], "id string, type string, source_id string, target_id string")
+    build(nodes, str(tmp_path / "index"), "id", "name", buckets=2)
+    version = [1]
+    one = Api(Service(nodes, edges), Engine(), {}, index=TextIndex(spark, str(tmp_path / "index")), version=lambda: version[0])
+    ask = lambda user, **args: one.execute({"field": "search", "args": args}, user)
+    first = ask("u", text="card payments")
+    assert [r["id"] for r in first["data"].collect()] == ["a", "b"] and not first["cache_hit"]
+    assert ask("u", text="card payments")["cache_hit"] and not ask("v", text="card payments")["cache_hit"]
+    version[0] = 2
+    assert not ask("u", text="card payments")["cache_hit"]
+    assert {r["id"] for r in one.execute({"field": "impact", "args": {"start": "a", "depth": 2}})["data"].collect()} >= {"b"}

@@ -69,6 +69,13 @@ def test_batches_once_and_touched_buckets_only(spark, tmp_path):
     again = Upkeep(spark, str(tmp_path / "state"), 4)
     assert again.version == 2 and again.coverage().count() == 399
     assert again.apply(3) and again.apply(9)
+    engine = views.Engine()
+    engine.keep("coverage", kept, kept.coverage)
+    assert engine.get("coverage")["entries_included"] == 399 and engine.version("coverage") == 2 and not engine.get("coverage")["stale"]
+    engine.announce(9)
+    assert engine.get("coverage")["stale"]
+    engine.refresh("coverage")
+    assert not engine.get("coverage")["stale"] and engine.version("coverage") == 9
     again.vacuum()
     assert Upkeep(spark, str(tmp_path / "state"), 4).coverage().count() == 399
     stale = Upkeep(spark, str(tmp_path / "state"), 4)

@@ -134,7 +134,7 @@ def test_requests(spark, tmp_path):
     audit = api.Audit(spark, str(tmp_path / "audit"))
     one = api.Api(Service(nodes, edges), engine, {"count": (nodes,)}, api.Limits(cost=1000, requests=6, seconds=10, clock=lambda: now[0]), api.Cache(2), audit)
     ask = lambda field, **args: one.execute({"field": field, "args": args}, "u")
-    assert one.fields() == ["ask", "count", "entries", "entry", "paths", "search", "traverse"]
+    assert one.fields() == ["ask", "count", "difference", "entries", "entry", "impact", "paths", "search", "state", "traverse"]
     assert ask("entry", id="a")["data"]["entry"]["name"] == "Card bank" and ask("entry", id="zz")["data"]["not_found"]
     assert not ask("traverse", start="a", depth=2)["cache_hit"] and ask("traverse", start="a", depth=2)["cache_hit"]
     with pytest.raises(api.Rejected, match="cost"):
