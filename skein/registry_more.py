@@ -9,7 +9,7 @@ from .functions import documents as docs_f
 from .functions import jsonschema
 from .functions import quality as q
 from .functions import text as tx
-from .operators import dependencies, display, evaluation, extraction, gates, graph, mapping, patterns, resolution, search, store, textindex
+from .operators import dependencies, display, evaluation, extraction, gates, graph, mapping, patterns, resolution, search, store, textindex, vectorindex
 from .plans import service, upkeep, views
 from .plans.tables import new_path
 from .registry import _CROSS, _LINKS, _RESOLVED, _SCORES, _TREE, COVER, GRAPH, _both, _dimensions, _entities, _gated, _scores, query
@@ -260,6 +260,28 @@ def dependency_layers(spark, sf):
     return dependencies.members(_order_edges(spark, sf))[0]
 
 
+# --- vectors ------------------------------------------------------------------------------------------------------------
+
+
+def _vectors(spark, sf, **how):
+    folder, rows = new_path(spark, "vector-index"), star.table(spark, sf, "embeddings")
+    vectorindex.build(rows, folder, "vec_id", "embedding", cells=16)
+    found = vectorindex.VectorIndex(spark, folder).search(rows.where("vec_id % 20 = 0"), 10, "vec_id", "embedding", **how)
+    return found.select("query", F.col("id").alias("vec_id"), "place")
+
+
+@query("WITH u AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), r AS (SELECT q.vec_id AS query, u.vec_id, round(list_cosine_similarity(q.e, u.e), 9) AS score FROM u q, u WHERE q.vec_id % 20 = 0) SELECT query, vec_id, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) AS INT) AS place FROM r QUALIFY place <= 10")
+def vector_index_exact(spark, sf):
+    """The ten nearest rows of every twentieth vector, in the index's exact mode."""
+    return _vectors(spark, sf, exact=True)
+
+
+@query()
+def vector_index_top(spark, sf):
+    """The same by cells and codes; a test holds its recall against the exact mode."""
+    return _vectors(spark, sf, probes=8)
+
+
 # --- schemas --------------------------------------------------------------------------------------------------------
 
 _CUSTOMER = {
