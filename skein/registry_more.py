@@ -279,7 +279,7 @@ def vector_index_exact(spark, sf):
 @query()
 def vector_index_top(spark, sf):
     """The same by cells and codes; a test holds its recall against the exact mode."""
-    return _vectors(spark, sf, probes=8)
+    return _vectors(spark, sf, probes=12)
 
 
 # --- schemas --------------------------------------------------------------------------------------------------------
