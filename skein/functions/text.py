@@ -160,3 +160,8 @@ def document_id(source_type: Column, path: Column, version: Column) -> Column:
 
 def content_type(path: Column) -> Column:
     return F.when(F.lower(path).rlike(r"\.(md|markdown)$"), "markdown").when(F.lower(path).rlike(r"\.json$"), "structured").otherwise("plaintext")
+
+
+def target_types(given: Column) -> Column:
+    """Types that were asked for, each once, in the order of their first mention; null ones fall away."""
+    return F.array_distinct(F.array_compact(given))

@@ -260,6 +260,13 @@ def dependency_layers(spark, sf):
     return dependencies.members(_order_edges(spark, sf))[0]
 
 
+@query("WITH f AS (SELECT l_orderkey AS id, l_returnflag AS flag, min({'p': l_partkey, 's': l_suppkey, 'd': l_shipdate}) AS first FROM lineitem GROUP BY ALL) SELECT id, string_agg(flag, ',' ORDER BY first) AS types FROM f GROUP BY id")
+def target_types(spark, sf):
+    """Return flags of each order's lines, each once, in the order of their first line."""
+    lines = star.table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.array_sort(F.collect_list(F.struct("l_partkey", "l_suppkey", "l_shipdate", "l_returnflag"))).alias("lines"))
+    return lines.select("id", F.array_join(tx.target_types(F.transform("lines", lambda x: x["l_returnflag"])), ",").alias("types"))
+
+
 # --- vectors ------------------------------------------------------------------------------------------------------------
 
 

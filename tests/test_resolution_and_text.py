@@ -99,6 +99,11 @@ def test_pieces_against_strings(spark):
         assert out == {i: packed(t, size, overlap) for i, t in enumerate(texts)}
 
 
+def test_target_types(spark):
+    rows = spark.createDataFrame([(["b", "a", "b", None, "c", "a"],), ([],), (None,)], "t array<string>")
+    assert [r["t"] for r in rows.select(tx.target_types(F.col("t")).alias("t")).collect()] == [["b", "a", "c"], [], None]
+
+
 def test_batches_and_verdicts(spark):
     """Batches are cut from all types together, so one number and name mean one batch's subjects only."""
     subjects = spark.createDataFrame([(f"{t}{i:03d}", t, f"n{i % 50:02d}") for t in "AB" for i in range(100)], "id string, type string, name string")
