@@ -17,6 +17,8 @@ from ..operators import graph, realisation
 from .keyed import Keyed
 
 UNASSIGNED = "__unassigned__"
+#: Columns of a coverage matrix; a table with more is refused, not cut.
+MOST_COLUMNS = 2_000
 #: Names of unclassified capabilities that a summary lists.
 NAMED = 50
 
@@ -204,7 +206,10 @@ def coverage_view(nodes: DataFrame, edges: DataFrame, mappings: DataFrame, vendo
         products = products.where((F.lower("vendor") == vendor.lower()) | in_scope(vendor))
     columns = products.select("id", F.coalesce("name", "id").alias("name"), F.coalesce("vendor", F.lit("")).alias("vendor")).orderBy("id")
     assessed = realisation.elements(rows.select("id", "name", "domain"), edges, mappings).withColumn("status", realisation.row_status())
-    cells = realisation.matrix(rows, [r["id"] for r in columns.select("id").collect()], mappings, _claims(products))
+    named = [r["id"] for r in columns.select("id").limit(MOST_COLUMNS + 1).collect()]
+    if len(named) > MOST_COLUMNS:
+        raise ValueError(f"a matrix of more than {MOST_COLUMNS} products; name a vendor")
+    cells = realisation.matrix(rows, named, mappings, _claims(products))
     return {"rows": assessed, "columns": columns, "cells": cells, "summary": realisation.coverage_summary(assessed)}
 
 

@@ -238,7 +238,7 @@ def test_companions(spark, tmp_path):
     assert (tmp_path / "md" / "a-2.md").read_text() == "two" and (tmp_path / "md" / "b.md").read_text() == ""
 
 
-def test_whole_views_and_renders(spark):
+def test_whole_views_and_renders(spark, monkeypatch):
     kinds = "id string, type string, name string, domain string, vendor string, claims array<string>, subdomain string"
     nodes = spark.createDataFrame([("cap", "BusinessCapability", 'C"1', "Pay", None, None, None), ("con", "DomainConcept", "K", "Pay", None, None, None), ("p1", "VendorProduct", "P", None, "Acme", ["c1"], None), ("sd", "Subdomain", "Sub", None, None, None, None), ("bc", "BoundedContext", "Ctx", None, None, None, None), ("d", "Decision", "Dec", None, None, None, None)], kinds)
     edges = spark.createDataFrame([("1", "belongsTo", "bc", "sd"), ("2", "belongsTo", "con", "bc"), ("3", "belongsTo", "d", "bc"), ("4", "governs", "d", "con"), ("5", "fulfils", "p1", "cap")], "id string, type string, source_id string, target_id string")
@@ -246,6 +246,9 @@ def test_whole_views_and_renders(spark):
     cover = views.coverage_view(nodes, edges, maps, vendor="acme", domain="PAY")
     assert [(r["row"], r["column"], r["status"]) for r in cover["cells"].collect()] == [("cap", "p1", "uncovered")]
     assert views.coverage_view(nodes, edges, maps, vendor="none")["cells"].isEmpty()
+    with monkeypatch.context() as m, pytest.raises(ValueError, match="name a vendor"):
+        m.setattr(views, "MOST_COLUMNS", 0)
+        views.coverage_view(nodes, edges, maps)
     gaps = views.gap_view(nodes, edges, maps)
     assert [(r["id"], r["kind"], r["priority"]) for r in gaps["gaps"].collect()] == [("cap", "BusinessCapability", 1), ("con", "DomainConcept", 1)]
     text = views.gaps_markdown(gaps)
