@@ -43,7 +43,7 @@ def _edge_steps(edges: DataFrame, ops: DataFrame, rules: Rules) -> DataFrame:
 
 
 def commit(nodes: DataFrame, edges: DataFrame, ops: DataFrame, rules: Rules = Rules()) -> dict:
-    """nodes, edges, events (seq, kind, entity_id, before, after) and errors (seq, id, error) of a batch.
+    """nodes, edges, events (seq, kind, entity_id, before, after) and errors (seq, id, error) of a batch; nodes keep their further columns.
 
     All operations are judged in their order, each after those before it; with any error nothing changes and there
     are no events. Ends of edges are not checked here, as loading checks them. A removal takes the edge that arrived
@@ -55,7 +55,11 @@ def commit(nodes: DataFrame, edges: DataFrame, ops: DataFrame, rules: Rules = Ru
         none = ups.limit(0).select("seq", F.lit("").alias("kind"), F.col("id").alias("entity_id"), F.col("before"), F.col("state").alias("after"))
         return {"nodes": nodes, "edges": edges, "events": none, "errors": errors}
     last = ups.where("action <> 'none'").groupBy("id").agg(F.max(F.struct("seq", "revision", "state")).alias("_l")).select("id", "_l.revision", "_l.state")
-    new_nodes = nodes.join(last.select("id"), "id", "left_anti").select("id", "revision", "state").unionByName(last.select("id", F.col("revision").cast(nodes.schema["revision"].dataType).alias("revision"), "state"))
+    now = last.select("id", F.col("revision").cast(nodes.schema["revision"].dataType).alias("_revision"), F.col("state").alias("_state"))
+    changed = F.col("_revision").isNotNull()
+    stay = nodes.join(now, "id", "left").withColumns({"revision": F.coalesce("_revision", "revision"), "state": F.when(changed, F.col("_state")).otherwise(F.col("state"))}).select(*nodes.columns)
+    first = now.join(nodes.select("id"), "id", "left_anti").select("id", F.col("_revision").alias("revision"), F.col("_state").alias("state"))
+    new_nodes = stay.unionByName(first, allowMissingColumns=True)
     made = steps.where("kind = 'create_edge'").select("id", "type", "source_id", "target_id", "seq")
     ends = ["source_id", "target_id", "type"]
     gone = steps.where("kind = 'remove_edge'")

@@ -69,6 +69,8 @@ def test_expected_revisions(spark):
     op = lambda seq, i, state, expected: (seq, "upsert", i, state, expected, None, None, None)
     good = store.commit(nodes, none, spark.createDataFrame([op(1, "a", "y", 3), op(2, "a", "z", 4), op(3, "new", "n", 9)], OPS))
     assert {tuple(r) for r in good["nodes"].collect()} == {("a", 5, "z"), ("new", 1, "n")}
+    named = store.commit(nodes.withColumn("type", F.lit("T")), none, spark.createDataFrame([op(1, "a", "y", 3), op(2, "new", "n", 9)], OPS))["nodes"]
+    assert {r["id"]: r["type"] for r in named.collect()} == {r["id"]: "T" for r in nodes.collect()} | {"new": None}
     bad = store.commit(nodes, none, spark.createDataFrame([op(1, "a", "y", 3), op(2, "a", "z", 3)], OPS))
     assert [tuple(r) for r in bad["errors"].collect()] == [(2, "a", "conflict")] and bad["nodes"].count() == 1
 
