@@ -12,7 +12,7 @@ from .functions import text as tx
 from .operators import dependencies, display, evaluation, extraction, gates, graph, mapping, patterns, resolution, search, store, textindex, vectorindex
 from .plans import service, upkeep, views
 from .plans.tables import new_path
-from .registry import _CROSS, _LINKS, _RESOLVED, _SCORES, _TREE, COVER, GRAPH, _both, _dimensions, _entities, _gated, _scores, query
+from .registry import _CROSS, _LINKS, _SCORES, _TREE, COVER, GRAPH, _both, _entities, _gated, _scores, query
 from .sources import star
 
 
