@@ -17,7 +17,7 @@ from ..operators import graph, realisation
 from .keyed import Keyed
 
 UNASSIGNED = "__unassigned__"
-#: Columns of a coverage matrix; a table with more is refused, not cut.
+#: Columns of a coverage matrix of all vendors; one with more is refused, not cut.
 MOST_COLUMNS = 2_000
 #: Names of unclassified capabilities that a summary lists.
 NAMED = 50
@@ -195,8 +195,8 @@ def _claims(products: DataFrame) -> DataFrame:
 def coverage_view(nodes: DataFrame, edges: DataFrame, mappings: DataFrame, vendor: str | None = None, domain: str | None = None, row_kind: str = "BusinessCapability") -> dict[str, DataFrame]:
     """rows, columns, cells (one for each row and column) and summary, for one vendor (by vendor, id or name) and one domain.
 
-    nodes carry vendor, claims (array of capabilities) and domain as well. Products are a small dimension: their ids
-    come to the driver as the matrix's columns.
+    nodes carry vendor, claims (array of capabilities) and domain as well. A vendor's matrix is whole, however many products
+    it has; without a vendor, one of more than ``MOST_COLUMNS`` products is refused.
     """
     rows = nodes.where(_is(row_kind))
     if domain is not None:
@@ -206,10 +206,9 @@ def coverage_view(nodes: DataFrame, edges: DataFrame, mappings: DataFrame, vendo
         products = products.where((F.lower("vendor") == vendor.lower()) | in_scope(vendor))
     columns = products.select("id", F.coalesce("name", "id").alias("name"), F.coalesce("vendor", F.lit("")).alias("vendor")).orderBy("id")
     assessed = realisation.elements(rows.select("id", "name", "domain"), edges, mappings).withColumn("status", realisation.row_status())
-    named = [r["id"] for r in columns.select("id").limit(MOST_COLUMNS + 1).collect()]
-    if len(named) > MOST_COLUMNS:
+    if vendor is None and products.select("id").limit(MOST_COLUMNS + 1).count() > MOST_COLUMNS:
         raise ValueError(f"a matrix of more than {MOST_COLUMNS} products; name a vendor")
-    cells = realisation.matrix(rows, named, mappings, _claims(products))
+    cells = realisation.matrix(rows, columns, mappings, _claims(products))
     return {"rows": assessed, "columns": columns, "cells": cells, "summary": realisation.coverage_summary(assessed)}
 
 

@@ -53,6 +53,15 @@ def test_empty_matrix(spark, coverage):
     assert realisation.coverage_summary(empty.withColumn("status", F.lit("x"))).first()["percentage"] == 0
 
 
+def test_matrix_of_a_vendor_with_many_products(spark, monkeypatch):
+    monkeypatch.setattr(views, "MOST_COLUMNS", 2)
+    kinds = "id string, type string, name string, domain string, vendor string, claims array<string>"
+    nodes = spark.createDataFrame([("cap", "BusinessCapability", "C", None, None, None)] + [(f"p{i}", "VendorProduct", "P", None, "Acme", ["c1"] if i == 3 else None) for i in range(5)], kinds)
+    maps = spark.createDataFrame([("m", "c1", "cap", "full", 9.0, ["g"])], "id string, capability string, target_id string, coverage string, percentage double, gaps array<string>")
+    cells = views.coverage_view(nodes, edges_of(spark, [("fulfils", "p1", "cap")]), maps, vendor="acme")["cells"]
+    assert {(r["row"], r["column"], r["status"]) for r in cells.collect()} == {("cap", f"p{i}", "covered" if i == 3 else "uncovered") for i in range(5)}
+
+
 def test_domain_map(spark):
     nodes = frame(spark, [("sd1", "Subdomain", "Pay", None), ("sd2", "Subdomain", "Risk", None), ("bc-auth", "BoundedContext", "Auth", None), ("bc-settle", "BoundedContext", "Settle", "sd2"), ("bc-lone", "BoundedContext", "Lone", None)] + [(c, "DomainConcept", c, None) for c in ("c1", "c2", "c3")] + [("s1", "Service", "s1", None)], "id type name subdomain")
     edges = edges_of(spark, [("belongsTo", "bc-auth", "sd1"), ("belongsTo", "c1", "bc-auth"), ("belongsTo", "c2", "bc-auth"), ("belongsTo", "s1", "bc-auth"), ("belongsTo", "c3", "bc-settle"), ("settledBy", "c1", "c3"), ("scoredBy", "c1", "c3"), ("scoredBy", "c2", "c3"), ("scoredBy", "c1", "c2")])
