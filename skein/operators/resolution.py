@@ -5,11 +5,12 @@ entities: id, type, name, confidence, evidence (array), ord (arrival).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import first_filled, normalise_name, salient_tokens
+from ..functions.text import first_filled, normalise_name
 from ..plans.tables import numbered, settled
+from . import setjoin
 from .graph import components
 
 SIMILAR, MOST_IN_BLOCK = 0.67, 40
@@ -30,25 +31,23 @@ def resolve_exact(entities: DataFrame) -> tuple[DataFrame, DataFrame]:
     return survivors, remap
 
 
-def _named(entities: DataFrame) -> DataFrame:
-    """id, type, name, tokens (sorted) of entities with salient tokens."""
-    name = first_filled(F.col("name"), F.col("id"))
-    return entities.select("id", "type", name.alias("name"), F.array_sort(salient_tokens(name)).alias("tokens")).where("size(tokens) > 0")
+def _label(entities: DataFrame) -> Column:
+    return first_filled(F.col("name"), F.col("id"))
 
 
-def _tokenised(entities: DataFrame) -> DataFrame:
-    """id, type, key, hashes: a digest of the token set (tokens hold no spaces) and a hash of each token, written once."""
-    return settled(_named(entities).select("id", "type", F.sha2(F.array_join("tokens", " "), 256).alias("key"), F.transform("tokens", lambda t: F.xxhash64(t)).alias("hashes")))
+def _classes(entities: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, type, key; type, key, rep): the digest of each row's token set, and the smallest id of each set."""
+    keyed = settled(setjoin.digests(entities, _label(entities)), "keyed")
+    return keyed, settled(keyed.groupBy("type", "key").agg(F.min("id").alias("rep")), "classes")
 
 
-def _members(tokenised: DataFrame) -> DataFrame:
-    reps = tokenised.groupBy("type", "key").agg(F.min("id").alias("rep"))
-    return tokenised.join(reps, ["type", "key"]).where("id <> rep").select("type", "rep", "id")
+def _members(keyed: DataFrame, classes: DataFrame) -> DataFrame:
+    return keyed.join(classes, ["type", "key"]).where("id <> rep").select("type", "rep", "id")
 
 
 def class_members(entities: DataFrame) -> DataFrame:
     """type, rep, id of every other entity with its representative's type and token set."""
-    return _members(_tokenised(entities))
+    return _members(*_classes(entities))
 
 
 def similar_links(entities: DataFrame, least: float = SIMILAR) -> DataFrame:
@@ -56,9 +55,9 @@ def similar_links(entities: DataFrame, least: float = SIMILAR) -> DataFrame:
 
     Two entities are similar exactly if their representatives are one or make a pair, so no link is lost.
     """
-    tokenised = _tokenised(entities)
-    members = _members(tokenised).select("type", F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("similarity"), F.lit("member").alias("kind"))
-    return _pairs(tokenised, least).withColumn("kind", F.lit("pair")).unionByName(members)
+    keyed, classes = _classes(entities)
+    members = _members(keyed, classes).select("type", F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("similarity"), F.lit("member").alias("kind"))
+    return setjoin.similar(entities, _label(entities), classes, least).withColumn("kind", F.lit("pair")).unionByName(members)
 
 
 def similar_pairs(entities: DataFrame, least: float = SIMILAR) -> DataFrame:
@@ -66,40 +65,13 @@ def similar_pairs(entities: DataFrame, least: float = SIMILAR) -> DataFrame:
 
     Equal token sets are one class first, so copies never pair up with each other (see ``class_members``).
     """
-    return _pairs(_tokenised(entities), least)
-
-
-def _pairs(tokenised: DataFrame, least: float) -> DataFrame:
-    """``similar_pairs`` of tokenised entities.
-
-    A pair at the threshold shares one of the rarest tokens of each: only those (a prefix in order of frequency)
-    are joined, so a word that most names have makes no pairs. Sets whose sizes are too far apart, and pairs whose
-    tokens behind the shared one cannot make up the overlap, fall away in the join, before any set is looked at.
-    """
-    classes = settled(tokenised.groupBy("type", "key").agg(F.min("id").alias("rep"), F.first("hashes").alias("hashes")).select("type", "rep", "hashes", F.size("hashes").alias("n")))
-    exploded = classes.select("type", "rep", "n", F.explode("hashes").alias("token"))
-    frequency = exploded.groupBy("type", "token").agg(F.count(F.lit(1)).alias("uses"))
-    ranked = exploded.join(frequency, ["type", "token"]).groupBy("type", "rep", "n").agg(F.array_sort(F.collect_list(F.struct("uses", "token"))).alias("_t"))
-    # similarity >= s needs an overlap of at least s * n, so one of the first n - ceil(s * n) + 1 tokens is shared
-    prefix = F.slice("_t", 1, F.col("n") - F.ceil(F.lit(least) * F.col("n")).cast("int") + 1)
-    keys = settled(ranked.select("type", "rep", "n", F.posexplode(prefix).alias("i", "_p")).select("type", "rep", "n", "i", F.col("_p.token").alias("token")))
-    other = keys.select("type", "token", F.col("rep").alias("b"), F.col("n").alias("m"), F.col("i").alias("j"))
-    sizes = F.least("n", "m") >= F.lit(least) * F.greatest("n", "m")
-    # an overlap of at least s / (1 + s) * (n + m); the first shared token stands at i and j, the rest behind it
-    reach = 1 + F.least(F.col("n") - 1 - F.col("i"), F.col("m") - 1 - F.col("j")) >= F.lit(least / (1 + least)) * (F.col("n") + F.col("m")) - 1e-9
-    met = keys.withColumnRenamed("rep", "a").join(other, ["type", "token"]).where((F.col("a") < F.col("b")) & sizes & reach)
-    pairs = settled(met.select("type", "a", "b", "n", "m").distinct())
-    sets = classes.select("rep", "hashes")
-    both = pairs.join(sets.select(F.col("rep").alias("a"), F.col("hashes").alias("ta")), "a").join(sets.select(F.col("rep").alias("b"), F.col("hashes").alias("tb")), "b")
-    shared = F.size(F.array_intersect("ta", "tb"))
-    scored = both.select("type", "a", "b", (shared / (F.col("n") + F.col("m") - shared)).alias("similarity"))
-    return scored.where(F.col("similarity") >= least)
+    return setjoin.similar(entities, _label(entities), _classes(entities)[1], least)
 
 
 def candidate_blocks(entities: DataFrame, least: float = SIMILAR, most: int = MOST_IN_BLOCK) -> DataFrame:
     """component, block, id: groups of similar names of up to ``most``; a last one that would be alone joins the block before."""
     links = similar_links(entities, least).select("a", "b")
-    found = components(links).join(_named(entities).select("id", "name"), "id")
+    found = components(links).join(entities.select("id", _label(entities).alias("name")), "id")
     w = Window.partitionBy("component")
     n, all_of = F.row_number().over(w.orderBy("name", "id")) - 1, F.count(F.lit(1)).over(w)
     block = F.floor(n / most)
