@@ -70,7 +70,7 @@ def similar_pairs(entities: DataFrame, least: float = SIMILAR) -> DataFrame:
 
 def candidate_blocks(entities: DataFrame, least: float = SIMILAR, most: int = MOST_IN_BLOCK) -> DataFrame:
     """component, block, id: groups of similar names of up to ``most``; a last one that would be alone joins the block before."""
-    links = similar_links(entities, least).select("a", "b")
+    links = settled(similar_links(entities, least).select("a", "b"), "links")
     found = components(links).join(entities.select("id", _label(entities).alias("name")), "id")
     w = Window.partitionBy("component")
     n, all_of = F.row_number().over(w.orderBy("name", "id")) - 1, F.count(F.lit(1)).over(w)

@@ -2,6 +2,7 @@ import os
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from skein.operators import resolution, setjoin
 from skein.plans.tables import shared_dir
@@ -50,3 +51,11 @@ def test_sets_without_near_ones_are_not_written(spark):
     before = _bytes(shared_dir(spark))
     assert resolution.similar_links(df).isEmpty()
     assert _bytes(shared_dir(spark)) - before < 60 * 2000
+
+
+def test_components_read_the_links_once(spark, monkeypatch):
+    real, given = resolution.components, []
+    monkeypatch.setattr(resolution, "components", lambda links: (given.append(links), real(links))[1])
+    df, sets = _families(spark, 5)
+    assert resolution.candidate_blocks(df).select(F.count_distinct("component")).first()[0] == 3
+    assert all(getattr(links, "_folder", None) for links in given)
