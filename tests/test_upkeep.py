@@ -82,3 +82,24 @@ def test_batches_once_and_touched_buckets_only(spark, tmp_path):
     again.apply(10, one)
     with pytest.raises(Exception, match="already exists"):  # two writers of one number: one of them wins
         stale.apply(10, one)
+
+
+def test_only_named_views_are_kept_up(spark, tmp_path):
+    nodes = spark.createDataFrame([("n1", "BoundedContext", "x", 1), ("c1", "DomainConcept", "x", 1)], f"{NODE}, m int")
+    edges = spark.createDataFrame([("e1", "belongsTo", "c1", "n1", 1)], f"{EDGE}, m int")
+    kept = Upkeep(spark, str(tmp_path / "state"), 2, views=("contexts",))
+    assert kept.apply(1, nodes, edges)
+    assert [tuple(r) for r in kept.context_counts().collect()] == [("n1", 1, 0)]
+    assert not (tmp_path / "state" / "links").exists() and not (tmp_path / "state" / "elements").exists()
+    with pytest.raises(ValueError, match="not kept up"):
+        kept.coverage()
+
+
+def test_queries_join_the_trades_once(spark, monkeypatch):
+    from skein import registry_more
+    from skein.plans import tables
+
+    written = []
+    monkeypatch.setattr(registry_more, "settled", lambda df, label: (written.append(label), tables.settled(df, label))[1])
+    registry_more.upkept_contexts(spark, "/root/testdata/sf0.001")
+    assert written == ["edges"]
