@@ -2,11 +2,13 @@ import math
 import random
 import re
 from collections import Counter
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
 from skein.operators import textindex
 from skein.operators.textindex import TextIndex, build
+from skein.plans.tables import shared_dir
 
 
 def brute(docs, query, k):
@@ -75,3 +77,35 @@ def test_requests_search_the_index(spark, tmp_path):
     version[0] = 2
     assert not ask("u", text="card payments")["cache_hit"]
     assert {r["id"] for r in one.execute({"field": "impact", "args": {"start": "a", "depth": 2}})["data"].collect()} >= {"b"}
+
+
+def test_rows_with_one_id_are_scored_together(spark, tmp_path):
+    docs = [(1, "rare a"), (2, "a b"), (2, "a a"), (2, "a c d"), (2, None), (None, "a d"), (3, "c c"), (4, "")]
+    folder = str(tmp_path / "index")
+    build(spark.createDataFrame(docs, "id int, content string"), folder, chunk=1, buckets=2)
+    met = Counter()
+    for d, t in docs:
+        for w in (t or "").split():
+            met[d, len(t.split()), w] += 1
+    average, df = sum(len((t or "").split()) for _, t in docs) / len(docs), Counter(w for _, _, w in met)
+    want = {}
+    for query in (["a"], ["c", "d", "rare"]):
+        scores = Counter()
+        for (d, n, w), tf in met.items():
+            if w in query:
+                scores[d] += math.log(1 + (len(docs) - df[w] + 0.5) / (df[w] + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / average))
+        want[" ".join(query)] = [d for _, _, d in sorted((-round(s, 6), d is None, d) for d, s in scores.items())]
+    asked = spark.createDataFrame([(q, q) for q in want], "id string, text string")
+    found = {}
+    for r in TextIndex(spark, folder).search(asked, k=9).orderBy("query", "place").collect():
+        found.setdefault(r["query"], []).append(r["doc"])
+    assert found == want and found["a"].count(2) == 1
+
+
+def test_building_keeps_no_copy_of_the_texts(spark, tmp_path):
+    rng = random.Random(8)
+    docs = [(i, " ".join(f"{rng.getrandbits(40):x}" for _ in range(100))) for i in range(1000)]
+    stored = lambda: sum(p.stat().st_size for p in Path(shared_dir(spark).removeprefix("file:")).rglob("*.parquet"))
+    before = stored()
+    build(spark.createDataFrame(docs, "id int, content string"), str(tmp_path / "index"), chunk=100, buckets=2)
+    assert stored() - before < sum(len(t) for _, t in docs) / 10
