@@ -4,6 +4,10 @@ Token sets are never stored for all rows: names are split again in each of three
 small. The first gives a digest of each set, the second the prefix that can meet others and a signature of some bits a
 token, the third the whole sets of those rows alone whose signatures left a pair standing.
 
+Rows meet at keys. A rare token is a key itself. Pairs that share fewer than ``TOGETHER`` rare tokens share many frequent
+ones: these are dealt in groups by their hash, and two of one group make a key, so a word that a third of all texts use
+brings no two of them together by itself. As more tokens are shared than there are groups, some groups have two of them.
+
 Tokens are ordered by how often they are used. Any order that all rows share finds every pair, so uses are counted in
 ``COUNTERS`` buckets of the token's hash, a table of fixed size: tokens that share a bucket look more frequent than they are.
 """
@@ -12,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import LEAST_TOKEN, STOPWORDS, normalise_name
-from ..plans.tables import settled
+from ..plans.tables import discarded, settled
 
 #: Buckets that uses are counted in, and how many of them a row of the collected table holds.
 COUNTERS, SLICE = 1 << 24, 1 << 16
@@ -29,6 +34,12 @@ COUNTERS, SLICE = 1 << 24, 1 << 16
 FILTER = 1 << 24
 #: Tokens of the prefixes that two sets have to share, where they have to share as many at all.
 TOGETHER = 4
+#: Level (see ``_levels``) above which a token is frequent: 64 uses. Groups of frequent tokens for each token of a set.
+FREQUENT, GROUPS = 48, 0.2
+#: Rounds that the meetings are found in, by size, and the tokens of all sets below which one is enough.
+ROUNDS, FEW = 6, 2_000_000
+#: Bits of a meeting's place; above them are a bit for pairs of tokens and, as the sign, that the set is of the next class.
+PLACE = 29
 #: A row's number holds its set's size above so many bits, its partition above ``ROW`` and its place in that below.
 SIZE, ROW = 43, 27
 #: Rows of a family that are compared with as many others in one cell.
@@ -138,24 +149,115 @@ def differing(a: bytes, b: bytes) -> int:
     return (x ^ y).bit_count()
 
 
+def size_classes(least: float, largest: int) -> list[int]:
+    """Where the classes of sizes start: a set is near sets of its own class and the next ones on both sides alone."""
+    starts = [1]
+    while starts[-1] <= largest:
+        starts.append(math.floor(starts[-1] / least + 1e-6) + 1)
+    return starts
+
+
+def _groups(start: int, least: float) -> int:
+    """Groups that frequent tokens are dealt in where the smaller set is of the class that starts so; 0 where sets are too small."""
+    return max(0, min(max(1, int(GROUPS * start)), math.ceil(least * start - 1e-9) - 2 * TOGETHER + 1))
+
+
+def _together(start: int, least: float) -> int:
+    """Shared tokens that prefixes have to reach for such pairs: up to TOGETHER - 1 rare ones, and TOGETHER more frequent ones than groups."""
+    groups = _groups(start, least)
+    return groups + 2 * TOGETHER - 1 if groups else TOGETHER
+
+
 def _heads(normal: DataFrame, levels: np.ndarray, least: float) -> DataFrame:
-    """id, type, n, sign, prefix (tokens), places (of these in the order of uses) of all rows."""
+    """id, type, n, sign, prefix (tokens), places (of these in the order of uses), rare (how many of them are) of all rows."""
     held = normal.sparkSession.sparkContext.broadcast(levels.tobytes())
 
     def run(batches):
         hashes, level = _Hashes(), np.frombuffer(held.value, np.uint8)
+        starts = size_classes(least, 1 << 20)
         for batch in _slices(batches):
             rows = []
             for i, kind, _, h in _split(batch, hashes):
                 often = level[h % np.uint64(COUNTERS)]
+                while starts[-1] <= len(h):
+                    starts = size_classes(least, 2 * len(h))
                 # similarity >= s needs an overlap of at least s * n, so k of the first n - ceil(s * n) + k tokens are shared
-                first = np.lexsort((h, often))[: len(h) - math.ceil(least * len(h) - 1e-9) + TOGETHER]
+                first = np.lexsort((h, often))[: len(h) - math.ceil(least * len(h) - 1e-9) + _together(starts[bisect_right(starts, len(h)) - 1], least)]
                 place = np.flatnonzero(often[first] > 0)
-                rows.append((i, kind, len(h), signature(h), h[first[place]].view(np.int64), place.astype(np.int32)))
-            kinds = (pa.string(), pa.string(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["id", "type", "n", "sign", "prefix", "places"])
+                rows.append((i, kind, len(h), signature(h), h[first[place]].view(np.int64), place.astype(np.int32), int(np.count_nonzero(often[first[place]] <= FREQUENT))))
+            kinds = (pa.string(), pa.string(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["id", "type", "n", "sign", "prefix", "places", "rare"])
+
+    return normal.mapInArrow(run, "id string, type string, n int, sign binary, prefix array<long>, places array<int>, rare int")
+
+
+def _mixed(x: np.ndarray, salt: int) -> np.ndarray:
+    x = (x ^ np.uint64(salt * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) * np.uint64(0xBF58476D1CE4E5B9)
+    return (x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+
+
+def meeting_keys(tokens: np.ndarray, places: np.ndarray, rare: int, n: int, start: int, least: float) -> tuple[np.ndarray, np.ndarray, int]:
+    """(keys, places, how many of these are tokens; pairs of tokens follow) of a set where the smaller one is of the class that starts so."""
+    groups, base = _groups(start, least), n - math.ceil(least * n - 1e-9)
+    alone = int(np.searchsorted(places, base + TOGETHER))
+    alone = min(alone, rare) if groups else alone
+    single = _mixed(tokens[:alone], 2 * start)
+    if not groups:
+        return single, places[:alone], alone
+    end = int(np.searchsorted(places, base + _together(start, least)))
+    often, at = tokens[rare:end], places[rare:end]
+    group = (often >> np.uint64(20)) % np.uint64(groups)
+    order = np.argsort(group, kind="stable")  # within a group in the order of uses
+    often, at, group = _mixed(often[order], 2 * start + 1), at[order], group[order]
+    keys, found = [single], [places[:alone]]
+    for step in range(1, len(often)):
+        same = group[step:] == group[:-step]
+        if not same.any():
+            break
+        keys.append(_mixed(often[step:][same], 1) + often[:-step][same])
+        found.append(at[step:][same])
+    return np.concatenate(keys), np.concatenate(found), alone
+
+
+def _meetings(heads: DataFrame, least: float, first: int, last: int) -> DataFrame:
+    """key, doc, i (place of the key's last token, see ``PLACE``): where sets meet if the smaller one has first to last - 1 tokens (bounds of classes)."""
 
-    return normal.mapInArrow(run, "id string, type string, n int, sign binary, prefix array<long>, places array<int>")
+    def run(batches):
+        for batch in _slices(batches):
+            out: list[list] = [[], [], []]
+            lists = [batch.column(c) for c in ("prefix", "places")]
+            for doc, n, rare, tokens, places in zip(*(batch.column(c).to_pylist() for c in ("doc", "n", "rare")), *([x.values.to_numpy(zero_copy_only=False)[a:b] for a, b in zip(x.offsets.to_pylist()[:-1], x.offsets.to_pylist()[1:], strict=True)] for x in lists), strict=True):
+                starts = size_classes(least, n)
+                c = bisect_right(starts, n) - 1
+                for at in (c, c - 1):
+                    if at < 0 or not first <= starts[at] < last or (at < c and math.ceil(least * n - 1e-9) >= starts[c]):
+                        continue
+                    keys, found, alone = meeting_keys(tokens.view(np.uint64), places, rare, n, starts[at], least)
+                    found = found | (np.arange(len(keys)) >= alone).astype(np.int32) << PLACE
+                    for k, x in enumerate((keys.view(np.int64), np.full(len(keys), doc), found if at == c else found - (1 << PLACE + 1))):
+                        out[k].append(x)
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["key", "doc", "i"])
+
+    near = (F.col("n") >= first) & (F.lit(least) * F.col("n") - 1e-9 < last)
+    return heads.where(near).select("doc", "n", "rare", "prefix", "places").mapInArrow(run, "key long, doc long, i int")
+
+
+def _rounds(heads: DataFrame, least: float) -> list[tuple[int, int]]:
+    """Ranges of sizes (from, to before) with about as many tokens each, cut where classes are."""
+    largest = heads.agg(F.max("n")).first()[0] or 1
+    starts = size_classes(least, largest)
+    at = F.lit(0)
+    for start in starts:
+        at = F.when(F.col("n") >= start, F.lit(start)).otherwise(at)
+    held = {r[0]: r[1] for r in heads.groupBy(at.alias("start")).agg(F.sum("n")).collect()}
+    share, out, inside = max(FEW, sum(held.values()) / ROUNDS), [1], 0
+    for start in starts[:-1]:
+        if inside and inside + held.get(start, 0) > share:
+            out.append(start)
+            inside = 0
+        inside += held.get(start, 0)
+    return list(zip(out, [*out[1:], starts[-1]], strict=True))
 
 
 def _sets(entities: DataFrame, name: Column, wanted: DataFrame) -> DataFrame:
@@ -221,6 +323,26 @@ def _overlapping(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return placed.groupBy(*cell).cogroup(held.groupBy("cell2", "x2", "y2")).applyInPandas(_overlaps, "a long, b long, n int, m int, k int")
 
 
+def _standing(heads: DataFrame, keys: DataFrame, least: float) -> DataFrame:
+    """a, b, n, m (sizes) of rows that meet often enough, unless their signatures differ too much."""
+    other = keys.select("key", F.col("doc").alias("b"), F.col("i").alias("_j"))
+    n, m = F.shiftright("a", SIZE), F.shiftright("b", SIZE)
+    needed = F.ceil(F.lit(least / (1 + least)) * (n + m) - 1e-9)
+    # what stands before a shared token, the token, and what stands behind it have to make up the overlap
+    i, j = F.col("i").bitwiseAND((1 << PLACE) - 1), F.col("_j").bitwiseAND((1 << PLACE) - 1)
+    # a set of the next class is never the smaller one: its place is below zero, which reaches nothing
+    reach = F.least(F.when(F.col("i") < 0, F.col("i")).otherwise(i), j) + 1 + F.least(n - 1 - i, m - 1 - j) >= needed
+    near_size = F.least(n, m) >= F.lit(least) * F.greatest(n, m) - 1e-9
+    met = keys.withColumnRenamed("doc", "a").join(other, "key").where((F.col("a") < F.col("b")) & near_size & reach)
+    # meetings at rare tokens and at two frequent ones are counted apart
+    met = met.select(F.when(F.col("i").bitwiseAND(1 << PLACE) != 0, F.bitwise_not("a")).otherwise(F.col("a")).alias("_a"), "b").groupBy("_a", "b").agg(F.count(F.lit(1)).alias("k"))
+    met = met.select(F.when(F.col("_a") < 0, F.bitwise_not("_a")).otherwise(F.col("_a")).alias("a"), "b", "k").where(F.col("k") >= F.least(F.lit(TOGETHER), needed)).select("a", "b").distinct()
+    signs = heads.select("doc", "n", "sign")
+    signed = met.join(signs.select(F.col("doc").alias("a"), "n", F.col("sign").alias("_s")), "a").join(signs.select(F.col("doc").alias("b"), F.col("n").alias("m"), F.col("sign").alias("_t")), "b")
+    most = F.lit((1 - least) / (1 + least)) * (F.col("n") + F.col("m")) + 1e-9
+    return signed.where(F.pandas_udf(_may_be_near, "boolean")("_s", "_t", most)).select("a", "b", "n", "m")
+
+
 def similar(entities: DataFrame, name: Column, classes: DataFrame, least: float) -> DataFrame:
     """type, a, b, similarity of pairs of classes (type, rep) whose token sets are similar enough, each pair once."""
     normal = _normal(entities, name)
@@ -229,21 +351,13 @@ def similar(entities: DataFrame, name: Column, classes: DataFrame, least: float)
     heads = heads.join(reps, (F.col("id") == F.col("_id")) & F.col("type").eqNullSafe(F.col("_type")), "left_semi")
     at = F.monotonically_increasing_id()
     heads = settled(heads.withColumn("doc", F.shiftleft(F.col("n").cast("long"), SIZE).bitwiseOR(F.shiftleft(F.shiftright(at, 33), ROW)).bitwiseOR(at.bitwiseAND((1 << 33) - 1))), "heads")
-    keys = heads.select("doc", F.explode(F.arrays_zip("prefix", "places")).alias("_p")).select(F.col("_p.prefix").alias("token"), "doc", F.col("_p.places").alias("i"))
-    other = keys.select("token", F.col("doc").alias("b"), F.col("i").alias("j"))
-    n, m = F.shiftright("a", SIZE), F.shiftright("b", SIZE)
-    needed = F.ceil(F.lit(least / (1 + least)) * (n + m) - 1e-9)
-    # what stands before a shared token, the token, and what stands behind it have to make up the overlap
-    reach = F.least("i", "j") + 1 + F.least(n - 1 - F.col("i"), m - 1 - F.col("j")) >= needed
-    near_size = F.least(n, m) >= F.lit(least) * F.greatest(n, m) - 1e-9
-    met = keys.withColumnRenamed("doc", "a").join(other, "token").where((F.col("a") < F.col("b")) & near_size & reach)
-    met = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= F.least(F.lit(TOGETHER), needed)).select("a", "b")
-    signs = heads.select("doc", "n", "sign")
-    signed = met.join(signs.select(F.col("doc").alias("a"), "n", F.col("sign").alias("_s")), "a").join(signs.select(F.col("doc").alias("b"), F.col("n").alias("m"), F.col("sign").alias("_t")), "b")
-    most = F.lit((1 - least) / (1 + least)) * (F.col("n") + F.col("m")) + 1e-9
-    pairs = settled(signed.where(F.pandas_udf(_may_be_near, "boolean")("_s", "_t", most)).select("a", "b", "n", "m"), "pairs")
+    pairs = None
+    for first, last in _rounds(heads, least):  # each round's meetings are gone from disk before the next one's come
+        found = settled(_standing(heads, _meetings(heads, least, first, last), least), "pairs")
+        pairs = found if pairs is None else pairs.unionByName(found)
     docs = pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc"))).distinct()
     wanted = settled(heads.select("doc", "id", "type").join(docs, "doc", "left_semi"), "wanted")
+    discarded(heads)
     sets = settled(_sets(entities, name, wanted), "sets")
     scored = _overlapping(pairs, sets).select("a", "b", (F.col("k") / (F.col("n") + F.col("m") - F.col("k"))).alias("similarity")).where(F.col("similarity") >= least)
     named = wanted.select(F.col("doc"), "id", "type")

@@ -1,11 +1,13 @@
+import math
 import os
 import random
+import time
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from skein.operators import resolution, setjoin
-from skein.plans.tables import shared_dir
+from skein.plans.tables import settled, shared_dir
 
 
 def _bytes(folder):
@@ -59,3 +61,56 @@ def test_components_read_the_links_once(spark, monkeypatch):
     df, sets = _families(spark, 5)
     assert resolution.candidate_blocks(df).select(F.count_distinct("component")).first()[0] == 3
     assert all(getattr(links, "_folder", None) for links in given)
+
+
+def test_near_sets_of_frequent_tokens_meet_often_enough():
+    """No token is rare: two sets of similarity 0.67 and more still share four keys, and others of the same words hardly any."""
+    rng, least, pool, strangers = np.random.default_rng(5), 0.67, np.unique(np.random.default_rng(6).integers(1, 1 << 62, 4000, dtype=np.uint64)), []
+
+    def keys(x, start, largest):
+        starts = setjoin.size_classes(least, largest)
+        reach = len(x) - math.ceil(least * len(x) - 1e-9) + setjoin._together(max(s for s in starts if s <= len(x)), least)
+        found = setjoin.meeting_keys(x[:reach], np.arange(min(reach, len(x)), dtype=np.int32), 0, len(x), start, least)
+        assert len(found[0]) == len(found[1])
+        return set(found[0].tolist())
+
+    for size in (1, 2, 3, 8, 12, 13, 40, 200, 900):
+        for _ in range(40):
+            a = np.sort(rng.choice(pool, size, replace=False))
+            b = np.union1d(rng.permutation(a)[: math.ceil(size * rng.uniform(0.67, 1))], rng.choice(pool, rng.integers(0, size // 3 + 1), replace=False))
+            both = len(np.intersect1d(a, b))
+            small, large = sorted((a, b), key=len)
+            start = max(s for s in setjoin.size_classes(least, len(small)) if s <= len(small))
+            if both / (len(a) + len(b) - both) >= least:
+                shared = keys(small, start, 2000) & keys(large, start, 2000)
+                assert len(shared) >= min(setjoin.TOGETHER, both)
+            other = np.sort(rng.choice(pool, size, replace=False))
+            strangers += [len(keys(a, c, 2000) & keys(other, c, 2000)) for c in [max(s for s in setjoin.size_classes(least, size) if s <= size)] if size == 200]
+    assert np.mean(strangers) < setjoin.TOGETHER
+
+
+def test_rounds_by_size_lose_no_pair(spark, monkeypatch):
+    rng = random.Random(12)
+    words = [f"w{i}x" for i in range(60)]
+    rows = [(str(i), "t", " ".join(rng.sample(words[: rng.choice([6, 20, 60])], k))) for i in range(160) for k in [rng.choice([1, 2, 3, 5, 6])]]
+    base = rng.sample(words, 40)
+    rows += [(f"x{i}", "t", " ".join(rng.sample(base, rng.randrange(26, 41)))) for i in range(60)]
+    df = spark.createDataFrame(rows, "id string, type string, name string")
+    sets = {i: frozenset(name.split()) for i, _, name in rows}
+    reps = sorted({s: min(i for i in sets if sets[i] == s) for s in sets.values()}.values())
+    want = {(a, b) for k, a in enumerate(reps) for b in reps[k + 1 :] if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.67}
+    monkeypatch.setattr(setjoin, "FEW", 1)
+    found = [(r["a"], r["b"]) for r in resolution.similar_pairs(df).collect()]
+    assert len(found) == len(set(found)) and set(found) == want and len(want) > 100
+
+
+def test_settled_tables_leave_no_shuffle_files(spark):
+    folders = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    held = lambda: {os.path.join(at, f) for folder in folders for at, _, files in os.walk(folder) for f in files if f.startswith("shuffle_")}
+    before = held()
+    settled(spark.range(50_000).groupBy(F.pmod(F.xxhash64("id"), F.lit(20_000))).count(), "counts")
+    for _ in range(50):
+        if not held() - before:
+            break
+        time.sleep(0.2)
+    assert not held() - before
