@@ -1,10 +1,12 @@
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from skein.operators import realisation
 from skein.plans import views
+from skein.plans.tables import shared_dir
 from skein.plans.upkeep import EDGE, MAPPING, NODE, Upkeep
 
 
@@ -103,3 +105,18 @@ def test_queries_join_the_trades_once(spark, monkeypatch):
     monkeypatch.setattr(registry_more, "settled", lambda df, label: (written.append(label), tables.settled(df, label))[1])
     registry_more.upkept_contexts(spark, "/root/testdata/sf0.001")
     assert written == ["edges"]
+
+
+def test_batches_leave_only_the_tables(spark, tmp_path):
+    """Steps of a batch go with it, and a vacuum that keeps one version leaves no other."""
+    left = lambda: {p.name for p in Path(shared_dir(spark).removeprefix("file:")).iterdir()}
+    before = left()
+    nodes = spark.createDataFrame([("n1", "BoundedContext", "x", 1), ("n2", "BoundedContext", "x", 1), ("c1", "DomainConcept", "x", 1), ("s1", "Service", "x", 1)], f"{NODE}, m int")
+    edges = spark.createDataFrame([("e1", "belongsTo", "c1", "n1", 1), ("e2", "belongsTo", "s1", "n2", 1), ("e3", "consumes", "c1", "s1", 1)], f"{EDGE}, m int")
+    kept = Upkeep(spark, str(tmp_path / "state"), 1, views=("links",))
+    assert kept.apply(1, nodes, edges) and kept.apply(2, edges=edges.where("id = 'e3'").withColumns({"id": F.lit("e4")}))
+    assert left() == before
+    kept.vacuum(1)
+    assert [tuple(r) for r in kept.cross_context().collect()] == [("n1", "n2", "consumes", 2)]
+    assert [p.name for p in (tmp_path / "state" / "manifests").iterdir() if p.name.isdigit()] == ["2"]
+    assert not list((tmp_path / "state" / "edges_out" / "1").glob("_bucket=*"))
